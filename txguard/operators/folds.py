@@ -53,32 +53,29 @@ def ordered_fold(
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def _window_starts(ttl_ms: int) -> Callable[[], Callable[..., tuple]]:
-    def fold() -> Callable[..., tuple]:
-        start = None
-
-        def step(ts: int) -> tuple:
-            nonlocal start
-            opens = start is None or ts - start >= ttl_ms
-            if opens:
-                start = ts
-            return (opens,)
+def _window_starts() -> Callable[..., tuple]:
+    start = None
 
-        return step
+    def step(ts: int, ttl: int) -> tuple:
+        nonlocal start
+        opens = start is None or ts - start >= ttl
+        if opens:
+            start = ts
+        return (opens,)
 
-    return fold
+    return step
 
 
-def _chain_by_jumps(times: DataFrame, keys: list[str], ttl_ms: int, skew: Skew) -> DataFrame:
+def _chain_by_jumps(times: DataFrame, keys: list[str], skew: Skew) -> DataFrame:
     """Window starts of very long runs, without visiting a run's rows one after another.
 
-    Every time points to the first time at least ``ttl_ms`` later. Starts are the times reachable from the first one;
+    Every time points to the first time at least one TTL later. Starts are the times reachable from the first one;
     doubling the pointers finds them in log2(starts) rounds of joins on (keys, time), which are unique and balanced.
     """
     spark = times.sparkSession
     ensure_checkpoint_dir(spark)
     flipped = times.select(*keys, (-F.col("__t")).alias("__neg"), F.col("__t").alias("__nxt"))
-    probes = times.select(*keys, F.col("__t"), (-(F.col("__t") + ttl_ms)).alias("__neg"))
+    probes = times.select(*keys, F.col("__t"), (-(F.col("__t") + F.col("__ttl"))).alias("__neg"))
     jump = (
         as_of(probes, flipped, keys, "__neg", ["__nxt"], skew=skew)
         .where(F.col("__nxt").isNotNull())
@@ -98,22 +95,23 @@ def anchored(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    ttl_ms: int,
+    ttl_ms: int | str,
     out: str = "anchor",
     ties: Sequence[str] = (),
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
     """Fixed-length windows anchored at the first row: a row at or past the window's end opens the next window.
 
-    Adds ``out``, the start of the row's window. An idle gap of ``ttl_ms`` always opens a window, so rows are first cut
+    ``ttl_ms`` is a number or names a column that is constant per key. Adds ``out``, the start of the row's window. An idle gap of ``ttl_ms`` always opens a window, so rows are first cut
     into runs at such gaps; the first window of each run is known from the run alone. Only times beyond the first window
     of a long run need the chain, and only their distinct values: they are folded per run, or by pointer doubling when a
     run holds more than ``skew.hot_rows`` of them. The rows themselves stay on the JVM side.
     """
     keys = list(keys)
     run = [*keys, "__run"]
-    runs = gap_runs(df, keys, ts, ttl_ms, ties, "__run", "__pos", skew).drop("__pos")
-    later = runs.where(F.col(ts) - F.col("__run") >= ttl_ms).select(*run, F.col(ts).alias("__t")).distinct()
+    ttl = F.col(ttl_ms) if isinstance(ttl_ms, str) else F.lit(ttl_ms).cast("long")
+    runs = gap_runs(df, keys, ts, ttl, ties, "__run", "__pos", skew).drop("__pos")
+    later = runs.where(F.col(ts) - F.col("__run") >= ttl).select(*run, F.col(ts).alias("__t"), ttl.alias("__ttl")).distinct()
     long_runs = hot_keys(later, run, skew)
     if long_runs is None:
         chain = later
@@ -122,8 +120,9 @@ def anchored(
         ids = long_runs.select(*run)
         chain = later.join(ids, run, "left_anti")
         over = later.join(ids, run, "left_semi")
-        jumped = None if over.isEmpty() else _chain_by_jumps(over, run, ttl_ms, skew)
-    starts = ordered_fold(chain, run, ["__t"], ["__t"], _window_starts(ttl_ms), "__opens boolean").where("__opens").drop("__opens")
+        jumped = None if over.isEmpty() else _chain_by_jumps(over, run, skew)
+    starts = ordered_fold(chain, run, ["__t"], ["__t", "__ttl"], _window_starts, "__opens boolean").where("__opens")
+    starts = starts.select(*run, "__t")
     if jumped is not None:
         starts = starts.unionByName(jumped)
     starts = starts.withColumn("__start", F.col("__t"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txguard.operators.skew import DEFAULT_SKEW, HOT, SLICE, Skew, flag_hot, hot_keys, with_slice
+from txguard.operators.skew import DEFAULT_SKEW, HOT, SLICE, Skew, flag_hot, hot_keys, settle, with_slice
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -50,7 +50,7 @@ def running(
         w = over(keys)
         return df.withColumns({n: _AGG[k](c).over(w) for n, (k, c) in aggs.items()})
 
-    rows = with_slice(flag_hot(df, hot), keys, ts, skew)
+    rows = with_slice(flag_hot(settle(df), hot), keys, ts, skew)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.where(F.col(HOT))
@@ -72,7 +72,7 @@ def gap_runs(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    gap_ms: int,
+    gap_ms: int | Column,
     ties: Sequence[str] = (),
     start: str = "run_start",
     position: str = "run_position",

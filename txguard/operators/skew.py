@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txguard.session_dirs import ensure_checkpoint_dir
+
 HOT = "__hot"
 SLICE = "__slice"
 
@@ -34,14 +36,31 @@ class Skew:
 DEFAULT_SKEW = Skew()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+# A plan reading its sources more often than this is written out before another pass doubles it.
+MAX_LEAVES = 12
+
+
+def _leaves(df: DataFrame) -> list:
+    seq = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's size of everything a frame reads."""
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(df))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a frame whose plan has grown: a reliable checkpoint, written once and read by every later pass."""
+    if len(_leaves(df)) <= MAX_LEAVES:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame | None:
     """The keys holding more than ``skew.hot_rows`` rows, or None if the input is too small to hold one."""
-    if plan_bytes(df.select(*keys)) < skew.min_bytes:
+    if input_bytes(df) < skew.min_bytes:
         return None
     return (
         df.where(all_present(keys))
