@@ -16,7 +16,7 @@ def delay_seconds(retry: Column, base: int = 60, backoff: str = "linear") -> Col
     """Wait before retry number ``retry`` (1, 2, ...)."""
     if backoff == "linear":
         return retry * base
-    return F.lit(base) * F.shiftleft(F.lit(1), retry - 1)
+    return F.lit(base) * F.pow(F.lit(2), retry - 1).cast("long")
 
 
 def tier_seconds(retry: Column, tiers: Sequence[int] = RETRY_TIERS) -> Column:
