@@ -97,8 +97,7 @@ def test_gap_runs(spark, skew, gap):
 def test_distinct_in_run(spark, skew, gap):
     rows = [r for r in make_rows() if r[1] is not None]
     state, want = {}, {}
-    # Rows without a value are readers and come after the writers of the same instant.
-    for rid, key, ts, v, _ in sorted(rows, key=lambda r: (r[2], r[3] is None, r[0])):
+    for rid, key, ts, v, _ in sorted(rows, key=lambda r: (r[2], r[0])):
         values, last = state.get(key, (set(), None))
         if last is not None and ts - last >= gap:
             values = set()

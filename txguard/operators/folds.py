@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from txguard.operators.running import as_of, gap_runs, running
-from txguard.operators.skew import DEFAULT_SKEW, Skew, hot_keys
+from txguard.operators.skew import DEFAULT_SKEW, HOT, Skew, all_present, find_hot
 from txguard.session_dirs import ensure_checkpoint_dir
 
 
@@ -58,10 +58,9 @@ def _window_starts() -> Callable[..., tuple]:
 
     def step(ts: int, ttl: int) -> tuple:
         nonlocal start
-        opens = start is None or ts - start >= ttl
-        if opens:
+        if start is None or ts - start >= ttl:
             start = ts
-        return (opens,)
+        return (start,)
 
     return step
 
@@ -102,32 +101,34 @@ def anchored(
 ) -> DataFrame:
     """Fixed-length windows anchored at the first row: a row at or past the window's end opens the next window.
 
-    ``ttl_ms`` is a number or names a column that is constant per key. Adds ``out``, the start of the row's window. An idle gap of ``ttl_ms`` always opens a window, so rows are first cut
-    into runs at such gaps; the first window of each run is known from the run alone. Only times beyond the first window
-    of a long run need the chain, and only their distinct values: they are folded per run, or by pointer doubling when a
-    run holds more than ``skew.hot_rows`` of them. The rows themselves stay on the JVM side.
+    ``ttl_ms`` is a number or names a column that is constant per key. Adds ``out``, the start of the row's window. An idle
+    gap of one TTL always opens a window, so rows are first cut into runs at such gaps; the first window of each run is
+    known from the run alone. Only rows beyond the first window of a long run need to be folded, run by run. If some key
+    is hot, its long runs are folded as distinct times, by pointer doubling where a run holds more than
+    ``skew.hot_rows`` of them, and rows then read their start as of their time. Rows without a key get no window.
     """
     keys = list(keys)
     run = [*keys, "__run"]
     ttl = F.col(ttl_ms) if isinstance(ttl_ms, str) else F.lit(ttl_ms).cast("long")
-    runs = gap_runs(df, keys, ts, ttl, ties, "__run", "__pos", skew).drop("__pos")
-    later = runs.where(F.col(ts) - F.col("__run") >= ttl).select(*run, F.col(ts).alias("__t"), ttl.alias("__ttl")).distinct()
-    long_runs = hot_keys(later, run, skew)
-    if long_runs is None:
-        chain = later
-        jumped = None
-    else:
-        ids = long_runs.select(*run)
-        chain = later.join(ids, run, "left_anti")
-        over = later.join(ids, run, "left_semi")
-        jumped = None if over.isEmpty() else _chain_by_jumps(over, run, skew)
-    starts = ordered_fold(chain, run, ["__t"], ["__t", "__ttl"], _window_starts, "__opens boolean").where("__opens")
-    starts = starts.select(*run, "__t")
-    if jumped is not None:
-        starts = starts.unionByName(jumped)
-    starts = starts.withColumn("__start", F.col("__t"))
-    placed = as_of(runs, starts, run, ts, ["__start"], right_ts="__t", skew=skew)
-    return placed.select(*df.columns, F.coalesce("__start", "__run").alias(out))
+    hot = find_hot(df, keys, skew)
+    runs = gap_runs(df, keys, ts, ttl, ties, "__run", "__pos", skew, hot).drop("__pos").withColumn("__ttl", ttl)
+    beyond = all_present(keys) & (F.col(ts) - F.col("__run") >= F.col("__ttl"))
+    if hot.frame is None:
+        near = runs.where(~beyond).withColumn(out, F.when(all_present(keys), F.col("__run")))
+        far = ordered_fold(runs.where(beyond), run, [ts, *ties], [ts, "__ttl"], _window_starts, f"{out} long")
+        return near.unionByName(far).drop("__run", "__ttl")
+    later = runs.where(beyond).select(*run, F.col(ts).alias("__t"), "__ttl").distinct()
+    oversized = find_hot(later, run, skew).frame
+    chain = later
+    if oversized is not None:
+        chain = later.join(oversized.drop(HOT), run, "left_anti")
+    starts = ordered_fold(chain, run, ["__t"], ["__t", "__ttl"], _window_starts, "__start long")
+    starts = starts.where(F.col("__start") == F.col("__t")).select(*run, "__t")
+    if oversized is not None:
+        over = later.join(oversized.drop(HOT), run, "left_semi")
+        starts = starts.unionByName(_chain_by_jumps(over, run, skew))
+    placed = as_of(runs, starts.withColumn("__start", F.col("__t")), run, ts, ["__start"], right_ts="__t", skew=skew)
+    return placed.select(*df.columns, F.when(all_present(keys), F.coalesce("__start", "__run")).alias(out))
 
 
 def admit_anchored(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txguard.operators.skew import DEFAULT_SKEW, HOT, SLICE, Skew, flag_hot, hot_keys, settle, with_slice
+from txguard.operators.skew import DEFAULT_SKEW, HOT, SLICE, Hot, Skew, find_hot, flag_hot, null_spread, settle, with_slice
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -26,31 +26,31 @@ def running(
     ties: Sequence[str] = (),
     frame: str = "rows",
     skew: Skew = DEFAULT_SKEW,
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Add running aggregates over all earlier rows of the key.
 
-    ``hot`` may name a subset of ``keys``: then everything below a hot key is sliced.
+    ``hot`` is found unless given, and may name a subset of ``keys``: then everything below a hot key is sliced.
     ``aggs`` maps an output name to (``sum`` | ``min`` | ``max``, column). ``frame`` is ``rows`` (up to and including
     this row in (ts, ties) order), ``before`` (strictly before it in that order) or ``range`` (including all rows with
     an equal ``ts``). A hot key is computed slice by slice; the totals of its slices, at most one row per slice, give
     each slice what came before it.
     """
     keys = list(keys)
-    hot = hot if hot is not None else hot_keys(df, keys, skew)
+    hot = hot if hot is not None else find_hot(df, keys, skew)
     order = [ts] if frame == "range" else [ts, *ties]
 
-    def over(parts: list[str]):
+    def over(parts: list):
         w = Window.partitionBy(*parts).orderBy(*order)
         if frame == "range":
             return w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         return w.rowsBetween(Window.unboundedPreceding, -1 if frame == "before" else Window.currentRow)
 
-    if hot is None:
-        w = over(keys)
+    if hot.frame is None:
+        w = over([*keys, null_spread(keys, ts)] if hot.spread_nulls else keys)
         return df.withColumns({n: _AGG[k](c).over(w) for n, (k, c) in aggs.items()})
 
-    rows = with_slice(flag_hot(settle(df), hot), keys, ts, skew)
+    rows = with_slice(flag_hot(settle(df), hot.frame), keys, ts, skew)
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.where(F.col(HOT))
@@ -77,13 +77,14 @@ def gap_runs(
     start: str = "run_start",
     position: str = "run_position",
     skew: Skew = DEFAULT_SKEW,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Split each key's rows where the idle time reaches ``gap_ms``.
 
     Adds ``start`` (the first ``ts`` of the run) and ``position`` (1, 2, ... inside it).
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, skew)
+    hot = hot if hot is not None else find_hot(df, keys, skew)
     prev = running(
         df, keys, ts, {"__prev": ("max", F.col(ts)), "__seen": ("sum", F.lit(1).cast("long"))}, ties, "before", skew, hot
     )
@@ -108,25 +109,22 @@ def distinct_in_run(
     ties: Sequence[str] = (),
     skew: Skew = DEFAULT_SKEW,
 ) -> DataFrame:
-    """Distinct values seen so far in the current run, where a run ends after ``gap_ms`` without a row.
+    """Distinct values seen so far in the current run, where a run ends after ``gap_ms`` without a value.
 
     A value counts at its first occurrence in the run, so the answer is a running sum of first-occurrence flags and no
     set is kept. Rows whose value is null read the run without adding to it or keeping it alive.
     """
     keys = list(keys)
-    present = df.where(F.col(value).isNotNull())
-    hot = hot_keys(present, keys, skew)
-    runs = gap_runs(present, keys, ts, gap_ms, ties, "__run", "__pos", skew)
-    earlier = running(runs, [*keys, "__run", value], ts, {"__before": ("max", F.col(ts))}, ties, "before", skew, hot)
-    new = F.when(F.col("__before").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    counted = running(earlier, [*keys, "__run"], ts, {out: ("sum", new)}, ties, "rows", skew, hot)
-    counted = counted.select(*df.columns, out)
-    if not df.schema[value].nullable:
-        return counted
-    readers = as_of(df.where(F.col(value).isNull()), counted, keys, ts, [out], matched_ts="__at", skew=skew)
-    alive = F.col("__at").isNotNull() & (F.col(ts) - F.col("__at") < gap_ms)
-    readers = readers.withColumn(out, F.when(alive, F.col(out)).otherwise(F.lit(0).cast("long")))
-    return counted.unionByName(readers.select(*df.columns, out))
+    hot = find_hot(df, keys, skew)
+    t, holds = F.col(ts), F.col(value).isNotNull()
+    prev = running(df, keys, ts, {"__prev": ("max", F.when(holds, t))}, ties, "before", skew, hot)
+    idle = F.col("__prev").isNull() | (t - F.col("__prev") >= gap_ms)
+    runs = running(prev, keys, ts, {"__run": ("max", F.when(holds & idle, t))}, ties, "rows", skew, hot)
+    earlier = running(runs, [*keys, "__run", value], ts, {"__before": ("max", t)}, ties, "before", skew, hot)
+    new = F.when(holds & F.col("__before").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    counted = running(earlier, [*keys, "__run"], ts, {"__n": ("sum", new)}, ties, "rows", skew, hot)
+    alive = holds | ~idle
+    return counted.withColumn(out, F.when(alive, F.col("__n")).otherwise(F.lit(0).cast("long"))).select(*df.columns, out)
 
 
 def as_of(

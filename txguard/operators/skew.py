@@ -1,9 +1,9 @@
 """Finding keys that are too big for one task.
 
 A window partitioned by a key puts all rows of that key into one task. The operators of this package therefore spread
-a hot key over time slices and carry the state at the start of each slice in a small side table. Which keys are hot is
-found exactly with one partially aggregated count; the list holds at most ``rows / hot_rows`` keys and is joined without
-a hint, so Catalyst broadcasts it only when its measured size allows.
+a hot key over time slices and carry the state at the start of each slice in a small side table. Large inputs are first
+counted by key, with partial aggregation, to see whether any key is hot at all; where none is, which is the usual case,
+the operators plan a single window.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ DEFAULT_SKEW = Skew()
 
 # A plan reading its sources more often than this is written out before another pass doubles it.
 MAX_LEAVES = 12
+# Up to this many hot keys are held as a local table.
+MAX_HOT = 10_000
 
 
 def _leaves(df: DataFrame) -> list:
@@ -58,17 +60,33 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame | None:
-    """The keys holding more than ``skew.hot_rows`` rows, or None if the input is too small to hold one."""
+@dataclass(frozen=True)
+class Hot:
+    """Keys to slice: their frame with the ``__hot`` column, or None; and whether rows without a key are too many."""
+
+    frame: DataFrame | None = None
+    spread_nulls: bool = False
+
+
+COLD = Hot()
+
+
+def find_hot(df: DataFrame, keys: Sequence[str], skew: Skew) -> Hot:
+    """Keys holding more than ``skew.hot_rows`` rows.
+
+    Runs one aggregation over the key columns, unless the whole input is small. Up to ``MAX_HOT`` keys come back as a
+    local table, small enough to broadcast; more of them stay a distributed frame that is joined by shuffle.
+    """
+    keys = list(keys)
     if input_bytes(df) < skew.min_bytes:
-        return None
-    return (
-        df.where(all_present(keys))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > skew.hot_rows)
-        .select(*keys, F.lit(True).alias(HOT))
-    )
+        return COLD
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > skew.hot_rows).select(*keys)
+    found = big.limit(MAX_HOT + 1).toArrow()
+    if found.num_rows > MAX_HOT:
+        return Hot(big.where(all_present(keys)).withColumn(HOT, F.lit(True)), True)
+    whole = found.drop_null()
+    frame = df.sparkSession.createDataFrame(whole).withColumn(HOT, F.lit(True)) if whole.num_rows else None
+    return Hot(frame, whole.num_rows < found.num_rows)
 
 
 def all_present(keys: Sequence[str]) -> Column:
@@ -88,11 +106,14 @@ def slice_of(ts: Column, skew: Skew) -> Column:
     return F.floor(ts / F.lit(skew.slice_ms)).cast("long")
 
 
+def null_spread(keys: Sequence[str], ts: str) -> Column:
+    """A partition column that scatters rows without a key; their results are meaningless to begin with."""
+    return F.when(~all_present(keys), F.pmod(F.xxhash64(ts), F.lit(4096)))
+
+
 def with_slice(df: DataFrame, keys: Sequence[str], ts: str, skew: Skew) -> DataFrame:
     """Add ``__slice``: the time slice for hot keys, 0 for the others, a hash spread for rows without a key."""
     return df.withColumn(
         SLICE,
-        F.when(~all_present(keys), F.pmod(F.xxhash64(ts), F.lit(4096)))
-        .when(F.col(HOT), slice_of(F.col(ts), skew))
-        .otherwise(F.lit(0).cast("long")),
+        F.coalesce(null_spread(keys, ts), F.when(F.col(HOT), slice_of(F.col(ts), skew)), F.lit(0).cast("long")),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txguard.operators.running import running
-from txguard.operators.skew import DEFAULT_SKEW, HOT, Skew, flag_hot, hot_keys
+from txguard.operators.skew import COLD, DEFAULT_SKEW, HOT, Hot, Skew, find_hot, flag_hot, null_spread
 
 MINUTE = 60_000
 HOUR = 60 * MINUTE
@@ -40,11 +40,11 @@ def sliding(df: DataFrame, keys: Sequence[str], ts: str, specs: Sequence[Sliding
     per row, which is quadratic for a dense key, so hot keys take :func:`_by_deltas` instead.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, skew)
-    if hot is None:
-        return _by_frames(df, keys, ts, specs)
-    flagged = flag_hot(df, hot)
-    cold = _by_frames(flagged.where(~F.col(HOT)).drop(HOT), keys, ts, specs, spread_nulls=True)
+    hot = find_hot(df, keys, skew)
+    if hot.frame is None:
+        return _by_frames(df, keys, ts, specs, hot.spread_nulls)
+    flagged = flag_hot(df, hot.frame)
+    cold = _by_frames(flagged.where(~F.col(HOT)).drop(HOT), keys, ts, specs, hot.spread_nulls)
     dense = _by_deltas(flagged.where(F.col(HOT)).drop(HOT), keys, ts, specs, skew, hot)
     return cold.unionByName(dense)
 
@@ -55,7 +55,7 @@ def _by_frames(df: DataFrame, keys: list[str], ts: str, specs: Sequence[Sliding]
         missing = missing | F.col(k).isNull()
     parts: list[Column | str] = list(keys)
     if spread_nulls:
-        parts.append(F.when(missing, F.pmod(F.xxhash64(ts), F.lit(4096))))
+        parts.append(null_spread(keys, ts))
 
     def value_of(s: Sliding) -> Column:
         w = Window.partitionBy(*parts).orderBy(ts).rangeBetween(-s.width_ms, -1 if s.prior else 0)
@@ -72,7 +72,7 @@ def _by_frames(df: DataFrame, keys: list[str], ts: str, specs: Sequence[Sliding]
 
 
 def _by_deltas(
-    df: DataFrame, keys: list[str], ts: str, specs: Sequence[Sliding], skew: Skew, hot: DataFrame
+    df: DataFrame, keys: list[str], ts: str, specs: Sequence[Sliding], skew: Skew, hot: Hot = COLD
 ) -> DataFrame:
     """Every row adds its share when it enters a frame and takes it back when it leaves.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.functions.columns import rfc3339
+from txguard.functions.columns import blank_to_null, rfc3339
 from txguard.operators.folds import anchored
 from txguard.operators.running import gap_runs
 from txguard.operators.skew import DEFAULT_SKEW, Skew
@@ -111,12 +111,10 @@ def session_ids(df: DataFrame, user: str, ts_ms: str, ttl_ms: int = 1_800_000, o
 
 def sessions(field: str = "user_id", skew: Skew = DEFAULT_SKEW) -> Enricher:
     def apply(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("__user", F.get_json_object("data", f"$.{field}")).withColumn(
+        keyed = df.withColumn("__user", blank_to_null(F.get_json_object("data", f"$.{field}"))).withColumn(
             "__ms", F.floor(F.unix_micros("timestamp") / 1000))
-        known = F.col("__user").isNotNull() & (F.col("__user") != "")
-        named = session_ids(keyed.where(known), "__user", "__ms", out="__session", ties=("id",), skew=skew)
-        rest = keyed.where(~known | known.isNull()).withColumn("__session", F.lit(None).cast("string"))
-        return add_metadata(named.unionByName(rest), {"session_id": F.col("__session")}).select(*df.columns)
+        named = session_ids(keyed, "__user", "__ms", out="__session", ties=("id",), skew=skew)
+        return add_metadata(named, {"session_id": F.col("__session")}).select(*df.columns)
 
     return apply
 
