@@ -111,8 +111,12 @@ def anchored(
     run = [*keys, "__run"]
     ttl = F.col(ttl_ms) if isinstance(ttl_ms, str) else F.lit(ttl_ms).cast("long")
     hot = find_hot(df, keys, skew)
-    runs = gap_runs(df, keys, ts, ttl, ties, "__run", "__pos", skew, hot).drop("__pos").withColumn("__ttl", ttl)
-    beyond = all_present(keys) & (F.col(ts) - F.col("__run") >= F.col("__ttl"))
+    runs = gap_runs(df, keys, ts, ttl, ties, "__run", "__pos", skew, hot).drop("__pos").withColumns({
+        # Rows without a key are a run of their own, so that the filters below name no key: a filter on the key would move
+        # below the exchange on one side only, and both sides could no longer share it.
+        "__run": F.when(all_present(keys), F.col("__run")).otherwise(F.col(ts)), "__ttl": ttl,
+    })
+    beyond = F.col(ts) - F.col("__run") >= F.col("__ttl")
     if hot.frame is None:
         near = runs.where(~beyond).withColumn(out, F.when(all_present(keys), F.col("__run")))
         far = ordered_fold(runs.where(beyond), run, [ts, *ties], [ts, "__ttl"], _window_starts, f"{out} long")

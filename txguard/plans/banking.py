@@ -16,7 +16,7 @@ from txguard.plans.features import CARD, card_features, customer_features, devic
 from txguard.plans.limits import DAILY_REASON, DEFAULT_LIMITS, MONTHLY_REASON, TRANSACTION_REASON, Limits, with_limits, with_periods
 from txguard.plans.engine import precheck_reason
 from txguard.plans.rules import DEFAULT_RULES, SEVERITY, ACTIONS, Rule
-from txguard.plans.scoring import DEFAULT_THRESHOLDS, MAX_SCORE, Thresholds, by_points
+from txguard.plans.scoring import DEFAULT_THRESHOLDS, MAX_SCORE, Thresholds, by_points, explain
 
 OUTCOME = (
     "status string, limit_reason string, risk_score int, action string, reason_codes array<string>, "
@@ -32,10 +32,6 @@ _TESTS = {
 }
 
 
-def _explain(rule: Rule) -> str:
-    return f"[{rule.id}] {rule.name} → {rule.action} (+{rule.risk_points} pts)"
-
-
 class _Frame:
     """Count, sum and distinct values over the recorded rows of the last ``width`` ms."""
 
@@ -135,7 +131,7 @@ def card_step(
                 day_spent += int(amount)
                 month_spent += int(amount)
             return (status, None, points, ACTIONS[severity], [r.reason_code for r in fired], [r.id for r in fired],
-                    [_explain(r) for r in fired], remaining)
+                    [explain(r) for r in fired], remaining)
 
         return step
 

@@ -49,19 +49,19 @@ def first_match(text: Column, table: Iterable[tuple[str, str]], default: str = "
     return F.when(text.isNotNull() & (text != ""), out)
 
 
+def agent_columns(agent: Column) -> dict[str, Column]:
+    return {"browser": first_match(agent, BROWSERS), "device": first_match(agent, DEVICES), "os": first_match(agent, SYSTEMS)}
+
+
 def classify_agent(df: DataFrame, column: str = "user_agent") -> DataFrame:
-    agent = F.col(column)
-    return df.withColumns({
-        "browser": first_match(agent, BROWSERS), "device": first_match(agent, DEVICES), "os": first_match(agent, SYSTEMS),
-    })
+    return df.withColumns(agent_columns(F.col(column)))
 
 
 def user_agent(field: str = "user_agent") -> Enricher:
     def apply(df: DataFrame) -> DataFrame:
-        agent = F.get_json_object("data", f"$.{field}")
-        return add_metadata(df, {
-            "browser": first_match(agent, BROWSERS), "device": first_match(agent, DEVICES), "os": first_match(agent, SYSTEMS),
-        })
+        # A column of its own, so that the JSON is read once and not once per pattern.
+        read = df.withColumn("__agent", F.get_json_object("data", f"$.{field}"))
+        return add_metadata(read, agent_columns(F.col("__agent"))).select(*df.columns)
 
     return apply
 
@@ -85,17 +85,16 @@ def range_lookup(df: DataFrame, number: str, ranges: DataFrame, values: list[str
 
 def ip_number(text: Column) -> Column:
     """A dotted IPv4 address as a number; anything else is null."""
-    parts = F.split(text, r"\.")
-    value = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + F.try_to_number(p, F.lit("999")).cast("long"))
-    return F.when(text.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), value)
+    parts = [F.split_part(text, F.lit("."), F.lit(i + 1)).try_cast("long") * 256 ** (3 - i) for i in range(4)]
+    return F.when(text.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), parts[0] + parts[1] + parts[2] + parts[3])
 
 
 def geo(ranges: DataFrame, field: str = "ip") -> Enricher:
     """Country and city of the client address as a JSON entry."""
     def apply(df: DataFrame) -> DataFrame:
-        ip = F.get_json_object("data", f"$.{field}")
-        looked = range_lookup(df.withColumn("__ip", ip_number(ip)), "__ip", ranges, ["country", "city"])
-        found = F.when(F.col("country").isNotNull(), F.to_json(F.struct(ip.alias("ip"), "country", "city")))
+        read = df.withColumn("__text", F.get_json_object("data", f"$.{field}"))
+        looked = range_lookup(read.withColumn("__ip", ip_number(F.col("__text"))), "__ip", ranges, ["country", "city"])
+        found = F.when(F.col("country").isNotNull(), F.to_json(F.struct(F.col("__text").alias("ip"), "country", "city")))
         return add_metadata(looked, {"geo": found}).select(*df.columns)
 
     return apply

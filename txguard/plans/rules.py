@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,39 +123,47 @@ def load_rules(spark: SparkSession, source: str | DataFrame) -> list[Rule]:
     return rules
 
 
-def feature_value(columns: Sequence[str], feature: str) -> Column:
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def feature_sql(columns: Sequence[str], feature: str) -> str:
     """A feature as DOUBLE; one that is missing reads as 0."""
     name = column_of(feature)
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in columns else F.lit(0.0)
+    return f"coalesce(cast(`{name}` as double), 0D)" if name in columns else "0D"
 
 
-def compare(value: Column, operator: str, threshold: float) -> Column:
-    """One numeric comparison; an unknown operator never holds."""
-    limit = F.lit(float(threshold))
-    return {
-        ">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit, "==": value == limit,
-    }.get(operator, F.lit(False))
+def feature_value(columns: Sequence[str], feature: str) -> Column:
+    return F.expr(feature_sql(columns, feature))
+
+
+def match_sql(columns: Sequence[str], rule: Rule) -> str:
+    """All conditions of a rule; an unknown operator never holds."""
+    tests = [
+        f"{feature_sql(columns, c.feature)} {c.operator} {float(c.threshold)!r}D" if c.operator in OPERATORS else "false"
+        for c in rule.conditions
+    ]
+    return " and ".join(tests) or "false"
 
 
 def matches(columns: Sequence[str], rule: Rule) -> Column:
-    if not rule.conditions:
-        return F.lit(False)
-    tests = [compare(feature_value(columns, c.feature), c.operator, c.threshold) for c in rule.conditions]
-    return reduce(lambda a, b: a & b, tests)
+    return F.expr(match_sql(columns, rule))
 
 
 def fired_long(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per (transaction, fired rule), with the feature values the rule looked at."""
     cols = df.columns
 
-    def one(rule: Rule) -> Column:
-        details = F.create_map(*[x for c in rule.conditions for x in (F.lit(c.feature), feature_value(cols, c.feature))])
-        return F.when(matches(cols, rule), F.struct(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.risk_points).alias("risk_points"), F.lit(rule.action).alias("action"),
-            F.lit(rule.reason_code).alias("reason_code"), F.lit(rule.priority).alias("priority"), details.alias("details"),
-        ))
+    def one(rule: Rule) -> str:
+        details = ", ".join(f"{literal(c.feature)}, {feature_sql(cols, c.feature)}" for c in rule.conditions)
+        return (
+            f"case when {match_sql(cols, rule)} then struct({literal(rule.id)} as rule_id, {rule.risk_points} as risk_points, "
+            f"{literal(rule.action)} as action, {literal(rule.reason_code)} as reason_code, {rule.priority} as priority, "
+            f"map({details}) as details) end"
+        )
 
-    fired = F.filter(F.array(*[one(r) for r in active_rules(rules)]), lambda x: x.isNotNull())
+    fired = F.expr(f"filter(array({', '.join(one(r) for r in active_rules(rules))}), x -> x is not null)")
     return df.withColumn("__f", F.explode(fired)).select(*cols, "__f.*")
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.functions.columns import any_of, kept
-from txguard.plans.rules import ACTIONS, SEVERITY, Rule, active_rules, feature_value, matches
+from txguard.plans.rules import ACTIONS, SEVERITY, Rule, active_rules, feature_sql, literal, match_sql
 
 MAX_SCORE = 1000
 
@@ -51,36 +49,30 @@ def score(df: DataFrame, rules: Sequence[Rule], thresholds: Thresholds = DEFAULT
     """Add the decision columns. Each rule is evaluated once per row; everything else reads its flag."""
     ordered = by_points(rules)
     columns = df.columns
-    flags = {r.id: f"__fired_{i}" for i, r in enumerate(ordered)}
-    marked = df.select("*", *[matches(columns, r).alias(flags[r.id]) for r in ordered])
-    fired = {r.id: F.col(flags[r.id]) for r in ordered}
-
-    def listed(value) -> Column:
-        if not ordered:
-            return F.array().cast("array<string>")
-        return kept([F.when(fired[r.id], F.lit(value(r))) for r in ordered])
-
-    points = reduce(lambda a, b: a + b, [F.when(fired[r.id], r.risk_points).otherwise(0) for r in ordered], F.lit(0))
-    total = F.least(F.lit(MAX_SCORE), points)
-    explicit = F.greatest(F.lit(0), F.lit(0), *[F.when(fired[r.id], SEVERITY.get(r.action, 0)).otherwise(0) for r in ordered])
-    fired_any = any_of(list(fired.values()))
-    used: dict[str, list[Column]] = {}
+    fired = {r.id: f"__fired_{i}" for i, r in enumerate(ordered)}
+    marked = df.selectExpr("*", *[f"{match_sql(columns, r)} as {fired[r.id]}" for r in ordered])
+
+    def listed(value: Callable[[Rule], str]) -> Column:
+        items = ", ".join(f"if({fired[r.id]}, {literal(value(r))}, null)" for r in ordered)
+        return F.expr(f"filter(cast(array({items}) as array<string>), x -> x is not null)")
+
+    points = " + ".join(["0", *[f"if({fired[r.id]}, {r.risk_points}, 0)" for r in ordered]])
+    explicit = ", ".join(["0", "0", *[f"if({fired[r.id]}, {SEVERITY.get(r.action, 0)}, 0)" for r in ordered]])
+    any_fired = " or ".join(["false", *fired.values()])
+    used: dict[str, list[str]] = {}
     for r in ordered:
         for c in r.conditions:
             used.setdefault(c.feature, []).append(fired[r.id])
-    entries = [
-        F.when(any_of(by), F.struct(F.lit(f).alias("key"), feature_value(columns, f).alias("value"))) for f, by in used.items()
-    ]
-    contributing = F.map_from_entries(kept(entries)) if entries else F.create_map().cast("map<string,double>")
-    return (
-        marked.withColumn("risk_score", total.cast("int"))
-        .withColumn("action", F.when(fired_any, action_name(F.greatest(explicit, band_severity(F.col("risk_score"), thresholds))))
-                    .otherwise("allow"))
-        .withColumns({
-            "reason_codes": listed(lambda r: r.reason_code),
-            "triggered_rules": listed(lambda r: r.id),
-            "contributing_features": contributing,
-            "explain_lines": listed(explain),
-        })
-        .drop(*flags.values())
+    entries = ", ".join(
+        f"if({' or '.join(by)}, struct({literal(f)} as key, {feature_sql(columns, f)} as value), null)" for f, by in used.items()
     )
+    contributing = f"map_from_entries(filter(array({entries}), x -> x is not null))" if used else "cast(map() as map<string,double>)"
+    banded = marked.withColumn("risk_score", F.expr(f"cast(least({MAX_SCORE}, {points}) as int)"))
+    severity = F.greatest(F.expr(f"greatest({explicit})"), band_severity(F.col("risk_score"), thresholds))
+    return banded.withColumns({
+        "action": F.when(F.expr(any_fired), action_name(severity)).otherwise("allow"),
+        "reason_codes": listed(lambda r: r.reason_code),
+        "triggered_rules": listed(lambda r: r.id),
+        "contributing_features": F.expr(contributing),
+        "explain_lines": listed(explain),
+    }).drop(*fired.values())

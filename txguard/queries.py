@@ -325,14 +325,15 @@ def limits_attempted(spark, sf):
 
 @query
 def limits_greedy(spark, sf):
-    tx = _tx(spark, sf)
+    tx = _tx(spark, sf).select("transaction_id", "card_id", "amount", "ts")
     out = limits.enforce(limits.with_limits(tx, _custom_limits(tx), LIMITS))
     return out.select("transaction_id", "limit_reason", "day_spent", "month_spent")
 
 
 @query
 def limit_decline_counts(spark, sf):
-    out = limits.enforce(limits.with_limits(_tx(spark, sf), None, LIMITS))
+    tx = _tx(spark, sf).select("transaction_id", "card_id", "amount", "ts")
+    out = limits.enforce(limits.with_limits(tx, None, LIMITS))
     return stats.status_counts(out.withColumn("status", F.coalesce("limit_reason", F.lit("approved"))))
 
 
@@ -421,7 +422,7 @@ def outcome_counts(spark, sf):
 @query
 def fixed_sessions(spark, sf):
     ev = tables.events(spark, sf).withColumn("ms", F.expr("unix_micros(timestamp) div 1000"))
-    return enrich.session_ids(ev, "user_id", "ms", 36 * HOUR, ties=("id",)).select("id", "session_id")
+    return enrich.session_ids(ev.select("id", "user_id", "ms"), "user_id", "ms", 36 * HOUR, ties=("id",)).select("id", "session_id")
 
 
 @query
@@ -438,7 +439,7 @@ def rate_limit_calendar(spark, sf):
 
 @query
 def rate_limit_anchored(spark, sf):
-    ev = tables.events(spark, sf)
+    ev = tables.events(spark, sf).select("id", "user_id", "ts_ms")
     return admit_anchored(ev, "user_id", "ts_ms", 2, 60_000, ties=["id"]).select("id", "used", "allowed")
 
 
@@ -447,13 +448,13 @@ def rate_limit_weighted(spark, sf):
     """Requests weigh 1 to 3; purchases reset the client's window."""
     ev = tables.events(spark, sf).withColumn("weight", F.col("event_id") % 3 + 1)
     resets = ev.where(F.col("type") == "purchase").select("user_id", "ts_ms")
-    return admit_anchored(ev, "user_id", "ts_ms", 5, 60_000, "weight", resets, ["id"]).select("id", "used", "allowed")
+    return admit_anchored(ev.select("id", "user_id", "ts_ms", "weight"), "user_id", "ts_ms", 5, 60_000, "weight", resets, ["id"]).select("id", "used", "allowed")
 
 
 @query
 def token_bucket_admission(spark, sf):
     ev = tables.events(spark, sf).withColumn("ms", F.expr("unix_micros(timestamp) div 1000"))
-    out = token_bucket(ev, "user_id", "ms", 1 / 32768, 3, ["id"])
+    out = token_bucket(ev.select("id", "user_id", "ms"), "user_id", "ms", 1 / 32768, 3, ["id"])
     return out.select("id", "allowed", F.round("tokens", 6).alias("tokens"))
 
 
@@ -603,7 +604,8 @@ def enriched_metadata(spark, sf):
     now = F.lit("2024-02-01 10:20:30").cast("timestamp")
     out = enrich.run_enrichers(ev, enrich.default_enrichers(now, tables.geo_ranges(spark, sf)))
     m = F.col("metadata")
-    return out.select("id", m["server_timestamp"].alias("server_timestamp"), F.get_json_object(m["geo"], "$.country").alias("country"),
+    return out.select("id", _micros("timestamp"), F.get_json_object("data", "$.user_id").alias("user_id"),
+                      m["server_timestamp"].alias("server_timestamp"), F.get_json_object(m["geo"], "$.country").alias("country"),
                       m["browser"].alias("browser"), m["session_id"].alias("session_id"), m["event_count"].cast("long").alias("event_count"),
                       m["source_count"].cast("long").alias("source_count"), m["origin"].alias("origin"))
 
