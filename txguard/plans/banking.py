@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter, deque
 from collections.abc import Callable, Sequence
 
@@ -54,88 +55,112 @@ class _Frame:
             self.values[value] += 1
 
 
+class CardStep:
+    """Decides the transactions of one card in order; used alike by the batch fold and the streaming state operator.
+
+    A call takes :data:`STEP_INPUTS` and then the ``outer`` features, which do not depend on this card's decisions, and
+    returns :data:`OUTCOME`. Memory is the card's recorded rows of the last 24 hours.
+    """
+
+    def __init__(self, rules: Sequence[Rule], thresholds: Thresholds, block_ttl_ms: int | None, outer: Sequence[str]):
+        self.rules = by_points(rules)
+        self.outer_names = [feature_of(c) for c in outer]
+        self.bands = [(thresholds.block, 5), (thresholds.decline, 4), (thresholds.challenge, 3), (thresholds.review, 2),
+                      (thresholds.alert, 1)]
+        self.block_ttl_ms = block_ttl_ms
+        self.frames = {"1m": _Frame(MINUTE), "5m": _Frame(5 * MINUTE), "1h": _Frame(HOUR), "24h": _Frame(DAY)}
+        self.recorded: deque = deque()
+        self.blocked_until = None
+        self.day, self.month, self.day_spent, self.month_spent = None, None, 0, 0
+
+    def dump(self) -> str:
+        """The state as text, to be kept between micro-batches."""
+        return json.dumps([list(self.recorded), self.blocked_until, self.day, self.month, self.day_spent, self.month_spent])
+
+    def load(self, text: str) -> CardStep:
+        rows, self.blocked_until, self.day, self.month, self.day_spent, self.month_spent = json.loads(text)
+        for row in rows:
+            self._record(*row)
+        return self
+
+    def _record(self, ts, amount, merchant, country) -> None:
+        self.recorded.append((ts, amount, merchant, country))
+        while self.recorded[0][0] < ts - DAY:
+            self.recorded.popleft()
+        for name, frame in self.frames.items():
+            frame.expire(ts)
+            frame.add(ts, amount, merchant if name == "1h" else country if name == "24h" else None)
+
+    def _prior_mean(self, ts) -> float:
+        """Mean amount of the last 24 hours, before this time."""
+        past = self.frames["24h"]
+        past.expire(ts)
+        total, n = past.total, len(past.rows)
+        for row in reversed(past.rows):
+            if row[0] < ts:
+                break
+            total, n = total - row[1], n - 1
+        return total / n if n else 0.0
+
+    def _limit_reason(self, amount, transaction, daily, monthly) -> str | None:
+        if amount > transaction:
+            return TRANSACTION_REASON
+        if self.day_spent + amount > daily:
+            return DAILY_REASON
+        return MONTHLY_REASON if self.month_spent + amount > monthly else None
+
+    def _holds(self, condition, fv) -> bool:
+        test = _TESTS.get(condition.operator)
+        return test is not None and test(fv.get(condition.feature) or 0.0, condition.threshold)
+
+    def __call__(self, ts, tx, card, amount, merchant, country, day, month, tx_limit, daily, monthly, reason, *others) -> tuple:
+        if day != self.day:
+            self.day, self.day_spent = day, 0
+        if month != self.month:
+            self.month, self.month_spent = month, 0
+        declined = None if amount is None else self._limit_reason(amount, tx_limit, daily, monthly)
+        if declined:
+            return ("declined", declined, None, None, [], [], [], None)
+        if reason is None and self.blocked_until is not None and ts < self.blocked_until:
+            reason = f"card {card} is blocked"
+        if reason is not None:
+            return ("declined_by_fraud", None, MAX_SCORE, "block", ["PRE_CHECK_FAILED"], [], [f"Pre-check: {reason}"], None)
+
+        mean = self._prior_mean(ts)
+        self._record(ts, amount, merchant, country)
+        frames = self.frames
+        fv = dict(zip(self.outer_names, others))
+        fv.update({f"card:tx_count_{name}": len(frame.rows) for name, frame in frames.items()})
+        fv.update({
+            "card:amount_sum_1h": frames["1h"].total, "card:amount_sum_24h": frames["24h"].total,
+            "card:unique_merchants_1h": len(frames["1h"].values), "card:unique_countries_24h": len(frames["24h"].values),
+            "card:amount_ratio_vs_avg24h": amount / mean if mean > 0 else 0.0,
+        })
+        fired = [r for r in self.rules if r.conditions and all(self._holds(c, fv) for c in r.conditions)]
+        points = min(MAX_SCORE, sum(r.risk_points for r in fired))
+        severity = 0
+        if fired:
+            band = next((s for floor, s in self.bands if points >= floor), 0)
+            severity = max(band, *[SEVERITY.get(r.action, 0) for r in fired])
+        if severity == 5:
+            self.blocked_until = ts + self.block_ttl_ms if self.block_ttl_ms is not None else 2**62
+        status, remaining = "declined_by_fraud", None
+        if severity < 4:
+            status, remaining = "approved", daily - self.day_spent - amount
+            self.day_spent += int(amount)
+            self.month_spent += int(amount)
+        return (status, None, points, ACTIONS[severity], [r.reason_code for r in fired], [r.id for r in fired],
+                [explain(r) for r in fired], remaining)
+
+
 def card_step(
     rules: Sequence[Rule] = DEFAULT_RULES,
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
     block_ttl_ms: int | None = DAY,
     outer: Sequence[str] = (),
-) -> Callable[[], Callable[..., tuple]]:
-    """The step of one card, used alike by the batch fold and by the streaming state operator.
-
-    Its inputs are :data:`STEP_INPUTS` and then the ``outer`` features, which do not depend on this card's decisions. Rows
-    of equal time are taken in order of their id.
-    """
-    ordered = by_points(rules)
-    outer_names = [feature_of(c) for c in outer]
-    bands = [(thresholds.block, 5), (thresholds.decline, 4), (thresholds.challenge, 3), (thresholds.review, 2), (thresholds.alert, 1)]
-
-    def fold() -> Callable[..., tuple]:
-        frames = {
-            "1m": _Frame(MINUTE), "5m": _Frame(5 * MINUTE), "1h": _Frame(HOUR), "24h": _Frame(DAY),
-        }
-        blocked_until = None
-        day, month, day_spent, month_spent = None, None, 0, 0
-
-        def step(ts, tx, card, amount, merchant, country, today, this_month, tx_limit, daily, monthly, reason, *others) -> tuple:
-            nonlocal blocked_until, day, month, day_spent, month_spent
-            if today != day:
-                day, day_spent = today, 0
-            if this_month != month:
-                month, month_spent = this_month, 0
-            declined = None
-            if amount > tx_limit:
-                declined = TRANSACTION_REASON
-            elif day_spent + amount > daily:
-                declined = DAILY_REASON
-            elif month_spent + amount > monthly:
-                declined = MONTHLY_REASON
-            if declined:
-                return ("declined", declined, None, None, [], [], [], None)
-            if reason is None and blocked_until is not None and ts < blocked_until:
-                reason = f"card {card} is blocked"
-            if reason is not None:
-                return ("declined_by_fraud", None, MAX_SCORE, "block", ["PRE_CHECK_FAILED"], [], [f"Pre-check: {reason}"], None)
-
-            past = frames["24h"]
-            past.expire(ts)
-            before = [r for r in past.rows if r[0] < ts] if past.rows and past.rows[-1][0] == ts else past.rows
-            n_before = len(before)
-            mean_before = (past.total if before is past.rows else sum(r[1] for r in before)) / n_before if n_before else 0.0
-            for name, frame in frames.items():
-                frame.expire(ts)
-                frame.add(ts, amount, merchant if name == "1h" else country if name == "24h" else None)
-            fv = dict(zip(outer_names, others))
-            fv.update({
-                "card:tx_count_1m": len(frames["1m"].rows), "card:tx_count_5m": len(frames["5m"].rows),
-                "card:tx_count_1h": len(frames["1h"].rows), "card:tx_count_24h": len(past.rows),
-                "card:amount_sum_1h": frames["1h"].total, "card:amount_sum_24h": past.total,
-                "card:unique_merchants_1h": len(frames["1h"].values), "card:unique_countries_24h": len(past.values),
-                "card:amount_ratio_vs_avg24h": amount / mean_before if mean_before > 0 else 0.0,
-            })
-            fired = [
-                r for r in ordered
-                if r.conditions and all(
-                    c.operator in _TESTS and _TESTS[c.operator](fv.get(c.feature) or 0.0, c.threshold) for c in r.conditions
-                )
-            ]
-            points = min(MAX_SCORE, sum(r.risk_points for r in fired))
-            severity = 0
-            if fired:
-                band = next((s for floor, s in bands if points >= floor), 0)
-                severity = max(band, *[SEVERITY.get(r.action, 0) for r in fired])
-            if severity == 5:
-                blocked_until = ts + block_ttl_ms if block_ttl_ms is not None else 2**62
-            status, remaining = "declined_by_fraud", None
-            if severity < 4:
-                status, remaining = "approved", daily - day_spent - amount
-                day_spent += int(amount)
-                month_spent += int(amount)
-            return (status, None, points, ACTIONS[severity], [r.reason_code for r in fired], [r.id for r in fired],
-                    [explain(r) for r in fired], remaining)
-
-        return step
-
-    return fold
+) -> Callable[[], CardStep]:
+    """Makes the step of a new card."""
+    return lambda: CardStep(rules, thresholds, block_ttl_ms, outer)
 
 
 CARD_COLUMN_NAMES = frozenset(s.name for s in CARD) | {"card__amount_ratio_vs_avg24h"}

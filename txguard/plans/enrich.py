@@ -8,18 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.functions.columns import blank_to_null, rfc3339
+from txguard.functions.columns import any_of, blank_to_null, rfc3339
 from txguard.operators.folds import anchored
 from txguard.operators.running import gap_runs
 from txguard.operators.skew import DEFAULT_SKEW, Skew
 
 Enricher = Callable[[DataFrame], DataFrame]
 
-# User agent patterns, first match wins.
-BROWSERS = (("Edge", "Edg/"), ("Chrome", "Chrome/"), ("Firefox", "Firefox/"), ("Safari", "Safari/"), ("curl", "^curl/"))
-SYSTEMS = (("Windows", "Windows NT"), ("iOS", "iPhone|iPad"), ("Android", "Android"), ("MacOS", "Mac OS X"), ("Linux", "Linux"))
-DEVICES = (("Tablet", "iPad|Tablet"), ("Mobile", "Mobile|iPhone|Android"), ("Desktop", "Windows NT|Macintosh|X11"))
-
+# Fragments of user agents, first match wins.
+BROWSERS = (("Edge", ("Edg/",)), ("Chrome", ("Chrome/",)), ("Firefox", ("Firefox/",)), ("Safari", ("Safari/",)), ("curl", ("curl/",)))
+SYSTEMS = (("Windows", ("Windows NT",)), ("iOS", ("iPhone", "iPad")), ("Android", ("Android",)), ("MacOS", ("Mac OS X",)),
+           ("Linux", ("Linux",)))
+DEVICES = (("Tablet", ("iPad", "Tablet")), ("Mobile", ("Mobile", "iPhone", "Android")), ("Desktop", ("Windows NT", "Macintosh", "X11")))
 
 
 def run_enrichers(df: DataFrame, enrichers: Iterable[Enricher]) -> DataFrame:
@@ -42,10 +42,10 @@ def server_time(now: Column) -> Enricher:
     return apply
 
 
-def first_match(text: Column, table: Iterable[tuple[str, str]], default: str = "Other") -> Column:
+def first_match(text: Column, table: Iterable[tuple[str, tuple[str, ...]]], default: str = "Other") -> Column:
     out = F.lit(default)
-    for name, pattern in reversed(list(table)):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+    for name, fragments in reversed(list(table)):
+        out = F.when(any_of([text.contains(f) for f in fragments]), name).otherwise(out)
     return F.when(text.isNotNull() & (text != ""), out)
 
 
@@ -73,12 +73,11 @@ def range_lookup(df: DataFrame, number: str, ranges: DataFrame, values: list[str
     broadcasts the range table when it is small; if it is not, both sides shuffle on the block, and AQE splits a block
     that many rows share.
     """
-    size = 1 << block_bits
     cut = ranges.select(
-        F.explode(F.sequence(F.floor(F.col("start_num") / size), F.floor(F.col("end_num") / size))).alias("__block"),
+        F.explode(F.sequence(F.shiftright("start_num", block_bits), F.shiftright("end_num", block_bits))).alias("__block"),
         "start_num", "end_num", *values,
     )
-    probe = df.withColumn("__block", F.floor(F.col(number) / size))
+    probe = df.withColumn("__block", F.shiftright(F.col(number), block_bits))
     hit = (probe["__block"] == cut["__block"]) & (F.col(number) >= F.col("start_num")) & (F.col(number) <= F.col("end_num"))
     return probe.join(cut, hit, "left").select(*[probe[c] for c in df.columns], *[cut[v] for v in values])
 
