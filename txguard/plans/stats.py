@@ -37,9 +37,16 @@ def stats_query(df: DataFrame, as_of: Column, seconds: int = 60, event_type: str
     return current_window(df, "type", as_of, seconds)
 
 
-def hopping_counts(df: DataFrame, by: str, window: str, slide: str) -> DataFrame:
-    """Events per ``by`` and overlapping window."""
-    # Counting per slide first means the expansion into overlapping windows touches counts, not events.
+def hopping_counts(df: DataFrame, by: str, window_s: int, slide_s: int) -> DataFrame:
+    """Events per ``by`` and overlapping window.
+
+    Where the window is a whole number of slides, events are counted per slide first, so that the expansion into
+    overlapping windows touches counts and not events.
+    """
+    window, slide = f"{window_s} seconds", f"{slide_s} seconds"
+    if window_s % slide_s:
+        direct = df.groupBy(F.window("timestamp", window, slide).alias("h"), by).agg(F.count(F.lit(1)).alias("count"))
+        return direct.select(F.col("h.start").alias("window_start"), by, "count")
     slid = df.groupBy(F.window("timestamp", slide).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return (
         slid.groupBy(F.window(F.col("w.start"), window, slide).alias("h"), by)

@@ -505,7 +505,7 @@ def stats_one_source(spark, sf):
 
 @query
 def hopping_counts(spark, sf):
-    return stats.hopping_counts(tables.events(spark, sf), "type", "6 hours", "1 hour").select(_micros("window_start"), "type", "count")
+    return stats.hopping_counts(tables.events(spark, sf), "type", 6 * 3600, 3600).select(_micros("window_start"), "type", "count")
 
 
 def _submitted(spark, sf):

@@ -67,11 +67,12 @@ def read_event_file(spark: SparkSession, path: str, now: Column | None = None) -
 def append_events(df: DataFrame, path: str) -> None:
     """Append to the events table: one folder per month, files sorted for reads by type and source.
 
-    Rows spread over (month, hash of id), so a month that holds most rows is still written by many tasks.
+    Rows are rebalanced by month: AQE cuts a month that holds most rows into many tasks, and joins small ones, so that
+    files come out near the advisory size.
     """
-    spread = df.withColumn("yyyymm", month_partition(F.col("timestamp")))
     (
-        spread.repartition("yyyymm", F.pmod(F.xxhash64("id"), F.lit(64)))
+        df.withColumn("yyyymm", month_partition(F.col("timestamp")))
+        .hint("rebalance", "yyyymm")
         .sortWithinPartitions("yyyymm", "type", "source", "timestamp")
         .write.mode("append").option("compression", "lz4").partitionBy("yyyymm").parquet(path)
     )
