@@ -9,15 +9,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txguard.functions.columns import blank_to_null, whole_units
 from txguard.operators.folds import ordered_fold
+from txguard.operators.running import running
 from txguard.operators.skew import DEFAULT_SKEW, Skew
 from txguard.operators.sliding import DAY, HOUR, MINUTE
 from txguard.plans.baselines import with_baselines
-from txguard.plans.features import CARD, card_features, customer_features, device_features, feature_of
-from txguard.plans.limits import DAILY_REASON, DEFAULT_LIMITS, MONTHLY_REASON, TRANSACTION_REASON, Limits, with_limits, with_periods
 from txguard.plans.engine import precheck_reason
-from txguard.plans.rules import DEFAULT_RULES, SEVERITY, ACTIONS, Rule
-from txguard.plans.scoring import DEFAULT_THRESHOLDS, MAX_SCORE, Thresholds, by_points, explain
+from txguard.plans.features import CARD, PRIOR, card_features, customer_features, device_features, feature_of, with_amount_ratio
+from txguard.plans.limits import (
+    DAILY_REASON, DEFAULT_LIMITS, MONTHLY_REASON, TRANSACTION_REASON, Limits, attempted_spend, limit_check, with_limits,
+    with_periods,
+)
+from txguard.plans.rules import ACTIONS, DEFAULT_RULES, SEVERITY, Rule
+from txguard.plans.scoring import DEFAULT_THRESHOLDS, MAX_SCORE, Thresholds, by_points, explain, score
 
 OUTCOME = (
     "status string, limit_reason string, risk_score int, action string, reason_codes array<string>, "
@@ -206,6 +211,63 @@ def decide_in_order(
     )
 
 
+def decide_where_needed(
+    prepared: DataFrame,
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    thresholds: Thresholds = DEFAULT_THRESHOLDS,
+    block_ttl_ms: int | None = DAY,
+    skew: Skew = DEFAULT_SKEW,
+) -> DataFrame:
+    """The result of :func:`decide_in_order`, folding only the cards whose decisions feed back into later ones.
+
+    Take every attempt as recorded and as spent. A card on which, even so, no limit is exceeded and no block is decided
+    had nothing refused, so these windows are its true history and its decisions come from the plan. The other cards are
+    folded. Rows that name no card touch no history and are decided on their own.
+    """
+    good = prepared.where(F.col("precheck_reason").isNull())
+    bad = prepared.where(F.col("precheck_reason").isNotNull())
+    scored = score(with_amount_ratio(card_features(good, CARD + PRIOR, skew)), rules, thresholds)
+    tried = attempted_spend(scored, skew=skew)
+    exceeded = limit_check(F.col("amount"), F.col("day_before"), F.col("month_before"))
+    named = blank_to_null(F.col("card_id").cast("string")).isNotNull()
+    # A refused row with a positive amount still asks for the limits, so its card is folded as well.
+    asks = named & F.coalesce(F.col("amount") > 0, F.lit(False))
+    feedback = (
+        tried.where((F.col("action") == "block") | exceeded.isNotNull()).select("card_id")
+        .unionByName(bad.where(asks).select("card_id")).distinct()
+    )
+    outcome = [part.split()[0] for part in OUTCOME.split(", ")]
+    keep = [*prepared.columns, *outcome]
+
+    passed = ~F.col("action").isin("decline", "block")
+    free = running(tried.join(feedback, "card_id", "left_anti").withColumn("__units", F.when(passed, whole_units(F.col("amount")))),
+                   ["card_id", "month", "day"], "__us", {"__spent": ("sum", F.col("__units"))}, ["transaction_id"], "before",
+                   Skew(skew.hot_rows, skew.slice_ms * 1000, skew.min_bytes))
+    left = F.col("daily_limit") - F.coalesce(F.col("__spent"), F.lit(0)) - F.col("amount")
+    free = free.withColumns({
+        "status": F.when(passed, "approved").otherwise("declined_by_fraud"),
+        "limit_reason": F.lit(None).cast("string"),
+        "remaining_limit": F.when(passed, left),
+    }).select(*keep)
+
+    alone = bad.where(~asks).join(feedback, "card_id", "left_anti")
+    zero = F.lit(0)
+    over = F.coalesce(limit_check(F.col("amount"), zero, zero), F.lit(None).cast("string"))
+    none = F.array().cast("array<string>")
+    alone = alone.withColumn("limit_reason", over).withColumns({
+        "status": F.when(F.col("limit_reason").isNotNull(), "declined").otherwise("declined_by_fraud"),
+        "risk_score": F.when(F.col("limit_reason").isNull(), F.lit(MAX_SCORE)),
+        "action": F.when(F.col("limit_reason").isNull(), "block"),
+        "reason_codes": F.when(F.col("limit_reason").isNull(), F.array(F.lit("PRE_CHECK_FAILED"))).otherwise(none),
+        "triggered_rules": none,
+        "explain_lines": F.when(F.col("limit_reason").isNull(), F.array(F.concat(F.lit("Pre-check: "), "precheck_reason"))).otherwise(none),
+        "remaining_limit": F.lit(None).cast("double"),
+    }).select(*keep)
+
+    folded = decide_in_order(prepared.join(feedback, "card_id", "left_semi"), rules, thresholds, block_ttl_ms)
+    return free.unionByName(alone).unionByName(folded.select(*keep))
+
+
 def response_annotation(df: DataFrame) -> DataFrame:
     """Risk annotation of approved transactions that need attention: challenge and review."""
     noted = (F.col("status") == "approved") & F.col("action").isin("challenge", "review")

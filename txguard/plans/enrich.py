@@ -29,10 +29,14 @@ def run_enrichers(df: DataFrame, enrichers: Iterable[Enricher]) -> DataFrame:
 
 def add_metadata(df: DataFrame, entries: dict[str, Column]) -> DataFrame:
     """Merge entries into ``metadata``; null entries are left out, other keys are kept."""
-    names = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in entries.items()]
-    new = F.map_from_entries(F.filter(F.array(*names), lambda e: e["value"].isNotNull()))
     old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    return df.withColumn("metadata", F.map_concat(old, new))
+    texts = {k: v.cast("string") for k, v in entries.items()}
+    full = F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), v)])
+    some = F.map_filter(full, lambda _, v: v.isNotNull())
+    complete = reduce(lambda a, b: a & b, [v.isNotNull() for v in texts.values()])
+    # Nearly always all entries are there, or the only one is missing: both stay inside generated code.
+    new = F.when(complete, F.map_concat(old, full))
+    return df.withColumn("metadata", new.otherwise(old if len(texts) == 1 else F.map_concat(old, some)))
 
 
 def server_time(now: Column) -> Enricher:

@@ -62,10 +62,10 @@ def device_features(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
 
 def amount_ratio(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """Amount over the card's average of the previous 24 hours; 0 without previous rows."""
-    return _with_ratio(card_features(df, PRIOR, skew))
+    return with_amount_ratio(card_features(df, PRIOR, skew))
 
 
-def _with_ratio(df: DataFrame) -> DataFrame:
+def with_amount_ratio(df: DataFrame) -> DataFrame:
     average = F.col("__prior_sum") / F.col("__prior_n")
     ratio = F.when((F.col("__prior_n") > 0) & (average > 0), F.col("amount") / average).otherwise(F.lit(0.0))
     return df.withColumn("card__amount_ratio_vs_avg24h", ratio).drop("__prior_n", "__prior_sum")
@@ -77,7 +77,7 @@ def snapshot(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     Three exchanges, one per entity; the card family comes last so that card-keyed work after it needs no further one.
     """
     out = customer_features(device_features(df, skew), skew)
-    return _with_ratio(card_features(out, CARD + PRIOR, skew))
+    return with_amount_ratio(card_features(out, CARD + PRIOR, skew))
 
 
 def ttl_sessions(df: DataFrame, feature_columns: Sequence[str] = tuple(TTL_SESSIONS), skew: Skew = DEFAULT_SKEW) -> DataFrame:

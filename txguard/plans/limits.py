@@ -80,7 +80,7 @@ def attempted_spend(df: DataFrame, ts: str = "__us", skew: Skew = DEFAULT_SKEW)
     return daily.withColumns({c: F.coalesce(c, zero) for c in ("month_before", "day_before")}).drop("__units")
 
 
-def _check(amount: Column, day_spent: Column, month_spent: Column) -> Column:
+def limit_check(amount: Column, day_spent: Column, month_spent: Column) -> Column:
     return (
         F.when(amount > F.col("transaction_limit"), TRANSACTION_REASON)
         .when(day_spent + amount > F.col("daily_limit"), DAILY_REASON)
@@ -91,7 +91,7 @@ def _check(amount: Column, day_spent: Column, month_spent: Column) -> Column:
 def attempted_check(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """The limit check against attempted spend: a window, not a fold; stricter than :func:`enforce`."""
     rows = attempted_spend(df, skew=skew)
-    return rows.withColumn("limit_reason", _check(F.col("amount"), F.col("day_before"), F.col("month_before"))).drop("__us")
+    return rows.withColumn("limit_reason", limit_check(F.col("amount"), F.col("day_before"), F.col("month_before"))).drop("__us")
 
 
 def greedy_step() -> Callable[..., tuple]:
@@ -130,7 +130,7 @@ def enforce(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     rows = with_periods(df).withColumn("__us", F.unix_micros("ts"))
     small = rows.where(F.col("amount") <= F.col("transaction_limit"))
     tried = attempted_spend(small, skew=skew)
-    over = F.when(_check(F.col("amount"), F.col("day_before"), F.col("month_before")).isNotNull(), 1).otherwise(0)
+    over = F.when(limit_check(F.col("amount"), F.col("day_before"), F.col("month_before")).isNotNull(), 1).otherwise(0)
     wide = Skew(skew.hot_rows, skew.slice_ms * 1000, skew.min_bytes)
     marked = running(tried.withColumn("__over", over), ["card_id", "month"], "__us", {"__bound": ("max", F.col("__over"))},
                      ["transaction_id"], "rows", wide)

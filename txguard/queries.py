@@ -410,6 +410,18 @@ def banking_outcomes(spark, sf):
                       F.round("remaining_limit", 2).alias("remaining_limit"))
 
 
+@query
+def banking_outcomes_default_limits(spark, sf):
+    """The default limits and rules without the velocity block: most cards need no fold."""
+    tx = _tx(spark, sf)
+    calm = [r for r in rules.DEFAULT_RULES if r.id not in ("velocity_1m", "geo_spread")]
+    prepared = banking.prepare(tx, merchants=baselines.merchant_risk(tx, AS_OF))
+    out = banking.response_annotation(banking.decide_where_needed(prepared, calm))
+    return out.select("transaction_id", "status", F.col("risk_score").cast("long").alias("risk_score"), "action",
+                      F.array_join("triggered_rules", ",").alias("triggered_rules"), "risk_note",
+                      F.round("remaining_limit", 2).alias("remaining_limit"))
+
+
 @query
 def outcome_counts(spark, sf):
     """Transactions by status of the full decision."""
