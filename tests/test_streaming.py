@@ -134,3 +134,17 @@ def test_rules_reload_between_batches(spark, split, tmp_path):
 
     jobs.stateless_decisions(stream(spark, split / "tx"), str(path), decide_batch, write, str(tmp_path / "c"), None).awaitTermination()
     assert seen[0] == 100 and seen[-1] == 200 and len(seen) == 4
+
+
+def test_bad_payloads_do_not_hold_up_the_topic(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    tx = {"transaction_id": "t1", "card_number": "4532", "amount": 5000.0, "timestamp": "2024-01-05T14:00:00Z", "device_id": "",
+          "location": {"country": "RU", "city": "Moscow"}}
+    (src / "a.txt").write_text(json.dumps(tx) + "\nnot json\n")
+    raw = spark.readStream.schema("value string").text(str(src))
+    out, dead = str(tmp_path / "ok"), str(tmp_path / "dead")
+    jobs.transactions_from_topic(raw, jobs.batch_folder(out), jobs.batch_folder(dead), str(tmp_path / "c"), None).awaitTermination()
+    row = spark.read.parquet(out).first()
+    assert (row["card_id"], row["country"], row["device_id"], row["ts_ms"]) == ("4532", "RU", None, 1704463200000)
+    assert [r["payload"] for r in spark.read.parquet(dead).collect()] == ["not json"]

@@ -81,7 +81,8 @@ def _by_deltas(
     value is still covered starts where the earlier cover ends, so each value counts once.
     """
     t = F.col(ts)
-    base = df.withColumn("__row", F.struct(*df.columns))
+    needed = dict.fromkeys([*keys, ts, *[s.value for s in specs if s.value]])
+    base = df.select(*needed, F.struct(*df.columns).alias("__row"))
     prevs: dict[str, str] = {}
     for s in specs:
         if s.kind == "distinct" and s.value not in prevs:

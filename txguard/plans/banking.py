@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txguard.functions.columns import blank_to_null, whole_units
+from txguard.functions.columns import blank_to_null, epoch_ms, whole_units
 from txguard.operators.folds import ordered_fold
 from txguard.operators.running import running
 from txguard.operators.skew import DEFAULT_SKEW, Skew
@@ -276,6 +276,18 @@ def response_annotation(df: DataFrame) -> DataFrame:
     })
 
 
+def transaction_context(df: DataFrame) -> DataFrame:
+    """Bank transactions in the columns the features are built from; empty ids become null."""
+    return df.select(
+        "transaction_id", F.col("card_number").alias("card_id"), blank_to_null(F.col("account_id")).alias("account_id"),
+        blank_to_null(F.col("user_id")).alias("customer_id"), blank_to_null(F.col("device_id")).alias("device_id"),
+        "amount", "currency", blank_to_null(F.col("merchant_id")).alias("merchant_id"),
+        blank_to_null(F.col("location.country")).alias("country"), F.col("location.city").alias("city"),
+        F.col("ip_address").alias("ip"), F.col("merchant_mcc").alias("mcc"), epoch_ms(F.col("timestamp")).alias("ts_ms"),
+        F.col("timestamp").alias("ts"),
+    )
+
+
 def transaction_event(df: DataFrame) -> DataFrame:
     """Bank transactions flattened to analytics events."""
     data = F.to_json(F.struct(

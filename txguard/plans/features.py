@@ -48,6 +48,16 @@ def feature_of(column: str) -> str:
     return column.replace("__", ":", 1)
 
 
+def merge_features(*maps: str) -> Column:
+    """Merge feature maps; the later map wins on a shared key (``mapKeyDedupPolicy`` is LAST_WIN in our sessions)."""
+    return F.map_concat(*[F.coalesce(m, F.create_map().cast("map<string,double>")) for m in maps])
+
+
+def feature_map(columns: Sequence[str]) -> Column:
+    """Wide feature columns as one map under their feature names."""
+    return F.create_map(*[x for c in columns for x in (F.lit(feature_of(c)), F.col(c).cast("double"))])
+
+
 def card_features(df: DataFrame, specs: Sequence[Sliding] = CARD, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     return sliding(df, ["card_id"], "ts_ms", specs, skew)
 

@@ -282,6 +282,27 @@ def legacy_best_rule(spark, sf):
     return legacy.detect(tx, blacklist).select("transaction_id", "is_fraud", "confidence", "triggered_rule", "action", "reason")
 
 
+@query
+def legacy_auto_block(spark, sf):
+    """Transactions refused because an earlier one of the card came from a listed address."""
+    tx = _legacy_input(spark, sf)
+    found = legacy.detect(tx, tx.where(F.col("fraud_label") == "confirmed").select("ip"))
+    out = blocks.block_feedback(found, legacy.auto_block(found))
+    return out.where(F.col("blocked_by_ms").isNotNull()).select("transaction_id", "blocked_by_ms")
+
+
+@query
+def feature_maps(spark, sf):
+    """Card features and baselines merged into one map; baselines come later and win."""
+    tx = _tx(spark, sf)
+    feats = baselines.with_baselines(features.card_features(tx, features.CARD[:2]), baselines.card_baselines(tx, AS_OF))
+    merged = feats.select("transaction_id", features.feature_map(["card__tx_count_1m", "card__tx_count_5m"]).alias("a"),
+                          features.feature_map(["card__tx_count_30d", "card__tx_count_7d"]).alias("b"))
+    m = features.merge_features("a", "b")
+    return merged.select("transaction_id", F.size(m).cast("long").alias("n"), m["card:tx_count_1m"].alias("one_minute"),
+                         m["card:tx_count_7d"].alias("seven_days"))
+
+
 @query
 def location_anomaly(spark, sf):
     out = legacy.previous_location(_legacy_input(spark, sf), 20_000)
@@ -534,6 +555,15 @@ def event_validation(spark, sf):
         events.validate(_submitted(spark, sf)).withColumn("status", F.coalesce("reject_reason", F.lit("accepted"))))
 
 
+@query
+def ingestion_counters(spark, sf):
+    """Submitted events by status; a client's third event within 20 s is turned away before it is looked at."""
+    ev = _submitted(spark, sf).select("id", "type", "event_id", "user_id", "ts_ms").withColumn("user_id", F.coalesce("user_id", F.lit(-1)))
+    seen = admission.admit_calendar(ev, "user_id", "ts_ms", 2, 20_000, ["event_id"])
+    status = F.when(~F.col("allowed"), "rate_limited").when(events.reject_reason().isNotNull(), "error").otherwise("accepted")
+    return stats.status_counts(seen.withColumn("status", status))
+
+
 @query
 def batch_accept_summary(spark, sf):
     return events.batch_summary(_submitted(spark, sf).withColumn("batch_id", F.expr("event_id div 500")))

@@ -15,11 +15,11 @@ from txguard.functions.columns import window_label
 from txguard.plans import events
 from txguard.plans.baselines import with_baselines
 from txguard.plans.limits import Limits, DEFAULT_LIMITS, with_limits, with_periods
-from txguard.plans.banking import OUTCOME, STEP_INPUTS, CardStep, card_step, outer_features
+from txguard.plans.banking import OUTCOME, STEP_INPUTS, CardStep, card_step, outer_features, transaction_context
 from txguard.plans.engine import precheck_reason
 from txguard.plans.rules import DEFAULT_RULES, Rule, load_rules
 from txguard.plans.scoring import DEFAULT_THRESHOLDS, Thresholds
-from txguard.sources.storage import CORRUPT
+from txguard.sources.storage import CORRUPT, decode, split_decoded
 
 OUTCOME_NAMES = [part.split()[0] for part in OUTCOME.split(", ")]
 Sink = Callable[[DataFrame, int], None]
@@ -213,6 +213,19 @@ def stateless_decisions(tx: DataFrame, rules_path: str, decide_batch: Callable[[
     return micro_batches(tx, run, checkpoint, every)
 
 
+def transactions_from_topic(raw: DataFrame, accept: Sink, dead_letters: Sink, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
+    """Decode transaction payloads (column ``value``): good ones as feature contexts to ``accept``, bad ones to ``dead_letters``.
+
+    A bad payload never holds up the batch. ``accept`` usually appends to the table the decision job reads.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_decoded(decode(batch.select("value")))
+        accept(transaction_context(events.default_timestamp(good, F.current_timestamp())), batch_id)
+        dead_letters(bad, batch_id)
+
+    return micro_batches(raw, run, checkpoint, every)
+
+
 def counters(query: StreamingQuery) -> dict[str, float]:
     """Pipeline counters of a running job, from its progress reports."""
     reports = query.recentProgress
