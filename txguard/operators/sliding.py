@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txguard.operators.running import running
-from txguard.operators.skew import COLD, DEFAULT_SKEW, HOT, Hot, Skew, find_hot, flag_hot, null_spread
+from txguard.operators.skew import COLD, DEFAULT_SKEW, HOT, Hot, Skew, find_hot, flag_hot
 
 MINUTE = 60_000
 HOUR = 60 * MINUTE
@@ -50,25 +50,21 @@ def sliding(df: DataFrame, keys: Sequence[str], ts: str, specs: Sequence[Sliding
 
 
 def _by_frames(df: DataFrame, keys: list[str], ts: str, specs: Sequence[Sliding], spread_nulls: bool = False) -> DataFrame:
-    missing = F.lit(False)
-    for k in keys:
-        missing = missing | F.col(k).isNull()
-    parts: list[Column | str] = list(keys)
+    missing = " or ".join(f"`{k}` is null" for k in keys)
+    parts = ", ".join(f"`{k}`" for k in keys)
     if spread_nulls:
-        parts.append(null_spread(keys, ts))
-
-    def value_of(s: Sliding) -> Column:
-        w = Window.partitionBy(*parts).orderBy(ts).rangeBetween(-s.width_ms, -1 if s.prior else 0)
-        if s.kind == "count":
-            col = F.count(F.lit(1)).over(w)
-        elif s.kind == "sum":
-            col = F.coalesce(F.sum(s.value).over(w), F.lit(0.0))
-        else:
-            col = F.size(F.collect_set(s.value).over(w)).cast("long")
-        zero = F.lit(0.0) if s.kind == "sum" else F.lit(0).cast("long")
-        return F.when(missing, zero).otherwise(col)
-
-    return df.withColumns({s.name: value_of(s) for s in specs})
+        parts += f", case when {missing} then pmod(xxhash64(`{ts}`), 4096) end"
+
+    def value_of(s: Sliding) -> str:
+        end = "1 preceding" if s.prior else "current row"
+        w = f"over (partition by {parts} order by `{ts}` range between {s.width_ms} preceding and {end})"
+        if s.kind == "sum":
+            return f"if({missing}, 0D, coalesce(sum(`{s.value}`) {w}, 0D)) as `{s.name}`"
+        counted = f"count(1) {w}" if s.kind == "count" else f"cast(size(collect_set(`{s.value}`) {w}) as bigint)"
+        return f"if({missing}, 0L, {counted}) as `{s.name}`"
+
+    kept = [f"`{c}`" for c in df.columns if c not in {s.name for s in specs}]
+    return df.selectExpr(*kept, *[value_of(s) for s in specs])
 
 
 def _by_deltas(
