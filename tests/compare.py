@@ -51,11 +51,17 @@ def diff(spark, con, fn, sql, sf_dir):
 def main(argv):
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     from __spark_entry__ import oracle_sql, queries
-    from txguard.session import local_session
+    from pyspark.sql import SparkSession
 
     sf_dir = argv[0]
     names = argv[1:] or list(queries())
-    spark, con, sqls = local_session(8), connect(sf_dir), oracle_sql()
+    # A session without any of our settings, in another time zone: queries must bring what they rely on.
+    spark = (
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "America/New_York").getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    con, sqls = connect(sf_dir), oracle_sql()
     failed = 0
     for name in names:
         start = time.time()
