@@ -26,11 +26,13 @@ class Skew:
 
     ``hot_rows``: keys with more rows are sliced. ``slice_ms``: width of one slice on the time axis.
     ``min_bytes``: inputs estimated below this are one task's work as a whole, so no key in them is hot.
+    ``frame_min_bytes``: the same for value-bounded frames, where a dense key costs the square of its rows.
     """
 
     hot_rows: int = 20_000
     slice_ms: int = 60_000
     min_bytes: int = 256 * 1024 * 1024
+    frame_min_bytes: int = 4 * 1024 * 1024
 
 
 DEFAULT_SKEW = Skew()

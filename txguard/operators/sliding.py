@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ def sliding(df: DataFrame, keys: Sequence[str], ts: str, specs: Sequence[Sliding
     per row, which is quadratic for a dense key, so hot keys take :func:`_by_deltas` instead.
     """
     keys = list(keys)
-    hot = find_hot(df, keys, skew)
+    hot = find_hot(df, keys, replace(skew, min_bytes=min(skew.min_bytes, skew.frame_min_bytes)))
     if hot.frame is None:
         return _by_frames(df, keys, ts, specs, hot.spread_nulls)
     flagged = flag_hot(df, hot.frame)
