@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from txguard.plans import banking, rules
+from txguard.plans import banking
 from txguard.plans.limits import Limits, with_limits, with_periods
 from txguard.plans.engine import precheck_reason
 from txguard.sources import tables

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txguard.functions.columns import blank_to_null
-from txguard.operators.skew import DEFAULT_SKEW, Skew
 
 
 def reject_reason() -> Column:
