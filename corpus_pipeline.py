@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import mixing, packing, quality
+from txguard.llm import jaccard, line_dedup, mixing, packing, quality
 from txguard.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,6 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later documents without the blocks they share with earlier ones; those of which nothing is left go."""
+    return line_dedup.deduplicated_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, four fifths of them shared."""
+    return jaccard.without_near_copies(docs, k=5, percent=80)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
     return mixing.mixed_documents(docs, SEED)
@@ -35,6 +45,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 #: Applied in this order.
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
+    ("line dedup", line_deduplication),
+    ("near duplicates", near_duplicates),
     ("mixing", mixing_sources),
     ("packing", best_fit_packing),
 ]

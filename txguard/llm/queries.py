@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import mixing, packing, quality, token_files
+from txguard.llm import chat, jaccard, licenses, line_dedup, mixing, packing, pivots, quality, secrets, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -25,19 +25,77 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": _license_sql()}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _license_sql() -> str:
+    """The licence scan in SQL, from the same tables of sentences and rules."""
+    text = "coalesce(text, '')"
+    for pattern in licenses.WRAPPED:
+        text = f"regexp_replace({text}, '{pattern}', '\\1 \\2', 'g')"
+    units = f"string_split(regexp_replace(replace({text}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier'), '{licenses.STOPS}', chr(10), 'g'), chr(10))"
+    normal = (f"regexp_replace(regexp_replace(translate(s, '{licenses._UPPER}', '{licenses._LOWER}'), '{licenses.OTHER}', ' ', 'g'), "
+              f"'{licenses.ENDS}', '', 'g')")
+    known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items())
+    sequence = "list_aggregate(list_transform(found, x -> '<' || x || '>'), 'string_agg', '')"
+    for name, parts in licenses.RULES:
+        sequence = f"replace({sequence}, '{''.join(f'<{p}>' for p in parts)}', '<={name}>')"
+    return f"""
+        WITH cut AS (
+            SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?i){licenses.ANCHORS}')
+                   THEN list_filter(list_transform({units}, s -> {normal}), s -> s <> '') ELSE [] END AS sentences FROM documents),
+        named AS (
+            SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, list_transform(sentences, s -> coalesce((MAP {{{known}}})[s], '?')) AS found
+            FROM cut),
+        marked AS (
+            SELECT *, regexp_extract_all(coalesce({sequence}, ''), '<([^>]*)>', 1) AS after FROM named)
+        SELECT doc_id, n_sentences, coalesce(array_to_string(list_filter(found, x -> x <> '?'), ','), '') AS identifiers,
+               coalesce(array_to_string(list_transform(list_filter(after, x -> starts_with(x, '=')), x -> substr(x, 2)), ','), '') AS licenses,
+               coalesce(array_to_string(list_filter(after, x -> NOT starts_with(x, '=') AND x <> '?'), ','), '') AS rest
+        FROM marked"""
+
+
+@query
+def op1_license_scan(spark, sf):
+    """Known licence sentences of every document, and the licences they make."""
+    found = licenses.find_licenses(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_sentences", *(F.array_join(c, ",").alias(c) for c in ("identifiers", "licenses", "rest")))
+
+
 @query
 def op2_mixing(spark, sf):
     """Every document of the mix with the words taken from it."""
     return mixing.mix(table(spark, sf, "documents"), SEED).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op3_secret_scan(spark, sf):
+    """Secrets of every document: base patterns by kind, and all spans."""
+    found = secrets.find_secrets(table(spark, sf, "documents"))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id", *(F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")),
+        F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.concat(base, "entropy")).alias("spans"))
+
+
+@query
+def op4_line_dedup(spark, sf):
+    """Lines deleted from every document, and a digest of the text left."""
+    found = line_dedup.deduplicated_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform(
+        "dropped", lambda x: x.cast("string")), ",").alias("dropped_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op5_embedding_dedup(spark, sf):
+    """Every vector with its near copies."""
+    return pivots.near_vectors(table(spark, sf, "embeddings"), seed=SEED)
+
+
 @query
 def op6_quality_rules(spark, sf):
     """Signals and verdict of every document."""
@@ -45,6 +103,16 @@ def op6_quality_rules(spark, sf):
     return found.select("doc_id", *quality.SIGNALS, "base_failed", "kept")
 
 
+@query
+def op7_chat_windows(spark, sf):
+    """Digests of every conversation, read back from its windows; one more holds control strings as its texts."""
+    own = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(rows.unionByName(more), public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.read_back(windows)
+
+
 @query
 def op8_token_files(spark, sf):
     """Documents read back from the files: where they start in the whole run of ids, and a checksum."""
@@ -62,3 +130,9 @@ def op9_packing(spark, sf):
     cut = packing.pieces(table(spark, sf, "documents"), path, end_id=0)
     slim = cut.select("row", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.place(slim).drop("row")
+
+
+@query
+def op10_ngram_jaccard(spark, sf):
+    """Every document with its group of near copies."""
+    return jaccard.similar_documents(table(spark, sf, "documents"), k=4, percent=85)
