@@ -66,35 +66,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Fix sets that dominate all others holding their largest piece; ``counts`` (by length) keeps the rest.
+    """Fix sets that dominate all others holding the same piece; ``counts`` (by length) keeps the rest.
 
-    With the longest piece j left: alone if nothing fits beside it; with a partner that fills the sequence exactly; with the longest
+    For a piece j, longest first: alone if nothing fits beside it; with a partner that fills the sequence exactly; with the longest
     partner that fits if no two further pieces fit beside j. Each is fixed for as many sequences as the counts allow.
     """
     fixed: list[tuple[Pattern, int]] = []
-    small = 1
     for j in range(capacity, 0, -1):
+        room = capacity - j
         while counts[j]:
-            while small <= capacity and not counts[small]:
-                small += 1
-            # The two smallest pieces besides one j.
-            rest = int(counts[small]) - (small == j)
-            first = small if rest else next((x for x in range(small + 1, j) if counts[x]), 0)
-            room = capacity - j
-            if not first or first > room:
-                fixed.append(((j,), int(counts[j])))
+            counts[j] -= 1
+            others = np.flatnonzero(counts)
+            first = int(others[0]) if len(others) else room + 1
+            if first > room:
+                n = int(counts[j]) + 1
                 counts[j] = 0
+                fixed.append(((j,), n))
                 break
-            own = int(counts[first]) - (first == j)
-            second = first if own > 1 else next((x for x in range(first + 1, j + 1) if counts[x] - (x == j)), 0)
-            exact = room <= j and counts[room] - (room == j) > 0
-            if not exact and second and first + second <= room:
+            second = first if counts[first] > 1 else int(others[1]) if len(others) > 1 else capacity
+            partner = int(others[np.searchsorted(others, room, side="right") - 1])
+            counts[j] += 1
+            if partner < room and first + second <= room:
                 break
-            partner = room if exact else next(x for x in range(min(room, j), 0, -1) if counts[x] - (x == j) > 0)
-            if partner == j:
-                n = int(counts[j]) // 2
-            else:
-                n = min(int(counts[j]), int(counts[partner]))
+            n = int(counts[j]) // 2 if partner == j else int(min(counts[j], counts[partner]))
             counts[j] -= n
             counts[partner] -= n
             fixed.append(((j, partner), n))

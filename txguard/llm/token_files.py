@@ -53,18 +53,20 @@ def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndar
         rest = rest[more] >> 8
 
 
-def write_shard(store: fs.FileSystem, path: str, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
-    """Write one file under a name of its own, then move it into place, so that a repeated task does no harm."""
+def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    """One file's content."""
     levels = encode_levels(ids)
     head = [MAGIC, struct.pack("<3Q", len(doc_ids), len(ids), len(levels)), struct.pack(f"<{len(levels)}Q", *(len(c) for c, _, _ in levels))]
     docs = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"),
             np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")]
+    return b"".join([*head, *(x.tobytes() for x in docs + [part for level in levels for part in level])])
+
+
+def write_shard(store: fs.FileSystem, path: str, content: bytes) -> None:
+    """Write under a name of the attempt's own, then move into place, so that a repeated task does no harm."""
     own = f"{path}.{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(own) as out:
-        for part in head:
-            out.write(part)
-        for part in docs + [x for level in levels for x in level]:
-            out.write(part.tobytes())
+        out.write(content)
     store.move(own, path)
 
 
@@ -138,7 +140,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         def close() -> pa.RecordBatch:
             nonlocal seq
             path = f"{base}/part-{part:06d}-{seq:06d}.dac"
-            write_shard(store, path, doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"))
+            write_shard(store, path, shard_bytes(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4")))
             row = pa.RecordBatch.from_pylist([{"path": f"{uri}/part-{part:06d}-{seq:06d}.dac", "part": part, "seq": seq, "n_docs": len(doc_ids),
                                                "n_tokens": sum(lengths)}], schema=_MANIFEST_ARROW)
             doc_ids.clear(), lengths.clear(), held.clear()
