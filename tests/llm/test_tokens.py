@@ -55,15 +55,15 @@ def test_levels_give_every_token(tmp_path):
 def test_files_read_back(spark, documents):
     for docs in (documents(ODD), spark.read.parquet(f"{SF}/documents.parquet"), documents([])):
         manifest = token_files.write_token_files(docs, WORD, 1, shard_tokens=20_000)
-        rows = token_files.read_token_files(manifest).join(token_files.starts(manifest), "shard").collect()
+        rows = token_files.read_token_files(manifest).collect()
         want = sorted(((r.doc_id is None, r.doc_id or 0), plain(WORD, r.text) + [1]) for r in docs.collect())
         got = sorted(((r.doc_id is None, r.doc_id or 0), list(array("I", r.ids))) for r in rows)
         assert got == want
         at = 0
-        for r in sorted(rows, key=lambda r: r.before + r.at):
-            assert r.before + r.at == at and r.n_tokens * 4 == len(r.ids)
+        for r in sorted(rows, key=lambda r: r.start):
+            assert r.start == at and r.n_tokens * 4 == len(r.ids)
             at += r.n_tokens
-        known = [r.doc_id for r in sorted(rows, key=lambda r: r.before + r.at)]
+        known = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
         assert known == sorted(known, key=lambda d: (d is None, d or 0))
 
 

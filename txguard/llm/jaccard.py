@@ -6,8 +6,8 @@ more postings, and more shared shingles leave fewer candidates to verify. A pair
 of the two. Documents with the same set are one class and are compared once.
 
 Shingles that many documents have would join all of them with each other. They stand last in the order, so that only near copies share
-them within their prefixes; such large postings are verified in square blocks inside tasks and give a spanning forest of links at most.
-Nothing is capped: every pair that shares enough of its prefixes is verified.
+them within their prefixes; such long postings give no pairs but are verified in square blocks inside tasks, which give a spanning forest of
+links at most. Nothing is capped: every pair that shares enough of its prefixes is verified.
 """
 
 from __future__ import annotations
@@ -219,11 +219,12 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return stored(found.mapInArrow(sets, "key long, items array<long>"), "shingle-sets")
 
 
-def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray], tokens: list[np.ndarray], token: int,
-                    within: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one block of a long posting.
+def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray], within: bool, percent: int, tokens: list[np.ndarray] | None = None,
+                    token: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links in one block.
 
-    Pairs are of one side each, or any ``within`` one block; a pair belongs to the smallest long posting that both stand in.
+    Pairs are of one side each, or any ``within`` one block. With ``tokens``, the long postings that each document stands in, a pair belongs
+    to the smallest that both stand in.
     """
     n = len(keys)
 
@@ -247,7 +248,7 @@ def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray],
     size = np.array([len(x) for x in items])
     inter = shared(items)
     link = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
-    earlier = [t[t < token] for t in tokens]
+    earlier = [t[t < token] for t in tokens] if tokens else []
     if any(len(t) for t in earlier):
         link &= shared(earlier) == 0
     if not within:
@@ -269,25 +270,56 @@ def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray],
     return forest
 
 
-def _block_links(long_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the members of long postings, block against block."""
-    members = long_rows.select("token", "a").distinct()
-    sizes = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
-    own = members.groupBy("a").agg(F.collect_list("token").alias("tokens"))
-    block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    spread = members.join(sizes, "token").withColumn("block", block).withColumn(
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows (kind, id, key, blocks) dealt to pairs of blocks: each row meets every block of its group in some task."""
+    return members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.col("a").alias("key"), "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    full = spread.join(own.withColumnRenamed("a", "key"), "key").join(sets, "key")
+        "kind", "id", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _blocks() -> F.Column:
+    return F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+
+
+def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all that candidates link.
+
+    Candidates that hang together are a family. A family is verified as a whole in blocks where that moves fewer sets than its pairs and long
+    postings would one by one; else its postings are verified in blocks and its pairs each for itself.
+    """
+    leads = members.groupBy("token").agg(F.min("key").alias("lead"))
+    ties = members.join(leads, "token").select(F.col("key").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct()
+    inner = components(pairs.unionByName(ties))
+    family = stored(inner.select(F.col("node").alias("key"), F.col("component").alias("family")).unionByName(
+        inner.select(F.col("component").alias("key"), F.col("component").alias("family")).distinct()), "shingle-families")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"), _blocks())
+    first = family.withColumnsRenamed({"key": "a"})
+    pair_costs = pairs.join(first, "a").groupBy("family").agg((2 * F.count(F.lit(1))).alias("moved"))
+    lists = members.groupBy("token").agg(F.min("key").alias("key"), (F.count(F.lit(1)) * F.ceil(F.count(F.lit(1)) / BLOCK)).alias("moved"))
+    costs = pair_costs.unionByName(lists.join(family, "key").select("family", "moved")).groupBy("family").agg(F.sum("moved").alias("moved"))
+    plans = stored(sizes.join(costs, "family").select("family", "blocks", (F.col("size") * F.col("blocks") <= F.col("moved")).alias("whole")), "shingle-plans")
+    planned = stored(family.join(plans, "family"), "shingle-planned")
+    whole = planned.where("whole").select(F.lit(0).alias("kind"), F.col("family").alias("id"), "key", "blocks")
+    single = planned.where("not whole").select("key")
+    rest = members.join(single, "key")
+    postings = rest.join(rest.groupBy("token").agg(_blocks()), "token").select(F.lit(1).alias("kind"), F.col("token").alias("id"), "key", "blocks")
+    own = rest.groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    dealt = _in_blocks(whole.unionByName(postings)).join(sets, "key").join(own, "key", "left")
 
     def verify(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        token, low, high = group
-        rows = rows.drop_duplicates("key")
-        links = linked_in_block(rows["key"].tolist(), rows["block"].to_numpy(), list(rows["items"]), list(rows["tokens"]), token, low == high,
-                                percent) if len(rows) > 1 else []
+        kind, token, low, high = group
+        links = []
+        if len(rows) > 1:
+            tokens = list(rows["tokens"]) if kind else None
+            links = linked_in_block(rows["key"].tolist(), rows["block"].to_numpy(), list(rows["items"]), low == high, percent, tokens, token)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return full.groupBy("token", "low", "high").applyInPandas(verify, "a long, b long")
+    in_blocks = dealt.groupBy("kind", "id", "low", "high").applyInPandas(verify, "a long, b long")
+    one = pairs.join(single.withColumnRenamed("key", "a"), "a").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
+    both = one.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+    inter = F.size(F.array_intersect("x", "y"))
+    by_pair = both.withColumn("inter", inter).where(100 * F.col("inter") >= percent * (F.size("x") + F.size("y") - F.col("inter"))).select("a", "b")
+    return stored(in_blocks.unionByName(by_pair), "shingle-links")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -303,15 +335,9 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     found = _candidates(_postings(docs.where("doc_id is not null"), k, percent, _ranks(scan)), percent)
     pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where(
         "n >= need").select("a", "b"), "shingle-pairs")
-    long_rows = found.where("b is null")
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(
-        long_rows.select(F.col("a").alias("key"))).distinct()
-    sets = _sets(docs, k, classes.join(keys, "key"))
-    first = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
-    both = first.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    links = both.withColumn("inter", inter).where(100 * F.col("inter") >= percent * (F.size("x") + F.size("y") - F.col("inter"))).select("a", "b")
-    links = stored(links.unionByName(_block_links(long_rows, sets, percent)), "shingle-links")
+    members = stored(found.where("b is null").select("token", F.col("a").alias("key")).distinct(), "shingle-members")
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(members.select("key")).distinct()
+    links = _verified(pairs, members, _sets(docs, k, classes.join(keys, "key")), percent)
     ids = links.join(classes.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     labels = components(ids)

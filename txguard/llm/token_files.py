@@ -30,7 +30,9 @@ BLOCK_BITS = 512
 # A file is closed once it has so many tokens; a document is never cut.
 SHARD_TOKENS = 4_000_000
 MANIFEST = "path string, part int, seq int, n_docs long, n_tokens long"
-TOKENS = "doc_id long, at long, n_tokens long, ids binary, shard string"
+# Tasks that read back share the files evenly.
+MAX_READ_TASKS = 20_000
+TOKENS = "doc_id long, start long, n_tokens long, ids binary, shard string"
 
 
 def _ranks(bits: np.ndarray) -> np.ndarray:
@@ -117,7 +119,8 @@ class Shard:
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) in ascending doc_id order, nulls last, into files below ``folder``; returns their manifest.
+    """Encode ``docs`` (doc_id, text) in ascending doc_id order, nulls last, into files below ``folder``; returns their manifest: path, part, seq,
+    n_docs, n_tokens, start (tokens before).
 
     Null text counts as empty; each document ends with ``end_id``. Rows of equal doc_id follow each other by text hash. The exchange by
     ranges of (doc_id, hash) splits even one doc_id with very many rows. A task holds one file's ids, at most ``shard_tokens`` and the
@@ -163,11 +166,14 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
 
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    manifest = stored(rows.mapInArrow(write, MANIFEST), "token-manifest")
+    # One row per file of SHARD_TOKENS goes through this window, not the tokens.
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 _MANIFEST_ARROW = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-_TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("shard", pa.string())])
+_TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("shard", pa.string())])
 
 
 def _open(path: str) -> pa.NativeFile:
@@ -176,11 +182,11 @@ def _open(path: str) -> pa.NativeFile:
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Documents read back from the files: doc_id, at (token place in its file), n_tokens, ids (u32, little-endian), shard."""
+    """Documents read back from the files: doc_id, start (tokens of all documents before it), n_tokens, ids (u32, little-endian), shard."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, before in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 with _open(path) as file:
                     shard = Shard(file)
                     doc_ids, offsets = shard.documents()
@@ -190,15 +196,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         at = [int(x) for x in offsets[i : i + len(some) + 1]]
                         own = [ids[4 * (a - at[0]) : 4 * (b - at[0])] for a, b in zip(at, at[1:])]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(some, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array([len(x) // 4 for x in own], pa.int64()),
+                            [pa.array(some, pa.int64()), pa.array([before + x for x in at[:-1]], pa.int64()), pa.array([len(x) // 4 for x in own], pa.int64()),
                              pa.array(own, pa.binary()), pa.array([path] * len(some), pa.string())], schema=_TOKENS_ARROW)
 
-    # One file is some ten megabytes of work, so each gets a task of its own.
-    return manifest.repartition("path").mapInArrow(read, TOKENS)
-
-
-def starts(manifest: DataFrame) -> DataFrame:
-    """Tokens before each file. One row per file of ``SHARD_TOKENS`` goes through this window, not the tokens."""
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select(F.col("path").alias("shard"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-
+    # The manifest is small but each row is megabytes of work, so its rows are dealt out one by one.
+    tasks = max(1, min(manifest.count(), MAX_READ_TASKS))
+    return manifest.repartitionByRange(tasks, "part", "seq").mapInArrow(read, TOKENS)

@@ -1,22 +1,31 @@
-"""Token ids of public vocabularies, with each distinct piece of text encoded once.
+"""Token ids of public vocabularies, with each distinct word encoded once.
 
-Both vocabularies cut a text into small pieces before merging, and no piece crosses the places used here: runs of ASCII white space
-for ``word_bpe``; for ``byte_bpe`` the cuts of ``_COARSE``, which are a subset of its own. So a text's ids are those of its parts,
-one after the other, and parts repeat. Texts that hold a special token's string or unusual white space are encoded whole.
+Both vocabularies cut a text into small pieces before merging, and no piece crosses a blank between words: ``word_bpe`` drops white space,
+``byte_bpe`` gives a word the blank before it, and a line break between words is a piece of its own. So a text's ids are those of its words,
+one after the other, and words repeat. A full stop or comma after a letter is a piece of its own too, and to letters in lower case (``word_bpe``)
+or any letters (``byte_bpe``) nothing applies but the merges. Texts with special tokens' strings or other white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from functools import lru_cache
 
-# Parts kept per task, about 200 bytes each; when full, the memory starts anew.
+# Words kept per task, about 200 bytes each; when full, the memory starts anew.
 MAX_PARTS = 1_000_000
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_COARSE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_UNUSUAL = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+# White space (or what some libraries take for it) other than blanks and line breaks, and letters with unusual lower case.
+_UNUSUAL = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0130\\u03a3\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
+_BLANKS = ("  ", " \n", "\n ", "\n\n\n", "\t", "\x0b", "\f", "\r")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: itself if it prints, else one from 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -27,10 +36,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words = words
+        self.letters = _byte_letters()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.fixed = {m: self.whole(m) for m in ("", ".", ",", "\n")}
         self.parts: dict[str | bytes, bytes] = {}
-        self.marks = {m: self.whole(m) for m in ("", ".", ",")}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -38,36 +49,48 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.special.search(text) or _UNUSUAL.search(text):
+        if self.special.search(text) or _UNUSUAL.search(text) or not self.words and (text.endswith("\n\n") or any(x in text for x in _BLANKS)):
             return self.whole(text)
-        parts = text.encode().split() if self.words else _COARSE.findall(text)
+        head = b""
+        if self.words:
+            parts = text.encode().lower().split()
+        else:
+            # A part has a blank before it, unless it begins with a line break or the text.
+            first, *parts = text.replace("\n", " \n").split(" ")
+            head = self.whole(first) if first else b""
         try:
-            return b"".join(map(self.parts.__getitem__, parts))
+            return head + b"".join(map(self.parts.__getitem__, parts))
         except KeyError:
+            if len(self.parts) > MAX_PARTS:
+                self.parts.clear()
             self.learn({p for p in parts if p not in self.parts})
-            return b"".join(map(self.parts.__getitem__, parts))
+            return head + b"".join(map(self.parts.__getitem__, parts))
 
     def learn(self, new: set[str | bytes]) -> None:
-        """Encode parts not seen before. A full stop or comma after a letter is a piece of its own, so the word before it is enough."""
-        if len(self.parts) > MAX_PARTS:
-            self.parts.clear()
-        cut: dict[str | bytes, tuple[str | bytes, str]] = {}
+        """Encode parts not seen before."""
+        cut: dict[str | bytes, tuple[str, str, str]] = {}
         for part in new:
             text = part.decode() if self.words else part
-            mark = text[-1] if text[-1] in ".," and text[-2:-1].isalpha() else ""
-            core = text[:-1] if mark else text
-            if self.words and core.isascii():
-                core = core.lower()
-            cut[part] = core.encode() if self.words else core, mark
-        cores = [c for c in {c for c, _ in cut.values()} if c not in self.parts]
+            start = "\n" if text[:1] == "\n" else ""
+            mark = text[-1] if text[-1:] in (".", ",") and text[-2:-1].isalpha() else ""
+            core = text[len(start) : len(text) - len(mark)]
+            cut[part] = start, core if self.words or start else f" {core}", mark
+        coded: dict[str, bytes] = {"": b""}
+        rest = []
+        for core in {c for _, c, _ in cut.values()}:
+            word = core if self.words else core.removeprefix(" ")
+            if word.isalpha() and (not self.words or word.isascii() or word.lower() == word and unicodedata.is_normalized("NFC", word)):
+                found = self.model.tokenize(core.encode().decode("latin-1").translate(self.letters))
+                coded[core] = array("I", [t.id for t in found]).tobytes()
+            elif core:
+                rest.append(core)
         # Blocks bound what the library holds at once.
-        for i in range(0, len(cores), 5000):
-            block = cores[i : i + 5000]
-            coded = self.tokenizer.encode_batch_fast([c.decode() for c in block] if self.words else block, add_special_tokens=False)
-            for core, ids in zip(block, coded):
-                self.parts[core] = array("I", ids.ids).tobytes()
-        for part, (core, mark) in cut.items():
-            self.parts[part] = self.parts[core] + self.marks[mark]
+        for i in range(0, len(rest), 5000):
+            block = rest[i : i + 5000]
+            for core, ids in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                coded[core] = array("I", ids.ids).tobytes()
+        for part, (start, core, mark) in cut.items():
+            self.parts[part] = self.fixed[start] + coded[core] + self.fixed[mark]
 
 
 @lru_cache(maxsize=4)
