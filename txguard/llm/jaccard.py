@@ -26,7 +26,8 @@ from txguard.llm.components import components
 
 # Postings longer than this are verified in blocks instead of pair by pair.
 LONG_POSTING = 48
-BLOCK = 512
+# Documents and shingles of a block; a task holds two.
+BLOCK, BLOCK_ITEMS = 512, 1 << 20
 MAX_DEPTH = 4
 # A shingle is ranked by its count if it has more than this share of all shingles, so that at most so many are broadcast.
 RANKED = 1 << 18
@@ -204,19 +205,30 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     """key, n, items of the classes whose ``key`` and representative ``rep`` are wanted."""
 
+    def batch_of(keys: list[int], items: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(keys, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "n", "items"])
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, items = [], []
+            keys: list[int] = []
+            items: list[np.ndarray] = []
+            size = 0
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 found = shingles(text, k)
                 if class_key(found) == key:
                     keys.append(key)
                     items.append(found)
+                    size += len(found)
+                # Few long texts make a batch of their own.
+                if size > BLOCK_ITEMS:
+                    yield batch_of(keys, items)
+                    keys, items, size = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["key", "items"])
+                yield batch_of(keys, items)
 
     found = wanted.join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id")).select("key", "text")
-    return stored(found.mapInArrow(sets, "key long, items array<long>"), "shingle-sets")
+    return stored(found.mapInArrow(sets, "key long, n long, items array<long>"), "shingle-sets")
 
 
 def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray], within: bool, percent: int, tokens: list[np.ndarray] | None = None,
@@ -278,7 +290,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 
 
 def _blocks() -> F.Column:
-    return F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks")
 
 
 def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,16 +304,18 @@ def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: in
     inner = components(pairs.unionByName(ties))
     family = stored(inner.select(F.col("node").alias("key"), F.col("component").alias("family")).unionByName(
         inner.select(F.col("component").alias("key"), F.col("component").alias("family")).distinct()), "shingle-families")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"), _blocks())
+    weights = sets.groupBy("key").agg(F.max("n").alias("n"))
+    sizes = family.join(weights, "key").groupBy("family").agg(F.count(F.lit(1)).alias("size"), _blocks())
     first = family.withColumnsRenamed({"key": "a"})
     pair_costs = pairs.join(first, "a").groupBy("family").agg((2 * F.count(F.lit(1))).alias("moved"))
-    lists = members.groupBy("token").agg(F.min("key").alias("key"), (F.count(F.lit(1)) * F.ceil(F.count(F.lit(1)) / BLOCK)).alias("moved"))
+    weighed = members.join(weights, "key")
+    lists = weighed.groupBy("token").agg(F.min("key").alias("key"), (F.count(F.lit(1)) * _blocks()).alias("moved"))
     costs = pair_costs.unionByName(lists.join(family, "key").select("family", "moved")).groupBy("family").agg(F.sum("moved").alias("moved"))
     plans = stored(sizes.join(costs, "family").select("family", "blocks", (F.col("size") * F.col("blocks") <= F.col("moved")).alias("whole")), "shingle-plans")
     planned = stored(family.join(plans, "family"), "shingle-planned")
     whole = planned.where("whole").select(F.lit(0).alias("kind"), F.col("family").alias("id"), "key", "blocks")
     single = planned.where("not whole").select("key")
-    rest = members.join(single, "key")
+    rest = weighed.join(single, "key")
     postings = rest.join(rest.groupBy("token").agg(_blocks()), "token").select(F.lit(1).alias("kind"), F.col("token").alias("id"), "key", "blocks")
     own = rest.groupBy("key").agg(F.collect_list("token").alias("tokens"))
     dealt = _in_blocks(whole.unionByName(postings)).join(sets, "key").join(own, "key", "left")
