@@ -41,21 +41,21 @@ def _license_sql() -> str:
     normal = (f"regexp_replace(regexp_replace(translate(s, '{licenses._UPPER}', '{licenses._LOWER}'), '{licenses.OTHER}', ' ', 'g'), "
               f"'{licenses.ENDS}', '', 'g')")
     known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items())
-    sequence = "list_aggregate(list_transform(found, x -> '<' || x || '>'), 'string_agg', '')"
+    sequence = "list_aggregate(list_transform(found, lambda x: '<' || x || '>'), 'string_agg', '')"
     for name, parts in licenses.RULES:
         sequence = f"replace({sequence}, '{''.join(f'<{p}>' for p in parts)}', '<={name}>')"
     return f"""
         WITH cut AS (
             SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?i){licenses.ANCHORS}')
-                   THEN list_filter(list_transform({units}, s -> {normal}), s -> s <> '') ELSE [] END AS sentences FROM documents),
+                   THEN list_filter(list_transform({units}, lambda s: {normal}), lambda s: s <> '') ELSE [] END AS sentences FROM documents),
         named AS (
-            SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, list_transform(sentences, s -> coalesce((MAP {{{known}}})[s], '?')) AS found
+            SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, list_transform(sentences, lambda s: coalesce((MAP {{{known}}})[s], '?')) AS found
             FROM cut),
         marked AS (
             SELECT *, regexp_extract_all(coalesce({sequence}, ''), '<([^>]*)>', 1) AS after FROM named)
-        SELECT doc_id, n_sentences, coalesce(array_to_string(list_filter(found, x -> x <> '?'), ','), '') AS identifiers,
-               coalesce(array_to_string(list_transform(list_filter(after, x -> starts_with(x, '=')), x -> substr(x, 2)), ','), '') AS licenses,
-               coalesce(array_to_string(list_filter(after, x -> NOT starts_with(x, '=') AND x <> '?'), ','), '') AS rest
+        SELECT doc_id, n_sentences, coalesce(array_to_string(list_filter(found, lambda x: x <> '?'), ','), '') AS identifiers,
+               coalesce(array_to_string(list_transform(list_filter(after, lambda x: starts_with(x, '=')), lambda x: substr(x, 2)), ','), '') AS licenses,
+               coalesce(array_to_string(list_filter(after, lambda x: NOT starts_with(x, '=') AND x <> '?'), ','), '') AS rest
         FROM marked"""
 
 

@@ -14,8 +14,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-# Words kept per task, about 200 bytes each; when full, the memory starts anew.
-MAX_PARTS = 1_000_000
+# Words kept per task in each of two generations, about 200 bytes each: when the newer is full, the older goes.
+MAX_PARTS = 800_000
 # White space (or what some libraries take for it) other than blanks and line breaks, and letters with unusual lower case.
 _UNUSUAL = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u0130\\u03a3\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 _BLANKS = ("  ", " \n", "\n ", "\n\n\n", "\t", "\x0b", "\f", "\r")
@@ -42,6 +42,7 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.fixed = {m: self.whole(m) for m in ("", ".", ",", "\n")}
         self.parts: dict[str | bytes, bytes] = {}
+        self.older: dict[str | bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -51,28 +52,35 @@ class Encoder:
             return b""
         if self.special.search(text) or _UNUSUAL.search(text) or not self.words and (text.endswith("\n\n") or any(x in text for x in _BLANKS)):
             return self.whole(text)
-        head = b""
         if self.words:
-            parts = text.encode().lower().split()
+            parts, skip = text.encode().lower().split(), 0
         else:
-            # A part has a blank before it, unless it begins with a line break or the text.
-            first, *parts = text.replace("\n", " \n").split(" ")
-            head = self.whole(first) if first else b""
+            # A part has a blank before it, unless it begins with a line break, as the text does here; that break's id is skipped.
+            parts, skip = f"\n{text}".replace("\n", " \n").split(" ")[1:], 4
         try:
-            return head + b"".join(map(self.parts.__getitem__, parts))
+            return b"".join(map(self.parts.__getitem__, parts))[skip:]
         except KeyError:
             if len(self.parts) > MAX_PARTS:
-                self.parts.clear()
+                self.older, self.parts = self.parts, {}
             self.learn({p for p in parts if p not in self.parts})
-            return head + b"".join(map(self.parts.__getitem__, parts))
+            return b"".join(map(self.parts.__getitem__, parts))[skip:]
 
     def learn(self, new: set[str | bytes]) -> None:
         """Encode parts not seen before."""
         cut: dict[str | bytes, tuple[str, str, str]] = {}
         for part in new:
+            known = self.older.get(part)
+            if known is not None:
+                self.parts[part] = known
+                continue
             text = part.decode() if self.words else part
             start = "\n" if text[:1] == "\n" else ""
             mark = text[-1] if text[-1:] in (".", ",") and text[-2:-1].isalpha() else ""
+            if mark and not start:
+                known = self.parts.get(part[:-1])
+                if known is not None:
+                    self.parts[part] = known + self.fixed[mark]
+                    continue
             core = text[len(start) : len(text) - len(mark)]
             cut[part] = start, core if self.words or start else f" {core}", mark
         coded: dict[str, bytes] = {"": b""}
