@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,32 @@ def test_bad_payloads_do_not_hold_up_the_topic(spark, tmp_path):
     row = spark.read.parquet(out).first()
     assert (row["card_id"], row["country"], row["device_id"], row["ts_ms"]) == ("4532", "RU", None, 1704463200000)
     assert [r["payload"] for r in spark.read.parquet(dead).collect()] == ["not json"]
+
+
+def test_counters_add_up_beyond_the_kept_reports(spark, tmp_path):
+    src = tmp_path / "many"
+    src.mkdir()
+    for i in range(110):
+        (src / f"{i:03d}.json").write_text(f'{{"id": {i}}}\n{{"id": {i}}}\n')
+    listener = jobs.PipelineCounters()
+    spark.streams.addListener(listener)
+    try:
+        raw = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(src)).observe("written", F.count(F.lit(1)).alias("events_written"))
+        query = jobs.micro_batches(raw, lambda df, b: df.write.format("noop").mode("overwrite").save(), str(tmp_path / "cc"), None)
+        query.awaitTermination()
+        for _ in range(100):
+            if listener.of(query)["batches"] >= 110:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    got = listener.of(query)
+    assert (got["batches"], got["rows"], got["events_written"], got["late_rows"]) == (110, 220, 220, 0) and got["rows_per_second"] > 0
+
+
+def test_null_ids_are_no_copies(spark, tmp_path):
+    src = tmp_path / "ids"
+    src.mkdir()
+    (src / "a.json").write_text("".join(json.dumps({"id": i, "timestamp": "2024-01-05T00:00:00Z"}) + "\n" for i in ("a", "a", None, None)))
+    stream_of = spark.readStream.schema("id string, timestamp timestamp").json(str(src))
+    assert sorted(str(r["id"]) for r in run(jobs.deduplicated(stream_of, "1 hour"), spark, tmp_path).collect()) == ["None", "None", "a"]

@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def present(c: Column) -> Column:
-    """A string that is neither null nor empty."""
-    return c.isNotNull() & (c != "")
-
-
 def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -49,7 +44,8 @@ def rfc3339(ts: Column) -> Column:
 
 def window_label(ts: Column, seconds: int) -> Column:
     """Start of the tumbling window holding ``ts``."""
-    return F.timestamp_seconds(F.floor(F.unix_micros(ts) / 1_000_000 / seconds) * seconds)
+    micros = F.unix_micros(ts)
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(seconds * 1_000_000)))
 
 
 def whole_units(amount: Column) -> Column:
@@ -61,17 +57,8 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den)
 
 
-def clamp(c: Column, low: Column, high: Column) -> Column:
-    return F.greatest(low, F.least(c, high))
-
-
 def any_of(conditions: Sequence[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:
         out = out | c
     return out
-
-
-def kept(items: Sequence[Column]) -> Column:
-    """Array of the non-null items, in order."""
-    return F.filter(F.array(*items), lambda x: x.isNotNull())

@@ -16,7 +16,7 @@ from txguard.plans.rules import Rule
 def admit_calendar(df: DataFrame, client: str, ts: str, rate: int, window_ms: int = 1000, ties: Sequence[str] = (),
                    skew: Skew = DEFAULT_SKEW) -> DataFrame:
     """At most ``rate`` requests per client and calendar window, first come first served."""
-    placed = df.withColumn("window_start", F.floor(F.col(ts) / window_ms) * window_ms)
+    placed = df.withColumn("window_start", F.col(ts) - F.pmod(F.col(ts), F.lit(window_ms)))
     used = running(placed, [client, "window_start"], ts, {"used": ("sum", F.lit(1).cast("long"))}, ties, "rows", skew)
     return used.withColumn("allowed", F.col("used") <= rate)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections import Counter, deque
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txguard.functions.columns import blank_to_null, epoch_ms, whole_units
 from txguard.operators.folds import ordered_fold
-from txguard.operators.running import running
+from txguard.operators.running import as_of, running
 from txguard.operators.skew import DEFAULT_SKEW, Skew
 from txguard.operators.sliding import DAY, HOUR, MINUTE
 from txguard.plans.baselines import with_baselines
@@ -30,7 +31,7 @@ OUTCOME = (
 )
 STEP_INPUTS = (
     "ts_ms", "transaction_id", "card_id", "amount", "merchant_id", "country", "day", "month", "transaction_limit",
-    "daily_limit", "monthly_limit", "precheck_reason",
+    "daily_limit", "monthly_limit", "precheck_reason", "manual_block_ms", "unblock_ms",
 )
 _TESTS = {
     ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
@@ -39,19 +40,28 @@ _TESTS = {
 
 
 class _Frame:
-    """Count, sum and distinct values over the recorded rows of the last ``width`` ms."""
+    """Count, sum and distinct values over the recorded rows of the last ``width`` ms.
+
+    The total is added up anew, oldest row first, after rows have left, as a window over the same rows does: taking amounts back would let
+    rounding errors stay.
+    """
 
     def __init__(self, width: int):
         self.width, self.rows, self.total, self.values = width, deque(), 0.0, Counter()
 
     def expire(self, now: int) -> None:
+        left = False
         while self.rows and self.rows[0][0] < now - self.width:
-            _, amount, value = self.rows.popleft()
-            self.total -= amount
+            left = True
+            value = self.rows.popleft()[2]
             if value is not None:
                 self.values[value] -= 1
                 if not self.values[value]:
                     del self.values[value]
+        if left:
+            self.total = 0.0
+            for row in self.rows:
+                self.total += row[1]
 
     def add(self, now: int, amount: float, value) -> None:
         self.rows.append((now, amount, value))
@@ -75,15 +85,15 @@ class CardStep:
         self.block_ttl_ms = block_ttl_ms
         self.frames = {"1m": _Frame(MINUTE), "5m": _Frame(5 * MINUTE), "1h": _Frame(HOUR), "24h": _Frame(DAY)}
         self.recorded: deque = deque()
-        self.blocked_until = None
+        self.blocked_at = None
         self.day, self.month, self.day_spent, self.month_spent = None, None, 0, 0
 
     def dump(self) -> str:
         """The state as text, to be kept between micro-batches."""
-        return json.dumps([list(self.recorded), self.blocked_until, self.day, self.month, self.day_spent, self.month_spent])
+        return json.dumps([list(self.recorded), self.blocked_at, self.day, self.month, self.day_spent, self.month_spent])
 
     def load(self, text: str) -> CardStep:
-        rows, self.blocked_until, self.day, self.month, self.day_spent, self.month_spent = json.loads(text)
+        rows, self.blocked_at, self.day, self.month, self.day_spent, self.month_spent = json.loads(text)
         for row in rows:
             self._record(*row)
         return self
@@ -100,13 +110,18 @@ class CardStep:
         """Mean amount of the last 24 hours, before this time."""
         past = self.frames["24h"]
         past.expire(ts)
-        total, n = past.total, len(past.rows)
-        for row in reversed(past.rows):
-            if row[0] < ts:
+        total, n = 0.0, 0
+        for row in past.rows:
+            if row[0] >= ts:
                 break
-            total, n = total - row[1], n - 1
+            total, n = total + row[1], n + 1
         return total / n if n else 0.0
 
+    def _running(self, start: int | None, ts: int, lifted: int | None) -> bool:
+        """Whether a block made at ``start`` still holds; an unblock at or after it lifts it."""
+        return (start is not None and (self.block_ttl_ms is None or ts < start + self.block_ttl_ms)
+                and (lifted is None or lifted < start))
+
     def _limit_reason(self, amount, transaction, daily, monthly) -> str | None:
         if amount > transaction:
             return TRANSACTION_REASON
@@ -118,7 +133,7 @@ class CardStep:
         test = _TESTS.get(condition.operator)
         return test is not None and test(fv.get(condition.feature) or 0.0, condition.threshold)
 
-    def __call__(self, ts, tx, card, amount, merchant, country, day, month, tx_limit, daily, monthly, reason, *others) -> tuple:
+    def __call__(self, ts, tx, card, amount, merchant, country, day, month, tx_limit, daily, monthly, reason, manual, lifted, *others) -> tuple:
         if day != self.day:
             self.day, self.day_spent = day, 0
         if month != self.month:
@@ -126,7 +141,8 @@ class CardStep:
         declined = None if amount is None else self._limit_reason(amount, tx_limit, daily, monthly)
         if declined:
             return ("declined", declined, None, None, [], [], [], None)
-        if reason is None and self.blocked_until is not None and ts < self.blocked_until:
+        # Of commands at one time the log's order counts; ``manual`` is empty where an unblock came after the block.
+        if reason is None and (self._running(self.blocked_at, ts, lifted) or self._running(manual, ts, None)):
             reason = f"card {card} is blocked"
         if reason is not None:
             return ("declined_by_fraud", None, MAX_SCORE, "block", ["PRE_CHECK_FAILED"], [], [f"Pre-check: {reason}"], None)
@@ -148,7 +164,7 @@ class CardStep:
             band = next((s for floor, s in self.bands if points >= floor), 0)
             severity = max(band, *[SEVERITY.get(r.action, 0) for r in fired])
         if severity == 5:
-            self.blocked_until = ts + self.block_ttl_ms if self.block_ttl_ms is not None else 2**62
+            self.blocked_at = ts
         status, remaining = "declined_by_fraud", None
         if severity < 4:
             status, remaining = "approved", daily - self.day_spent - amount
@@ -183,9 +199,12 @@ def prepare(
     cards: DataFrame | None = None,
     merchants: DataFrame | None = None,
     skew: Skew = DEFAULT_SKEW,
+    commands: DataFrame | None = None,
 ) -> DataFrame:
     """Everything of a decision that does not depend on earlier decisions of the card.
 
+    ``commands`` is the log of manual blocks and unblocks (card_id, ts_ms, seq, command); of one time, commands come before transactions.
+
     Customer and device features count every attempt that passes the stateless pre-checks: they cross cards, and cards
     are decided in parallel.
     """
@@ -194,7 +213,39 @@ def prepare(
     bad = checked.where(F.col("precheck_reason").isNotNull())
     built = with_baselines(customer_features(device_features(good, skew), skew), cards, merchants)
     rows = built.unionByName(bad, allowMissingColumns=True)
-    return with_periods(with_limits(rows, custom_limits, default_limits))
+    return with_commands(with_periods(with_limits(rows, custom_limits, default_limits)), commands, skew)
+
+
+def with_commands(df: DataFrame, commands: DataFrame | None, skew: Skew = DEFAULT_SKEW) -> DataFrame:
+    """Add manual_block_ms (the last block, unless a later unblock lifted it) and unblock_ms (the last unblock) as of each row."""
+    if commands is None:
+        return df.withColumns({c: F.lit(None).cast("long") for c in ("manual_block_ms", "unblock_ms") if c not in df.columns})
+    lifts = F.when(F.col("command") == "unblock", F.col("ts_ms"))
+    log = running(commands.select("card_id", "ts_ms", "seq", "command"), ["card_id"], "ts_ms", {"__lift": ("max", lifts)}, ["seq"], "rows", skew)
+    log = log.select("card_id", F.col("ts_ms").alias("__at"), F.col("seq").alias("__seq"), (F.col("command") == "block").alias("__block"), "__lift")
+    read = as_of(df, log, ["card_id"], "ts_ms", ["__seq", "__block", "__lift"], right_ts="__at", matched_ts="__when", skew=skew)
+    return read.select(*df.columns, F.when(F.col("__block"), F.col("__when")).alias("manual_block_ms"), F.col("__lift").alias("unblock_ms"))
+
+
+def _named() -> Column:
+    return F.coalesce(F.col("card_id").cast("string") != "", F.lit(False))
+
+
+def _alone(df: DataFrame) -> DataFrame:
+    """Outcomes of rows that fail a stateless pre-check and touch no card's history: their limits, then the pre-check."""
+    zero = F.lit(0)
+    over = F.coalesce(limit_check(F.col("amount"), zero, zero), F.lit(None).cast("string"))
+    none = F.array().cast("array<string>")
+    fraud = F.col("limit_reason").isNull()
+    return df.withColumn("limit_reason", over).withColumns({
+        "status": F.when(fraud, "declined_by_fraud").otherwise("declined"),
+        "risk_score": F.when(fraud, F.lit(MAX_SCORE)),
+        "action": F.when(fraud, "block"),
+        "reason_codes": F.when(fraud, F.array(F.lit("PRE_CHECK_FAILED"))).otherwise(none),
+        "triggered_rules": none,
+        "explain_lines": F.when(fraud, F.array(F.concat(F.lit("Pre-check: "), "precheck_reason"))).otherwise(none),
+        "remaining_limit": F.lit(None).cast("double"),
+    })
 
 
 def decide_in_order(
@@ -203,12 +254,17 @@ def decide_in_order(
     thresholds: Thresholds = DEFAULT_THRESHOLDS,
     block_ttl_ms: int | None = DAY,
 ) -> DataFrame:
-    """Limits, pre-checks, features, rules and score, card by card in event order."""
+    """Limits, pre-checks, features, rules and score, card by card in event order.
+
+    Rows that name no card share no history, so they are decided each for itself and meet in no task.
+    """
+    prepared = with_commands(prepared, None)
     outer = outer_features(prepared.columns)
-    return ordered_fold(
-        prepared, ["card_id"], ["ts_ms", "transaction_id"], [*STEP_INPUTS, *outer],
+    folded = ordered_fold(
+        prepared.where(_named()), ["card_id"], ["ts_ms", "transaction_id"], [*STEP_INPUTS, *outer],
         card_step(rules, thresholds, block_ttl_ms, outer), OUTCOME,
     )
+    return folded.unionByName(_alone(prepared.where(~_named())))
 
 
 def decide_where_needed(
@@ -224,47 +280,36 @@ def decide_where_needed(
     had nothing refused, so these windows are its true history and its decisions come from the plan. The other cards are
     folded. Rows that name no card touch no history and are decided on their own.
     """
-    good = prepared.where(F.col("precheck_reason").isNull())
-    bad = prepared.where(F.col("precheck_reason").isNotNull())
+    prepared = with_commands(prepared, None)
+    # One sort by card: what every attempt would give, then whether anything on the card was refused.
+    passes = F.col("precheck_reason").isNull()
+    good = prepared.where(passes)
+    bad = prepared.where(~passes)
     scored = score(with_amount_ratio(card_features(good, CARD + PRIOR, skew)), rules, thresholds)
     tried = attempted_spend(scored, skew=skew)
-    exceeded = limit_check(F.col("amount"), F.col("day_before"), F.col("month_before"))
-    named = blank_to_null(F.col("card_id").cast("string")).isNotNull()
-    # A refused row with a positive amount still asks for the limits, so its card is folded as well.
-    asks = named & F.coalesce(F.col("amount") > 0, F.lit(False))
-    feedback = (
-        tried.where((F.col("action") == "block") | exceeded.isNotNull()).select("card_id")
-        .unionByName(bad.where(asks).select("card_id")).distinct()
-    )
+    exceeded = limit_check(F.col("amount"), F.col("day_before"), F.col("month_before")).isNotNull()
+    # A refused row with a positive amount still asks for the limits, and a command may refuse any, so their cards are folded as well.
+    asks = _named() & F.coalesce(F.col("amount") > 0, F.lit(False))
+    commanded = F.col("manual_block_ms").isNotNull() | F.col("unblock_ms").isNotNull()
+    both = tried.withColumn("__refused", (F.col("action") == "block") | exceeded | commanded).unionByName(
+        bad.withColumn("__refused", asks), allowMissingColumns=True)
+    marked = both.withColumn("__feeds", F.max("__refused").over(Window.partitionBy("card_id", F.when(~_named(), F.pmod(F.xxhash64("ts_ms"), F.lit(4096))))))
     outcome = [part.split()[0] for part in OUTCOME.split(", ")]
     keep = [*prepared.columns, *outcome]
 
     passed = ~F.col("action").isin("decline", "block")
-    free = running(tried.join(feedback, "card_id", "left_anti").withColumn("__units", F.when(passed, whole_units(F.col("amount")))),
+    calm = marked.where(~F.col("__feeds"))
+    free = running(calm.where(passes).withColumn("__units", F.when(passed, whole_units(F.col("amount")))),
                    ["card_id", "month", "day"], "__us", {"__spent": ("sum", F.col("__units"))}, ["transaction_id"], "before",
-                   Skew(skew.hot_rows, skew.slice_ms * 1000, skew.min_bytes))
+                   replace(skew, slice_ms=skew.slice_ms * 1000))
     left = F.col("daily_limit") - F.coalesce(F.col("__spent"), F.lit(0)) - F.col("amount")
     free = free.withColumns({
         "status": F.when(passed, "approved").otherwise("declined_by_fraud"),
         "limit_reason": F.lit(None).cast("string"),
         "remaining_limit": F.when(passed, left),
     }).select(*keep)
-
-    alone = bad.where(~asks).join(feedback, "card_id", "left_anti")
-    zero = F.lit(0)
-    over = F.coalesce(limit_check(F.col("amount"), zero, zero), F.lit(None).cast("string"))
-    none = F.array().cast("array<string>")
-    alone = alone.withColumn("limit_reason", over).withColumns({
-        "status": F.when(F.col("limit_reason").isNotNull(), "declined").otherwise("declined_by_fraud"),
-        "risk_score": F.when(F.col("limit_reason").isNull(), F.lit(MAX_SCORE)),
-        "action": F.when(F.col("limit_reason").isNull(), "block"),
-        "reason_codes": F.when(F.col("limit_reason").isNull(), F.array(F.lit("PRE_CHECK_FAILED"))).otherwise(none),
-        "triggered_rules": none,
-        "explain_lines": F.when(F.col("limit_reason").isNull(), F.array(F.concat(F.lit("Pre-check: "), "precheck_reason"))).otherwise(none),
-        "remaining_limit": F.lit(None).cast("double"),
-    }).select(*keep)
-
-    folded = decide_in_order(prepared.join(feedback, "card_id", "left_semi"), rules, thresholds, block_ttl_ms)
+    alone = _alone(calm.where(~passes).select(*prepared.columns)).select(*keep)
+    folded = decide_in_order(marked.where("__feeds").select(*prepared.columns), rules, thresholds, block_ttl_ms)
     return free.unionByName(alone).unionByName(folded.select(*keep))
 
 
@@ -311,8 +356,3 @@ def fraud_event(df: DataFrame) -> DataFrame:
         F.lit("fraud_engine_v2").alias("source"), F.col("ts").alias("timestamp"), data.alias("data"),
     )
 
-
-def recorded_card_features(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """Card features of the rows that reached the feature store: not declined by a limit or a pre-check."""
-    reached = df.where(F.col("limit_reason").isNull() & ~F.array_contains("reason_codes", "PRE_CHECK_FAILED"))
-    return card_features(reached, CARD, skew)

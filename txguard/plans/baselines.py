@@ -19,14 +19,27 @@ def _since(as_of: str, days: int, strict: bool) -> Column:
     return (day >= F.date_sub(end, days)) & ((day < end) if strict else (day <= end))
 
 
-def card_baselines(df: DataFrame, as_of: str, strict: bool = False, exact: bool = True) -> DataFrame:
+def _period(df: DataFrame, as_of: str, strict: bool) -> DataFrame:
+    """Rows of the 30 days, by plain bounds of ``ts`` that reach the scan."""
+    day = F.lit(as_of).cast("date")
+    start, end = F.date_sub(day, 30).cast("timestamp"), (day if strict else F.date_add(day, 1)).cast("timestamp")
+    return df.where((F.col("ts") >= start) & (F.col("ts") < end))
+
+
+def card_baselines(df: DataFrame, as_of: str, strict: bool = False, exact: bool = True, every: DataFrame | None = None) -> DataFrame:
     """30-day and 7-day baselines per card. ``strict`` leaves out the day of ``as_of``.
 
+    Only the 30 days are read, so cards without a row in them are absent, unless ``every`` (card_id) lists the cards to answer for.
     ``exact=False`` counts merchants with a HyperLogLog sketch, which needs no second aggregation by merchant.
     """
+    if every is not None:
+        found = card_baselines(df, as_of, strict, exact)
+        counts = [c for c in CARD_COLUMNS if c != "card__amount_avg_30d"]
+        return every.select("card_id").join(found, "card_id", "left").fillna(0, counts)
+    df = _period(df, as_of, strict)
     month, week = _since(as_of, 30, strict), _since(as_of, 7, strict)
     merchant = F.when(month, F.col("merchant_id"))
-    merchants = F.count_distinct(merchant) if exact else F.approx_count_distinct(merchant)
+    merchants = F.count_distinct(merchant) if exact else F.approx_count_distinct(merchant, 0.015)
     return df.groupBy("card_id").agg(
         F.count_if(month).alias("card__tx_count_30d"),
         F.coalesce(F.sum(F.when(month, F.col("amount"))), F.lit(0.0)).alias("card__amount_sum_30d"),
@@ -37,7 +50,8 @@ def card_baselines(df: DataFrame, as_of: str, strict: bool = False, exact: bool
 
 
 def merchant_risk(df: DataFrame, as_of: str, strict: bool = False) -> DataFrame:
-    """Confirmed-fraud rate per merchant over 30 days; null where the merchant had no transaction."""
+    """Confirmed-fraud rate per merchant over 30 days; merchants without a transaction in them are absent."""
+    df = _period(df, as_of, strict)
     month = _since(as_of, 30, strict)
     counted = df.where(F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(
         F.count_if(month).alias("merchant__tx_count_30d"),

@@ -71,19 +71,21 @@ def user_agent(field: str = "user_agent") -> Enricher:
 
 
 def range_lookup(df: DataFrame, number: str, ranges: DataFrame, values: list[str], block_bits: int = 16) -> DataFrame:
-    """Left join to disjoint ranges [start_num, end_num] as an equi join.
+    """Left join to ranges [start_num, end_num] as an equi join; of overlapping ranges the narrowest wins, then the one that starts first.
 
-    Ranges are cut at blocks of ``2**block_bits`` numbers, so a number meets only the ranges of its own block. Catalyst
-    broadcasts the range table when it is small; if it is not, both sides shuffle on the block, and AQE splits a block
-    that many rows share.
+    Ranges are cut at blocks of ``2**block_bits`` numbers and gathered to one row per block, so every event meets one row at most and is
+    never doubled. Catalyst broadcasts the blocks when they are small; if not, both sides shuffle on the block, and AQE splits a block that many
+    rows share. A block holds the ranges of its own numbers only.
     """
+    width = (F.col("end_num") - F.col("start_num")).alias("width")
     cut = ranges.select(
         F.explode(F.sequence(F.shiftright("start_num", block_bits), F.shiftright("end_num", block_bits))).alias("__block"),
-        "start_num", "end_num", *values,
-    )
+        F.struct(width, "start_num", "end_num", *values).alias("range"),
+    ).groupBy("__block").agg(F.array_sort(F.collect_list("range")).alias("__ranges"))
     probe = df.withColumn("__block", F.shiftright(F.col(number), block_bits))
-    hit = (probe["__block"] == cut["__block"]) & (F.col(number) >= F.col("start_num")) & (F.col(number) <= F.col("end_num"))
-    return probe.join(cut, hit, "left").select(*[probe[c] for c in df.columns], *[cut[v] for v in values])
+    covers = F.filter("__ranges", lambda r: (F.col(number) >= r["start_num"]) & (F.col(number) <= r["end_num"]))
+    return probe.join(cut, "__block", "left").withColumn("__range", F.get(covers, F.lit(0))).select(
+        *[probe[c] for c in df.columns], *[F.col("__range")[v].alias(v) for v in values])
 
 
 def ip_number(text: Column) -> Column:
@@ -142,9 +144,9 @@ def default_enrichers(now: Column, ranges: DataFrame, skew: Skew = DEFAULT_SKEW)
     return [server_time(now), geo(ranges), user_agent(), sessions(skew=skew), counters(skew)]
 
 
-def enrichment_stats(df: DataFrame, failed: Column) -> DataFrame:
-    """Events processed, events that left the chain, and enrichers that found their input unusable."""
+def enrichment_stats(df: DataFrame, *failed: Column) -> DataFrame:
+    """Events processed, events that left the chain, and errors: one for each enricher of each event that found its input unusable."""
     return df.agg(
         F.count(F.lit(1)).alias("processed"), F.count(F.lit(1)).alias("enriched"),
-        F.coalesce(F.sum(failed.cast("long")), F.lit(0)).alias("errors"),
+        F.coalesce(F.sum(reduce(lambda a, b: a + b, [f.cast("long") for f in failed])), F.lit(0)).alias("errors"),
     )

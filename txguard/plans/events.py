@@ -86,7 +86,7 @@ def route(df: DataFrame, routes: Mapping[str, Column], other: str = "default") -
 
 
 def deduplicate(df: DataFrame, key: str = "id", ts: str = "timestamp") -> DataFrame:
-    """The first event of each id, whole; copies of one time are told apart by a hash of their fields.
+    """The first event of each id, whole; copies of one time are told apart by a hash of their fields. Events without id are no copies.
 
     ``min_by`` combines on the map side, so copies of one id collapse before the shuffle; a row_number window would bring
     all copies to one task.
@@ -95,7 +95,8 @@ def deduplicate(df: DataFrame, key: str = "id", ts: str = "timestamp") -> DataFr
     plain = [f.name for f in df.schema.fields if f.name in others and not isinstance(f.dataType, T.MapType)]
     order = F.struct(F.col(ts), F.xxhash64(*plain) if plain else F.lit(0))
     first = F.min_by(F.struct(ts, *others), order).alias("__first")
-    return df.groupBy(key).agg(first).select(key, f"__first.{ts}", *[f"__first.{c}" for c in others])
+    named = df.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, f"__first.{ts}", *[f"__first.{c}" for c in others])
+    return named.unionByName(df.where(F.col(key).isNull()))
 
 
 def batch_summary(df: DataFrame, batch: str = "batch_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from txguard.operators.sliding import HOUR, MINUTE, Sliding, sliding
 from txguard.plans import admission, banking, baselines, blocks, dlq, enrich, events, features, legacy, limits, rules, scoring, stats
 from txguard.plans.engine import decide, precheck_decision, precheck_reason
 from txguard.sources import tables
-from txguard.sources.storage import retained
+from txguard.functions.columns import json_number, json_text
+from txguard.session_dirs import ensure_checkpoint_dir
+from txguard.sources.storage import read_json_events, retained
 
 AS_OF = "2024-01-30"
 # Spending limits of the demonstration data, default and per card.
@@ -157,7 +160,7 @@ def card_baselines_orders(spark, sf):
         F.col("o_custkey").alias("card_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").cast("timestamp").alias("ts"),
         F.col("o_orderpriority").alias("merchant_id"),
     )
-    out = baselines.card_baselines(orders, "1998-07-01", strict=True)
+    out = baselines.card_baselines(orders, "1998-07-01", strict=True, every=orders.select("card_id").distinct())
     return out.select("card_id", "card__tx_count_30d", "card__tx_count_7d", "card__unique_merchants_30d",
                       F.round("card__amount_sum_30d", 2).alias("card__amount_sum_30d"))
 
@@ -171,7 +174,50 @@ def merchant_risk(spark, sf):
 
 @query
 def approx_merchants(spark, sf):
-    return baselines.card_baselines(_tx(spark, sf), AS_OF, exact=False).select("card_id", "card__unique_merchants_30d")
+    """Whether the sketch is within its error of the exact count, for every card."""
+    tx = _tx(spark, sf)
+    exact, rough = (baselines.card_baselines(tx, AS_OF, exact=e).select("card_id", F.col("card__unique_merchants_30d").alias(n))
+                    for e, n in ((True, "exact"), (False, "rough")))
+    error = F.abs(F.col("rough") - F.col("exact"))
+    return exact.join(rough, "card_id").select("card_id", (error <= 0.05 * F.col("exact") + 1).alias("close"))
+
+
+@query
+def json_fields(spark, sf):
+    """Number and text fields of JSON payloads, present and absent."""
+    ev = tables.events(spark, sf)
+    return ev.select("id", json_number(F.col("props"), "k").alias("k"), json_number(F.col("props"), "none").alias("absent"),
+                     json_text(F.col("props"), "k").alias("text"), json_text(F.col("props"), "none").alias("no_text"))
+
+
+@query
+def json_event_source(spark, sf):
+    """Events written as JSON lines and read by the event source."""
+    ev = tables.events(spark, sf).select("id", "type", "source", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+                                         F.col("props").alias("data"))
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/json-events-{uuid.uuid4().hex}"
+    ev.write.json(path)
+    return read_json_events(spark, path).select("id", "type", "source", F.unix_seconds("timestamp").alias("seconds"), "data")
+
+
+@query
+def dedup_null_ids(spark, sf):
+    """Events twice over, a seventh of them without id: ids stay once, events without one all stay."""
+    ev = tables.events(spark, sf).select(F.when(F.col("event_id") % 7 != 0, F.col("id")).alias("id"), "event_id", "timestamp")
+    return events.deduplicate(ev.unionByName(ev.where("id is not null"))).select("id", "event_id")
+
+
+@query
+def overlapping_ranges(spark, sf):
+    """A small range inside each block's: the narrower one wins, and no event is doubled."""
+    blocks = tables.geo_ranges(spark, sf).select("start_num", "end_num", F.lit("block").alias("place"))
+    corners = tables.geo_ranges(spark, sf).select(
+        F.explode(F.sequence("start_num", "end_num", F.lit(256).cast("long"))).alias("start_num")).select(
+        "start_num", (F.col("start_num") + 15).alias("end_num"), F.lit("corner").alias("place"))
+    more = F.lit(185 * 16777216 + 25 * 65536).cast("long")
+    rest = spark.range(5).select((more + F.col("id") * 65536).alias("start_num"), (more + F.col("id") * 65536 + 15).alias("end_num"), F.lit("corner").alias("place"))
+    return enrich.range_lookup(tables.events(spark, sf), "ip_num", blocks.unionByName(corners).unionByName(rest), ["place"]).select("id", "place")
 
 
 @query
@@ -425,10 +471,7 @@ def block_feedback_ttl(spark, sf):
 def banking_outcomes(spark, sf):
     tx = _tx(spark, sf)
     prepared = banking.prepare(tx, _custom_limits(tx), LIMITS, merchants=baselines.merchant_risk(tx, AS_OF))
-    out = banking.response_annotation(banking.decide_in_order(prepared))
-    return out.select("transaction_id", "status", "limit_reason", F.col("risk_score").cast("long").alias("risk_score"), "action",
-                      F.array_join("triggered_rules", ",").alias("triggered_rules"), "risk_note",
-                      F.round("remaining_limit", 2).alias("remaining_limit"))
+    return _outcome_columns(banking.decide_in_order(prepared))
 
 
 @query
@@ -443,6 +486,29 @@ def banking_outcomes_default_limits(spark, sf):
                       F.round("remaining_limit", 2).alias("remaining_limit"))
 
 
+def _outcome_columns(out):
+    return banking.response_annotation(out).select(
+        "transaction_id", "status", "limit_reason", F.col("risk_score").cast("long").alias("risk_score"), "action",
+        F.array_join("triggered_rules", ",").alias("triggered_rules"), "risk_note", F.round("remaining_limit", 2).alias("remaining_limit"))
+
+
+@query
+def banking_where_needed(spark, sf):
+    """All rules and limits that bind: cards on which something is refused are folded, the others are not."""
+    tx = _tx(spark, sf)
+    prepared = banking.prepare(tx, _custom_limits(tx), limits.Limits(480.0, 2000.0, 8000.0), merchants=baselines.merchant_risk(tx, AS_OF))
+    return _outcome_columns(banking.decide_where_needed(prepared))
+
+
+@query
+def banking_with_commands(spark, sf):
+    """Operators block and unblock cards while the engine decides."""
+    tx = _tx(spark, sf)
+    prepared = banking.prepare(tx, _custom_limits(tx), limits.Limits(480.0, 2000.0, 8000.0), merchants=baselines.merchant_risk(tx, AS_OF),
+                               commands=_block_log(spark, sf))
+    return _outcome_columns(banking.decide_where_needed(prepared, block_ttl_ms=10 * MINUTE))
+
+
 @query
 def outcome_counts(spark, sf):
     """Transactions by status of the full decision."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from txguard.functions.columns import window_label
 from txguard.plans import events
 from txguard.plans.baselines import with_baselines
 from txguard.plans.limits import Limits, DEFAULT_LIMITS, with_limits, with_periods
@@ -70,8 +71,9 @@ def ingest(
 
 
 def deduplicated(df: DataFrame, delay: str, ts: str = "timestamp") -> DataFrame:
-    """The first event of each id, with state kept for ``delay``."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["id"])
+    """The first event of each id, with state kept for ``delay``; events without id are no copies and pass."""
+    timed = df.withWatermark(ts, delay)
+    return timed.where(F.col("id").isNotNull()).dropDuplicatesWithinWatermark(["id"]).unionByName(timed.where(F.col("id").isNull()))
 
 
 def tumbling(df: DataFrame, by: str, window: str, delay: str, slide: str | None = None) -> DataFrame:
@@ -87,9 +89,11 @@ def gap_sessions(df: DataFrame, user: str, gap: str, delay: str) -> DataFrame:
         F.count(F.lit(1)).alias("events")).select(user, F.col("s.start").alias("session_start"), "events")
 
 
-def live_stats(df: DataFrame, write: Sink, checkpoint: str, by: str = "type", seconds: int = 60, every: str | None = "2 seconds") -> StreamingQuery:
-    """The stats feed: changed counters every two seconds."""
-    counts = df.groupBy(window_label(F.col("timestamp"), seconds).alias("window_start"), by).agg(F.count(F.lit(1)).alias("count"))
+def live_stats(df: DataFrame, write: Sink, checkpoint: str, by: str = "type", seconds: int = 60, every: str | None = "2 seconds",
+               delay: str = "1 hour") -> StreamingQuery:
+    """The stats feed: changed counters every two seconds. Windows older than the watermark are dropped from the state."""
+    counts = df.withWatermark("timestamp", delay).groupBy(F.window("timestamp", f"{seconds} seconds").alias("w"), by).agg(
+        F.count(F.lit(1)).alias("count")).select(F.col("w.start").alias("window_start"), by, "count")
     return micro_batches(counts, write, checkpoint, every, "update")
 
 
@@ -186,11 +190,13 @@ def decisions(
     """Full banking decisions over a stream of transactions, one state per card.
 
     ``tx`` has the transaction columns and ``ts``. Merchant risk and limits are static tables joined to each micro-batch;
-    customer and device features need their own keyed jobs and may arrive as columns of ``tx``. The rules are fixed while
+    customer and device features need their own keyed jobs and may arrive as columns of ``tx``, as may the last manual block and unblock. The rules are fixed while
     the query runs.
     """
     rows = with_periods(with_limits(with_baselines(tx, None, merchants), custom_limits, default_limits))
     rows = rows.withColumn("precheck_reason", precheck_reason())
+    # The log of commands as of each row may come with the transactions, as for instance from a join to the log's table.
+    rows = rows.withColumns({c: F.lit(None).cast("long") for c in ("manual_block_ms", "unblock_ms") if c not in rows.columns})
     outer = outer_features(rows.columns)
     rows = rows.withColumn("event_ms", F.unix_millis("ts")).select(*STEP_INPUTS, *outer, "event_ms", "ts")
     names = [c for c in rows.columns if c != "ts"]
@@ -226,9 +232,44 @@ def transactions_from_topic(raw: DataFrame, accept: Sink, dead_letters: Sink, ch
     return micro_batches(raw, run, checkpoint, every)
 
 
-def counters(query: StreamingQuery) -> dict[str, float]:
-    """Pipeline counters of a running job, from its progress reports."""
-    reports = query.recentProgress
-    rows = sum(p.numInputRows for p in reports)
-    ms = sum(p.durationMs.get("triggerExecution", 0) for p in reports)
-    return {"batches": len(reports), "rows": rows, "rows_per_second": rows * 1000.0 / ms if ms else 0.0}
+class PipelineCounters(StreamingQueryListener):
+    """Counters of every job of a session, added up report by report, so that no number of batches is too long for them.
+
+    Register with ``spark.streams.addListener``; reports arrive shortly after their batch. Late rows are those that stateful operators
+    dropped behind the watermark; ``observed`` adds up the metrics of ``observe`` (such as rows written or rejected).
+    """
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self._jobs: dict[str, dict[str, float]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        with self._lock:
+            self._jobs.setdefault(str(event.id), dict.fromkeys(("batches", "rows", "ms", "late_rows", "errors"), 0))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        with self._lock:
+            job = self._jobs.setdefault(str(p.id), dict.fromkeys(("batches", "rows", "ms", "late_rows", "errors"), 0))
+            job["batches"] += 1
+            job["rows"] += p.numInputRows
+            job["ms"] += p.durationMs.get("triggerExecution", 0)
+            job["late_rows"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+            for row in p.observedMetrics.values():
+                for name, value in row.asDict().items():
+                    job[name] = job.get(name, 0) + (value or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            if event.exception and str(event.id) in self._jobs:
+                self._jobs[str(event.id)]["errors"] += 1
+
+    def of(self, query: StreamingQuery) -> dict[str, float]:
+        """batches, rows, rows_per_second, late_rows, errors (failed runs) and observed metrics of a job."""
+        with self._lock:
+            job = dict(self._jobs.get(str(query.id), dict.fromkeys(("batches", "rows", "ms", "late_rows", "errors"), 0)))
+        ms = job.pop("ms")
+        return {**job, "rows_per_second": job["rows"] * 1000.0 / ms if ms else 0.0}
