@@ -202,35 +202,6 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     return stored(ordered.mapInArrow(pair, "token long, a long, b long, need long"), "shingle-candidates")
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """key, n, items of the classes whose ``key`` and representative ``rep`` are wanted."""
-
-    def batch_of(keys: list[int], items: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array(keys, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "n", "items"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys: list[int] = []
-            items: list[np.ndarray] = []
-            size = 0
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                found = shingles(text, k)
-                if class_key(found) == key:
-                    keys.append(key)
-                    items.append(found)
-                    size += len(found)
-                # Few long texts make a batch of their own.
-                if size > BLOCK_ITEMS:
-                    yield batch_of(keys, items)
-                    keys, items, size = [], [], 0
-            if keys:
-                yield batch_of(keys, items)
-
-    found = wanted.join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id")).select("key", "text")
-    return stored(found.mapInArrow(sets, "key long, n long, items array<long>"), "shingle-sets")
-
-
 def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray], within: bool, percent: int, tokens: list[np.ndarray] | None = None,
                     token: int = 0) -> list[tuple[int, int]]:
     """A spanning forest of the links in one block.
@@ -282,58 +253,80 @@ def linked_in_block(keys: list[int], side: np.ndarray, items: list[np.ndarray],
     return forest
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Rows (kind, id, key, blocks) dealt to pairs of blocks: each row meets every block of its group in some task."""
-    return members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "kind", "id", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-
 def _blocks() -> F.Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all that candidates link.
+def _plan(pairs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Where each class is verified: rows (key, kind, id, block, low, high, tokens), one for each pair of blocks that it takes part in.
 
-    Candidates that hang together are a family. A family is verified as a whole in blocks where that moves fewer sets than its pairs and long
-    postings would one by one; else its postings are verified in blocks and its pairs each for itself.
+    Candidates that hang together are a family. A family is verified as a whole (kind 0) where that moves fewer sets than its pairs and long
+    postings would one by one; else its postings (kind 1) and its pairs (kind 2) are verified each for itself.
     """
     leads = members.groupBy("token").agg(F.min("key").alias("lead"))
     ties = members.join(leads, "token").select(F.col("key").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct()
     inner = components(pairs.unionByName(ties))
-    family = stored(inner.select(F.col("node").alias("key"), F.col("component").alias("family")).unionByName(
-        inner.select(F.col("component").alias("key"), F.col("component").alias("family")).distinct()), "shingle-families")
-    weights = sets.groupBy("key").agg(F.max("n").alias("n"))
-    sizes = family.join(weights, "key").groupBy("family").agg(F.count(F.lit(1)).alias("size"), _blocks())
-    first = family.withColumnsRenamed({"key": "a"})
-    pair_costs = pairs.join(first, "a").groupBy("family").agg((2 * F.count(F.lit(1))).alias("moved"))
-    weighed = members.join(weights, "key")
-    lists = weighed.groupBy("token").agg(F.min("key").alias("key"), (F.count(F.lit(1)) * _blocks()).alias("moved"))
-    costs = pair_costs.unionByName(lists.join(family, "key").select("family", "moved")).groupBy("family").agg(F.sum("moved").alias("moved"))
-    plans = stored(sizes.join(costs, "family").select("family", "blocks", (F.col("size") * F.col("blocks") <= F.col("moved")).alias("whole")), "shingle-plans")
+    family = inner.select(F.col("node").alias("key"), F.col("component").alias("family")).unionByName(
+        inner.select(F.col("component").alias("key"), F.col("component").alias("family")).distinct())
+    family = stored(family.join(classes.select("key", "n"), "key"), "shingle-families")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"), _blocks())
+    pair_costs = pairs.join(family.select(F.col("key").alias("a"), "family"), "a").groupBy("family").agg((2 * F.count(F.lit(1))).alias("moved"))
+    weighed = members.join(family, "key")
+    lists = weighed.groupBy("family", "token").agg((F.count(F.lit(1)) * _blocks()).alias("moved"))
+    costs = pair_costs.unionByName(lists.select("family", "moved")).groupBy("family").agg(F.sum("moved").alias("moved"))
+    plans = sizes.join(costs, "family").select("family", "blocks", (F.col("size") * F.col("blocks") <= F.col("moved")).alias("whole"))
     planned = stored(family.join(plans, "family"), "shingle-planned")
     whole = planned.where("whole").select(F.lit(0).alias("kind"), F.col("family").alias("id"), "key", "blocks")
-    single = planned.where("not whole").select("key")
-    rest = weighed.join(single, "key")
+    single = planned.where("not whole").select("key", "n")
+    rest = members.join(single, "key")
     postings = rest.join(rest.groupBy("token").agg(_blocks()), "token").select(F.lit(1).alias("kind"), F.col("token").alias("id"), "key", "blocks")
+    twos = pairs.join(single.select(F.col("key").alias("a")), "a").select(
+        F.lit(2).alias("kind"), F.xxhash64("a", "b").alias("id"), F.explode(F.array("a", "b")).alias("key"), F.lit(1).alias("blocks"))
+    dealt = whole.unionByName(postings).unionByName(twos).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = rest.groupBy("key").agg(F.collect_list("token").alias("tokens"))
-    dealt = _in_blocks(whole.unionByName(postings)).join(sets, "key").join(own, "key", "left")
+    return dealt.select("key", "kind", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(
+        own, "key", "left")
+
+
+def _verified(docs: DataFrame, k: int, plan: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of classes that connect all that candidates link. Texts move once, and each set to the blocks where it is compared."""
+    schema = "kind int, id long, low int, high int, key long, block int, tokens array<long>, items array<long>"
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["kind", "id", "low", "high", "key", "block", "tokens", "items"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places"))):
+                found = shingles(text, k)
+                if class_key(found) != key:  # another text under the representative's id
+                    continue
+                for p in places:
+                    out.append((p["kind"], p["id"], p["low"], p["high"], key, p["block"], p["tokens"], found))
+                    size += len(found)
+                    # Few long texts make a batch of their own.
+                    if size > BLOCK_ITEMS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    places = plan.groupBy("key").agg(F.collect_list(F.struct("kind", "id", "block", "low", "high", "tokens")).alias("places"))
+    texts = places.join(classes.select("key", "rep"), "key").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    dealt = texts.select("key", "text", "places").mapInArrow(sets, schema)
 
     def verify(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kind, token, low, high = group
+        rows = rows.drop_duplicates("key")
         links = []
         if len(rows) > 1:
-            tokens = list(rows["tokens"]) if kind else None
+            tokens = list(rows["tokens"]) if kind == 1 else None
             links = linked_in_block(rows["key"].tolist(), rows["block"].to_numpy(), list(rows["items"]), low == high, percent, tokens, token)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    in_blocks = dealt.groupBy("kind", "id", "low", "high").applyInPandas(verify, "a long, b long")
-    one = pairs.join(single.withColumnRenamed("key", "a"), "a").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
-    both = one.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    by_pair = both.withColumn("inter", inter).where(100 * F.col("inter") >= percent * (F.size("x") + F.size("y") - F.col("inter"))).select("a", "b")
-    return stored(in_blocks.unionByName(by_pair), "shingle-links")
+    return stored(dealt.groupBy("kind", "id", "low", "high").applyInPandas(verify, "a long, b long"), "shingle-links")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -345,13 +338,13 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     """
     scan = _scan(docs, k)
     documents = scan.where("key is not null").select("doc_id", "key", "n")
-    classes = stored(documents.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+    classes = stored(documents.where("n > 0 and doc_id is not null").groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n")), "shingle-classes")
     found = _candidates(_postings(docs.where("doc_id is not null"), k, percent, _ranks(scan)), percent)
     pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where(
         "n >= need").select("a", "b"), "shingle-pairs")
     members = stored(found.where("b is null").select("token", F.col("a").alias("key")).distinct(), "shingle-members")
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(members.select("key")).distinct()
-    links = _verified(pairs, members, _sets(docs, k, classes.join(keys, "key")), percent)
+    links = _verified(docs, k, _plan(pairs, members, classes), classes, percent)
     ids = links.join(classes.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     labels = components(ids)
