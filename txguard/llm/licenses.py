@@ -71,6 +71,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheRef", "ApacheUse", "ApacheCopy", "ApacheUrl", "ApacheAsIs", "ApacheSee")),
     ("Apache-2.0", ("ApacheRef", "ApacheUse", "ApacheCopy")),
     ("MIT", ("MitRef", "MitGrant", "MitNotice", "MitAsIs", "MitLiable")),
+    ("MIT", ("MitRef", "MitGrant", "MitNotice")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiable")),
     ("MIT", ("MitGrant", "MitNotice")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),

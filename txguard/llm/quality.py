@@ -128,7 +128,7 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, n_good: int, limit: float,
 
 
 def _place(rule: Rule) -> F.Column:
-    """How many places of the grid, from the lenient end, reject the row."""
+    """How many cutoffs of the grid reject the row: the strictest ones."""
     top, bottom = 100 * F.col(rule.top), F.col(rule.bottom)
     beyond = [(top < F.lit(c) * bottom) if rule.low else (top > F.lit(c) * bottom) for c in rule.grid]
     return sum((b.cast("int") for b in beyond[1:]), beyond[0].cast("int"))
@@ -158,8 +158,8 @@ def fit_cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", ri
             good, bad = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
             np.add.at(good, own["place"], own["good"])
             np.add.at(bad, own["place"], own["bad"])
-            # A document counted at place p is beyond the first p cutoffs.
-            beyond = [x[::-1].cumsum()[::-1][1:] for x in (good, bad)]
+            # A document beyond p cutoffs is beyond the p strictest, the last ones of the grid.
+            beyond = [x[::-1].cumsum()[:-1] for x in (good, bad)]
             n = int(good.sum())
             out["n_good"] = n
             at = choose_cutoff(*beyond, n, risk / len(rules), delta / tests) if n else -1
