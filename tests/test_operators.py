@@ -10,8 +10,8 @@ from txguard.operators.running import as_of, distinct_in_run, gap_runs, running
 from txguard.operators.skew import Skew
 from txguard.operators.sliding import Sliding, sliding
 
-PLAIN = Skew(min_bytes=1 << 80)
-SLICED = Skew(hot_rows=8, slice_ms=40, min_bytes=0)
+PLAIN = Skew(min_bytes=1 << 80, frame_rows=1 << 62)
+SLICED = Skew(hot_rows=8, frame_rows=8, slice_ms=40, min_bytes=0)
 BOTH = pytest.mark.parametrize("skew", [PLAIN, SLICED], ids=["plain", "sliced"])
 
 
@@ -179,3 +179,14 @@ def test_token_bucket(spark, skew):
         tokens -= 1.0 if ok else 0.0
         state[key] = (tokens, ts)
         assert got[rid] == (ok, pytest.approx(tokens))
+
+
+@pytest.mark.parametrize("amounts", [[1e-9] * 12, [1e17] * 12, [1.0, float("nan"), 2.0, 3.0, 4.0] + [5.0] * 7, [1.0, float("inf"), None, -3.0] * 3,
+                                     [None] * 12], ids=["tiny", "huge", "nan", "inf", "none"])
+def test_sliced_sums_add_like_plain_frames(spark, amounts):
+    rows = [(1, 10 * i + i % 3, a) for i, a in enumerate(amounts)] + [(1, 40, 7.0), (2, 5, 1.0)]
+    df = spark.createDataFrame(rows, "k long, t long, v double")
+    specs = [Sliding("a", "sum", 25, "v"), Sliding("b", "sum", 90, "v"), Sliding("c", "sum", 25, "v", prior=True), Sliding("n", "count", 25)]
+    plain, sliced = (sorted(map(repr, sliding(df, ["k"], "t", specs, Skew(slice_ms=w, min_bytes=0, hot_rows=4, frame_rows=f)).collect()))
+                     for w, f in ((40, 1 << 62), (7, 4)))
+    assert plain == sliced

@@ -134,7 +134,7 @@ def test_legacy_scenarios(spark):
 # --- limits, blocks, banking ------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("skew", [Skew(min_bytes=1 << 80), Skew(hot_rows=60, slice_ms=3_600_000, min_bytes=0)], ids=["plain", "sliced"])
+@pytest.mark.parametrize("skew", [Skew(min_bytes=1 << 80, frame_rows=1 << 62), Skew(hot_rows=60, frame_rows=60, slice_ms=3_600_000, min_bytes=0)], ids=["plain", "sliced"])
 def test_greedy_limits_against_replay(spark, skew):
     tx = tables.transactions(spark, SMALL).select("transaction_id", "card_id", "amount", "ts")
     own = _custom_limits(tx)
@@ -229,7 +229,7 @@ def test_banking_against_replay(spark, ttl):
     assert len(got) == 1000 and [(k, want[k], got[k]) for k in want if want[k] != got[k]] == []
 
 
-@pytest.mark.parametrize("skew", [Skew(min_bytes=1 << 80), Skew(hot_rows=60, slice_ms=600_000, min_bytes=0)], ids=["plain", "sliced"])
+@pytest.mark.parametrize("skew", [Skew(min_bytes=1 << 80, frame_rows=1 << 62), Skew(hot_rows=60, frame_rows=60, slice_ms=600_000, min_bytes=0)], ids=["plain", "sliced"])
 def test_partial_fold_equals_full_fold(spark, skew):
     # Amounts at or below zero, missing cards and missing ids; about half of the cards are ever refused anything.
     tx = tables.transactions(spark, SMALL).withColumns({

@@ -24,15 +24,16 @@ SLICE = "__slice"
 class Skew:
     """When to slice a key, and how finely.
 
-    ``hot_rows``: keys with more rows are sliced. ``slice_ms``: width of one slice on the time axis.
-    ``min_bytes``: inputs estimated below this are one task's work as a whole, so no key in them is hot.
-    ``frame_min_bytes``: the same for value-bounded frames, where a dense key costs the square of its rows.
+    ``hot_rows``: keys with more rows are sliced. ``frame_rows``: the same for value-bounded frames, where a dense key costs the
+    square of its rows. ``slice_ms``: width of one slice on the time axis. ``min_bytes``: running aggregates over inputs estimated below
+    this are one task's work as a whole, so no key in them is looked for; they give the same result sliced or not, as they add integers
+    or pick one of the values. Value-bounded frames count their keys whatever the size.
     """
 
     hot_rows: int = 20_000
     slice_ms: int = 60_000
     min_bytes: int = 256 * 1024 * 1024
-    frame_min_bytes: int = 4 * 1024 * 1024
+    frame_rows: int = 2_000
 
 
 DEFAULT_SKEW = Skew()
@@ -80,7 +81,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], skew: Skew) -> Hot:
     local table, small enough to broadcast; more of them stay a distributed frame that is joined by shuffle.
     """
     keys = list(keys)
-    if input_bytes(df) < skew.min_bytes:
+    if skew.min_bytes and input_bytes(df) < skew.min_bytes:
         return COLD
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > skew.hot_rows).select(*keys)
     found = big.limit(MAX_HOT + 1).toArrow()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,7 @@ def attempted_spend(df: DataFrame, ts: str = "__us", skew: Skew = DEFAULT_SKEW)
     rows = with_periods(df) if "day" not in df.columns else df
     if ts not in rows.columns:
         rows = rows.withColumn(ts, F.unix_micros("ts"))
-    wide = Skew(skew.hot_rows, skew.slice_ms * 1000, skew.min_bytes)
+    wide = replace(skew, slice_ms=skew.slice_ms * 1000)
     units = {"__units": whole_units(F.col("amount"))}
     rows = rows.withColumns(units)
     monthly = running(rows, ["card_id", "month"], ts, {"month_before": ("sum", F.col("__units"))}, ["transaction_id"],
@@ -131,7 +131,7 @@ def enforce(df: DataFrame, skew: Skew = DEFAULT_SKEW) -> DataFrame:
     small = rows.where(F.col("amount") <= F.col("transaction_limit"))
     tried = attempted_spend(small, skew=skew)
     over = F.when(limit_check(F.col("amount"), F.col("day_before"), F.col("month_before")).isNotNull(), 1).otherwise(0)
-    wide = Skew(skew.hot_rows, skew.slice_ms * 1000, skew.min_bytes)
+    wide = replace(skew, slice_ms=skew.slice_ms * 1000)
     marked = running(tried.withColumn("__over", over), ["card_id", "month"], "__us", {"__bound": ("max", F.col("__over"))},
                      ["transaction_id"], "rows", wide)
     keep = [*columns, "limit_reason", "day_spent", "month_spent"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txguard.operators.folds import admit_anchored, token_bucket
 from txguard.operators.running import as_of, distinct_in_run, gap_runs
+from txguard.operators.skew import Skew
 from txguard.operators.sliding import HOUR, MINUTE, Sliding, sliding
 from txguard.plans import admission, banking, baselines, blocks, dlq, enrich, events, features, legacy, limits, rules, scoring, stats
 from txguard.plans.engine import decide, precheck_decision, precheck_reason
@@ -102,9 +103,7 @@ def amount_ratio_24h(spark, sf):
     return out.select("transaction_id", F.round("card__amount_ratio_vs_avg24h", 6).alias("card__amount_ratio_vs_avg24h"))
 
 
-@query
-def feature_snapshot(spark, sf):
-    out = features.snapshot(_tx(spark, sf))
+def _snapshot_columns(out):
     exact = [s.name for s in (*features.CARD, *features.CUSTOMER, *features.DEVICE) if s.kind != "sum"]
     rounded = ["card__amount_sum_1h", "card__amount_sum_24h"]
     return out.select(
@@ -113,6 +112,55 @@ def feature_snapshot(spark, sf):
     )
 
 
+def _stretched(tx, micros):
+    """The transactions with ``ts_ms`` counting steps of ``micros`` microseconds: 20,000 make 36 hours of the month, 500 make 60 days."""
+    return tx.withColumn("ts_ms", F.unix_micros("ts")).withColumn("ts_ms", F.expr(f"ts_ms div {micros}"))
+
+
+def _crowded(tx):
+    """A third of the transactions on one card, customer and device."""
+    third = F.col("event_id") % 3 == 0
+    return tx.withColumns({c: F.when(third, F.lit(1).cast("long")).otherwise(F.col(c)) for c in ("card_id", "customer_id", "device_id")})
+
+
+# Finds the crowded keys of the small tables as well, and cuts them into slices of five minutes.
+_FINE = Skew(frame_rows=60, slice_ms=5 * MINUTE)
+
+
+@query
+def feature_snapshot(spark, sf):
+    return _snapshot_columns(features.snapshot(_tx(spark, sf)))
+
+
+@query
+def feature_snapshot_36h(spark, sf):
+    """The month read as 36 hours: rows leave the frames of one hour and of a day."""
+    return _snapshot_columns(features.snapshot(_stretched(_tx(spark, sf), 20_000)))
+
+
+@query
+def feature_snapshot_60d(spark, sf):
+    """The month read as 60 days: rows leave every frame."""
+    return _snapshot_columns(features.snapshot(_stretched(_tx(spark, sf), 500)))
+
+
+@query
+def amount_sums_hot(spark, sf):
+    """Sums of a crowded card, by slices."""
+    tx = _stretched(_crowded(_tx(spark, sf)), 20_000)
+    out = features.with_amount_ratio(features.card_features(tx, [*features.CARD[4:6], *features.PRIOR], _FINE))
+    return out.select("transaction_id", F.round("card__amount_sum_1h", 2).alias("card__amount_sum_1h"), F.round("card__amount_sum_24h", 2).alias(
+        "card__amount_sum_24h"), F.round("card__amount_ratio_vs_avg24h", 6).alias("card__amount_ratio_vs_avg24h"))
+
+
+@query
+def distinct_hot(spark, sf):
+    """Counts and distincts of a crowded card, customer and device, by entries and exits."""
+    tx = _stretched(_crowded(_tx(spark, sf)), 500)
+    out = features.customer_features(features.device_features(features.card_features(tx, [*features.CARD[:4], *features.CARD[6:]], _FINE), _FINE), _FINE)
+    return out.select("transaction_id", *[s.name for s in (*features.CARD[:4], *features.CARD[6:], *features.CUSTOMER, *features.DEVICE)])
+
+
 @query
 def short_window_expiry(spark, sf):
     """Windows much shorter than the data, so that every row also leaves its frames."""
@@ -559,7 +607,17 @@ def token_bucket_admission(spark, sf):
 
 @query
 def rule_cooldown(spark, sf):
-    feats = features.snapshot(_tx(spark, sf))
+    return _cooled(_tx(spark, sf))
+
+
+@query
+def rule_cooldown_36h(spark, sf):
+    """The month read as 36 hours: cooldowns of one and two hours end."""
+    return _cooled(_stretched(_tx(spark, sf), 20_000))
+
+
+def _cooled(tx):
+    feats = features.snapshot(tx)
     fired = rules.fired_long(feats, rules.DEFAULT_RULES).select("card_id", "ts_ms", "transaction_id", "rule_id")
     return admission.with_cooldown(fired, rules.DEFAULT_RULES).where("not suppressed").select("transaction_id", "rule_id")
 
