@@ -29,7 +29,7 @@ LONG_POSTING = 48
 # Documents and shingles of a block; a task holds two.
 BLOCK, BLOCK_ITEMS = 512, 1 << 20
 MAX_DEPTH = 4
-# A shingle is ranked by its count if it has more than this share of all shingles, so that at most so many are broadcast.
+# Shingles ranked by their counts and broadcast, at most (16 bytes each).
 RANKED = 1 << 18
 # Shingles counted together in one task before what occurs once is forgotten.
 CHUNK = 4_000_000
@@ -105,10 +105,25 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _ranks(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles and their counts: at most ``RANKED``, as each has more than that share of all."""
-    total = scan.agg(F.sum("n")).first()[0] or 0
-    often = scan.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") > max(16, total / RANKED))
-    rows = often.toPandas().sort_values("token")
+    """The most frequent shingles and their counts, as many as ``RANKED`` allows.
+
+    The least count that is ranked follows from how many shingles have each count. Any order gives the same links; a good one keeps
+    shingles that many documents share out of their prefixes.
+    """
+    often = stored(scan.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "shingle-counts")
+    # Counts above 1,000 are ranked in any case where they fit, so the histogram is short.
+    sizes = often.groupBy(F.least("seen", F.lit(1000)).alias("seen")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("seen")).collect()
+    least, total = None, 0
+    for r in sizes:
+        total += r["n"]
+        if total > RANKED:
+            break
+        least = r["seen"]
+    if least is None:
+        # So many are frequent: those above the share that at most ``RANKED`` can have.
+        whole = scan.agg(F.sum("n")).first()[0] or 0
+        least = max(1000, whole // RANKED + 1)
+    rows = often.where(F.col("seen") >= int(least)).toPandas().sort_values("token")
     return rows["token"].to_numpy(np.int64), rows["seen"].to_numpy(np.int64)
 
 
