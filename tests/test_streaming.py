@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from txguard.plans import banking
+from txguard.plans import banking, dlq, enrich
 from txguard.plans.limits import Limits, with_limits, with_periods
 from txguard.plans.engine import precheck_reason
 from txguard.sources import tables
@@ -106,6 +106,11 @@ def test_ingest_and_routes(spark, tmp_path):
     assert stored.count() == 5 and {r[0] for r in stored.select(F.col("yyyymm").cast("string")).collect()} == {"202401"}
     assert sorted(r["error"] for r in dead.collect()) == ["cannot decode payload", "event id is required", "event type is required"]
     assert "{not json" in {r["payload"] for r in dead.collect()}
+    assert dlq.schedule(dead).where("state = 'waiting'").count() == 3
+    again = dlq.retry(dead, lambda due: F.col("id") == "x", F.expr("timestamp_seconds(unix_seconds(current_timestamp()) + 3600)"))
+    assert {r["recovered"] for r in again.where("id = 'x'").collect()} == {True}
+    with pytest.raises(ValueError):
+        jobs.ingest(raw, "e", "d", "c", [enrich.counters()])
 
     seen = {}
     routes = {"a": F.col("id") == "e1"}
@@ -178,3 +183,26 @@ def test_null_ids_are_no_copies(spark, tmp_path):
     (src / "a.json").write_text("".join(json.dumps({"id": i, "timestamp": "2024-01-05T00:00:00Z"}) + "\n" for i in ("a", "a", None, None)))
     stream_of = spark.readStream.schema("id string, timestamp timestamp").json(str(src))
     assert sorted(str(r["id"]) for r in run(jobs.deduplicated(stream_of, "1 hour"), spark, tmp_path).collect()) == ["None", "None", "a"]
+
+
+def test_stateful_enrichment_over_batches(spark, tmp_path):
+    ev = tables.events(spark, SF).select(
+        "id", "type", "source", "timestamp", F.to_json(F.struct(F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string")).alias("user_id"))).alias("data"),
+        F.create_map(F.lit("old"), F.col("id")).alias("metadata"))
+    ev.repartitionByRange(3, "timestamp").sortWithinPartitions("timestamp").write.parquet(str(tmp_path / "in"))
+    for i, f in enumerate(sorted((tmp_path / "in").glob("*.parquet"))):
+        os.utime(f, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    seen = str(tmp_path / "out")
+    # State with a lifetime keeps an available-now trigger from ending, so the job is stopped once it has read everything.
+    query = jobs.micro_batches(jobs.with_sessions_and_counters(stream(spark, tmp_path / "in")), jobs.batch_folder(seen), str(tmp_path / "c"), "1 second")
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            if query.exception() or os.path.exists(seen) and spark.read.schema("id string").option("recursiveFileLookup", "true").parquet(seen).count() >= 1000:
+                break
+    finally:
+        query.stop()
+    out = spark.read.parquet(seen)
+    want = enrich.run_enrichers(ev, [enrich.sessions(), enrich.counters()])
+    got, batch = ({r["id"]: r["metadata"] for r in df.select("id", "metadata").collect()} for df in (out, want))
+    assert len(got) == 1000 and got == batch

@@ -28,9 +28,10 @@ def later(ts: Column, seconds: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + (seconds * 1_000_000).cast("long"))
 
 
-def capture(failed: DataFrame, error: Column, source: Column, now: Column, base: int = 60, backoff: str = "linear") -> DataFrame:
-    """New ledger rows for failed events; the whole event is kept as payload."""
-    payload = F.to_json(F.struct(*failed.columns))
+def capture(failed: DataFrame, error: Column, source: Column, now: Column, base: int = 60, backoff: str = "linear",
+            payload: Column | None = None) -> DataFrame:
+    """New ledger rows for failed events; the whole event is kept as payload unless another is given."""
+    payload = F.to_json(F.struct(*failed.columns)) if payload is None else payload
     return failed.select(
         "id", payload.alias("payload"), error.alias("error"), source.alias("source"), now.alias("failed_at"),
         F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp").alias("last_retry_at"),

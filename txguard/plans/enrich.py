@@ -120,6 +120,7 @@ def sessions(field: str = "user_id", skew: Skew = DEFAULT_SKEW) -> Enricher:
         named = session_ids(keyed, "__user", "__ms", out="__session", ties=("id",), skew=skew)
         return add_metadata(named, {"session_id": F.col("__session")}).select(*df.columns)
 
+    apply.stateful = True
     return apply
 
 
@@ -136,6 +137,7 @@ def counters(skew: Skew = DEFAULT_SKEW) -> Enricher:
         counted = hit_counters(timed, "__ms", skew=skew)
         return add_metadata(counted, {"event_count": F.col("event_count"), "source_count": F.col("source_count")}).select(*df.columns)
 
+    apply.stateful = True
     return apply
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from txguard.plans import events
+from txguard.functions.columns import blank_to_null
+from txguard.plans import dlq, enrich, events
 from txguard.plans.baselines import with_baselines
 from txguard.plans.limits import Limits, DEFAULT_LIMITS, with_limits, with_periods
 from txguard.plans.banking import OUTCOME, STEP_INPUTS, CardStep, card_step, outer_features, transaction_context
@@ -47,29 +48,89 @@ def ingest(
     raw: DataFrame, events_path: str, dlq_path: str, checkpoint: str, enrichers: Sequence[Callable[[DataFrame], DataFrame]] = (),
     now: Callable[[], Column] = F.current_timestamp, every: str | None = "5 seconds",
 ) -> StreamingQuery:
-    """JSON events to the partitioned events table; undecodable and invalid ones to the dead-letter ledger.
+    """JSON events to the partitioned events table; undecodable and invalid ones to the dead-letter ledger, ready for its retries.
 
     ``raw`` comes from :func:`txguard.sources.storage.read_json_events`. Both writes of a batch go to folders of that batch.
     """
+    if any(getattr(e, "stateful", False) for e in enrichers):
+        raise ValueError("sessions and counters need state that outlives a batch: apply with_sessions_and_counters to the stream")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         columns = [c for c in batch.columns if c != CORRUPT]
-        broken = batch.where(F.col(CORRUPT).isNotNull())
-        checked = events.validate(events.default_timestamp(batch.where(F.col(CORRUPT).isNull()).select(*columns), now()))
-        good = checked.where("reject_reason is null").drop("reject_reason")
-        for enricher in enrichers:
-            good = good.transform(enricher)
-        stored = events.processed(good, now())
-        stored.withColumn("yyyymm", F.date_format("timestamp", "yyyyMM")).write.mode("overwrite").partitionBy("yyyymm").parquet(
-            f"{events_path}/batch={batch_id}")
-        rejected = checked.where("reject_reason is not null").select(
-            "id", F.to_json(F.struct(*columns)).alias("payload"), F.col("reject_reason").alias("error"))
-        undecoded = broken.select(F.lit(None).cast("string").alias("id"), F.col(CORRUPT).alias("payload"),
-                                  F.lit("cannot decode payload").alias("error"))
-        rejected.unionByName(undecoded).withColumn("failed_at", now()).write.mode("overwrite").parquet(f"{dlq_path}/batch={batch_id}")
+        # Read and parsed once for the three writes.
+        batch = batch.persist()
+        try:
+            checked = events.validate(events.default_timestamp(batch.where(F.col(CORRUPT).isNull()).select(*columns), now()))
+            good = checked.where("reject_reason is null").drop("reject_reason")
+            for enricher in enrichers:
+                good = good.transform(enricher)
+            stored = events.processed(good, now())
+            stored.withColumn("yyyymm", F.date_format("timestamp", "yyyyMM")).hint("rebalance", "yyyymm").write.mode("overwrite").partitionBy(
+                "yyyymm").parquet(f"{events_path}/batch={batch_id}")
+            failed = checked.where("reject_reason is not null")
+            rejected = dlq.capture(failed, F.col("reject_reason"), F.lit("validation"), now(), payload=F.to_json(F.struct(*columns)))
+            broken = batch.where(F.col(CORRUPT).isNotNull()).select(F.lit(None).cast("string").alias("id"), F.col(CORRUPT).alias("payload"))
+            undecoded = dlq.capture(broken, F.lit("cannot decode payload"), F.lit("decode"), now(), payload=F.col("payload"))
+            rejected.unionByName(undecoded).write.mode("overwrite").parquet(f"{dlq_path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return micro_batches(raw, write, checkpoint, every)
 
 
+class _Runs(StatefulProcessor):
+    """Per key, the running window (its start) or the running count, kept for ``ttl_ms`` after its last event."""
+
+    def __init__(self, fixed: bool, width_ms: int, ttl_ms: int):
+        self.fixed, self.width, self.ttl = fixed, width_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "start long, last long, n long", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ms", "id"], kind="stable")
+        start, last, n = self.run.get() if self.run.exists() else (None, None, 0)
+        values = []
+        for ms in frame["ms"].tolist():
+            if start is None or (ms - start >= self.width if self.fixed else ms - last >= self.width):
+                start, n = ms, 0
+            last, n = ms, n + 1
+            values.append(start if self.fixed else n)
+        self.run.update((start, last, n))
+        yield pd.DataFrame({"row": frame["row"].tolist(), "value": values})
+
+    def close(self) -> None:
+        pass
+
+
+def _with_runs(df: DataFrame, key: Column, fixed: bool, width_ms: int, ttl_ms: int, out: str) -> DataFrame:
+    """Add ``out``: the start of the key's fixed window, or its count since the last idle time. Events without key get null and no state to share."""
+    alone = F.concat(F.lit("\0"), F.coalesce("id", F.lit("")))
+    keyed = df.select(F.coalesce(key, alone).alias("key"), F.floor(F.unix_micros("timestamp") / 1000).alias("ms"), "id",
+                      F.to_json(F.struct(*df.columns, key.alias("__key"))).alias("row"))
+    placed = keyed.groupBy("key").transformWithStateInPandas(
+        _Runs(fixed, width_ms, ttl_ms), outputStructType="row string, value long", outputMode="Append", timeMode="ProcessingTime")
+    parsed = F.from_json("row", T.StructType([*df.schema.fields, T.StructField("__key", T.StringType())]))
+    return placed.select(parsed.alias("r"), "value").select("r.*", "value").select(
+        *df.columns, F.when(F.col("__key").isNotNull(), F.col("value")).alias(out))
+
+
+def with_sessions_and_counters(df: DataFrame, user_field: str = "user_id", session_ms: int = 1_800_000, idle_ms: int = 3_600_000,
+                               slack_ms: int = 3_600_000) -> DataFrame:
+    """The stateful enrichers over a stream of events: session ids, and counts per type and per source.
+
+    State per user, type and source outlives the micro-batches and goes when its key was idle for the window and ``slack_ms`` more of
+    processing time. Equal to the batch enrichers where batches arrive in event order.
+    """
+    user = blank_to_null(F.get_json_object("data", f"$.{user_field}"))
+    started = _with_runs(df, user, True, session_ms, session_ms + slack_ms, "__start")
+    name = F.concat(F.lit("session_"), user, F.lit("_"), F.floor(F.col("__start") / 1000).cast("string"))
+    typed = _with_runs(enrich.add_metadata(started, {"session_id": name}).drop("__start"), F.col("type"), False, idle_ms, idle_ms + slack_ms, "__n")
+    typed = enrich.add_metadata(typed, {"event_count": F.col("__n")}).drop("__n")
+    sourced = _with_runs(typed, F.col("source"), False, idle_ms, idle_ms + slack_ms, "__n")
+    return enrich.add_metadata(sourced, {"source_count": F.col("__n")}).drop("__n")
+
+
 def deduplicated(df: DataFrame, delay: str, ts: str = "timestamp") -> DataFrame:
     """The first event of each id, with state kept for ``delay``; events without id are no copies and pass."""
     timed = df.withWatermark(ts, delay)
