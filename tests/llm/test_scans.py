@@ -181,8 +181,9 @@ def test_quality_of_odd_rows(spark, documents):
     for r in rows:
         failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
         assert r["base_failed"] == failed and (not failed or not r["kept"])
-    left = quality.kept_documents(docs, labels)
-    assert left.columns == docs.columns and {r["n_words"] for r in left.collect()} <= {0}
+    more = documents([*ODD, (77, " ".join(f"u{i}" for i in range(80)))]).withColumnsRenamed({"n_chars": "n_words", "source": "kept"})
+    left = quality.kept_documents(more, labels)
+    assert left.columns == more.columns and [(r["doc_id"], r["n_words"], r["kept"]) for r in left.collect()] == [(77, 0, "s")]
     assert quality.judged(documents([]), labels).count() == 0
 
 

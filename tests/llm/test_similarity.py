@@ -140,6 +140,14 @@ def test_pivots_find_pairs_at_the_threshold(spark, cosine):
     assert all(x.component_id in (x.vec_id, x.vec_id - 1) for x in got)
 
 
+def test_a_dense_group_is_found_whole(spark):
+    rng = np.random.default_rng(2)
+    dense = rng.normal(size=64) + 0.02 * rng.normal(size=(500, 64))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([dense, rng.normal(size=(1500, 64))]))]
+    got = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id < 500").collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(499, 0)}
+
+
 def brute_lines(rows, min_words):
     """Text left of each distinct (doc_id, text), documents in the order of ids; equal rows are one."""
     distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))

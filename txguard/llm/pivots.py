@@ -85,11 +85,20 @@ def links_in_block(vectors: np.ndarray, lists: np.ndarray, pivot: int, side: np.
     return counts, forest
 
 
-def _pivots(classes: DataFrame, n: int, seed: int, per_root: float) -> np.ndarray:
-    """A bounded sample, by hash, of the distinct vectors, as unit vectors."""
+def spread_out(points: np.ndarray, cosine: float) -> np.ndarray:
+    """The points without those that are near copies of an earlier one: many points in one dense group would describe it by chance."""
+    left = np.ones(len(points), bool)
+    for i in range(len(points)):
+        if left[i]:
+            left[i + 1 :] &= points[i + 1 :] @ points[i] < cosine
+    return points[left]
+
+
+def _pivots(classes: DataFrame, n: int, seed: int, per_root: float, cosine: float) -> np.ndarray:
+    """A bounded sample, by hash, of the distinct vectors, as unit vectors that are no near copies of each other."""
     wanted = int(min(MAX_PIVOTS, max(MIN_PIVOTS, per_root * math.sqrt(n))))
     rows = classes.orderBy(F.xxhash64(F.lit(seed), "c1"), "c1", "c2").limit(wanted).select("embedding").collect()
-    return unit(np.array([r[0] for r in rows], np.float64))
+    return spread_out(unit(np.array([r[0] for r in rows], np.float64)), cosine)
 
 
 def _valid(embeddings: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def _valid(embeddings: DataFrame) -> DataFrame:
 
 def _links(classes: DataFrame, n: int, cosine: float, nearest: int, shared: int, per_root: float, seed: int) -> DataFrame:
     """c1, c2, links (weights of the linked classes found by one block) and forest edges a, b, for classes of one dimension."""
-    pivots = _pivots(classes, n, seed, per_root)
+    pivots = _pivots(classes, n, seed, per_root, cosine)
     known = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

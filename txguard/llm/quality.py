@@ -193,4 +193,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **
     """The rows of ``docs`` that are kept. Signals are computed twice, which costs less than moving every text to its verdict."""
     found = stored(with_signals(docs.select("doc_id", stratum, "text")).drop("text"), "quality-signals")
     cutoffs = stored(fit_cutoffs(found, labels, stratum, **how), "quality-cutoffs")
-    return judge(with_signals(docs), cutoffs, stratum).where("kept").select(*docs.columns)
+    # Columns of docs that are named like what is added here step aside.
+    added = {*SIGNALS, "base_failed", "kept"}
+    aside = {c: fresh([*docs.columns, *added], f"own_{c}") for c in docs.columns if c.lower() in added}
+    judged_rows = judge(with_signals(docs.withColumnsRenamed(aside)), cutoffs, stratum).where("kept")
+    return judged_rows.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
