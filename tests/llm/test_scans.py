@@ -245,7 +245,7 @@ def test_mixing(spark, documents):
             assert 0 <= r.taken <= 2 * r["size"] and r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source])
             taken[r.source] += r.taken
         for s in order:
-            Sources of ten documents cannot hit every sum; the odd rows are one very long text and few words besides.
+            # Sources of ten documents cannot hit every sum; the odd rows are one very long text and few words besides.
             assert abs(taken[s] - want[s]) <= (max(1, 0.01 * sizes[s]) if s != "odd" else 60_000)
         again = mixing.mix(docs.repartition(5), 7).collect()
         assert sorted((r.doc_id or -1, r.taken) for r in again) == sorted((r.doc_id or -1, r.taken) for r in found)

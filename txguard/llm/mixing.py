@@ -70,7 +70,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         take[i] += more
         left[i] -= more
         missing -= more * int(lengths[i])
-    top = missing + int(lengths[left > 0].min()) if (left > 0).any() else missing
+    # A sum above what is missing is better only if it is nearer than none at all.
+    top = missing + min(missing, int(lengths[left > 0].max())) if (left > 0).any() else missing
     mask = (1 << (top + 1)) - 1
     reach, steps = 1, []
     for i in np.argsort(lengths):
