@@ -148,6 +148,43 @@ def test_a_dense_group_is_found_whole(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(499, 0)}
 
 
+@pytest.mark.parametrize("n,mutual", [(3000, 0.8), (12000, 0.8), (3000, 0.7), (12000, 0.7)])
+def test_links_in_a_crowd_are_found(spark, n, mutual):
+    """A third of all rows resemble each other without being near copies; pairs just above the threshold are planted among them."""
+    rng = np.random.default_rng(n)
+    mean = pivots.unit(rng.normal(size=(1, 64)))
+
+    def across(x):
+        return pivots.unit(x - (x @ mean.T) * mean)
+
+    a = across(rng.normal(size=(n // 6, 64)))
+    r = rng.normal(size=a.shape)
+    r = across(r - (r * a).sum(1, keepdims=True) * a)
+    inner = (0.905 - mutual) / (1 - mutual)
+    b = inner * a + np.sqrt(1 - inner**2) * pivots.unit(r - (r * a).sum(1, keepdims=True) * a)
+    crowd = np.sqrt(mutual) * mean + np.sqrt(1 - mutual) * np.concatenate([a, b])
+    every = pivots.unit(np.concatenate([crowd, rng.normal(size=(n - len(crowd), 64))]))
+    got = pivots.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "vec_id long, embedding array<double>")).collect()
+    near = np.concatenate([every[i : i + 1000] @ every.T >= 0.9 for i in range(0, n, 1000)])
+    found = np.array([r.n_links for r in sorted(got)])
+    assert near.sum() - n >= len(crowd)
+    assert (found == near.sum(1) - 1).all()
+
+
+def test_crowds_in_blocks_and_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "CROWD_BLOCK", 150)
+    rng = np.random.default_rng(5)
+    means = rng.normal(size=(3, 24))
+    means[1] = means[0] + 0.5 * means[1]
+    every = np.concatenate([np.repeat(means, 300, axis=0) + 0.45 * rng.normal(size=(900, 24)), rng.normal(size=(300, 24))])
+    every = pivots.unit(np.concatenate([every, every[:200] + 0.3 * rng.normal(size=(200, 24)), every[:5]]))
+    got = pivots.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(every)], "vec_id long, embedding array<double>")).collect()
+    unit, pairs = brute_vectors([(i, x.tolist()) for i, x in enumerate(every)])
+    comp = reachable(set(range(len(every))), pairs)
+    ends = np.bincount(np.array(pairs).ravel(), minlength=len(every))
+    assert len(pairs) > 500 and sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, ends[i], comp[i]) for i in range(len(every))]
+
+
 def brute_lines(rows, min_words):
     """Text left of each distinct (doc_id, text), documents in the order of ids; equal rows are one."""
     distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
