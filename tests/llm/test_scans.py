@@ -110,6 +110,17 @@ def test_every_sentence_has_an_anchor_and_a_rule():
 KNOWN_WITHOUT = {"all rights reserved"}
 
 
+def test_no_known_sentence_is_filtered_out(spark, documents):
+    """Each sentence alone, its words on lines of their own where these are joined again."""
+    rows = [(i, s) for i, s in enumerate(licenses.SENTENCES)] + [(1000, "Text.\nAll rights reserved."), (1001, "Released into the public\ndomain.")]
+    got = {r["doc_id"]: r for r in licenses.find_licenses(documents(rows)).collect()}
+    whole = {r["doc_id"]: r for r in licenses.find_licenses(documents(rows), anchors="").collect()}
+    assert got == whole
+    assert got[1000]["licenses"] == ["all-rights-reserved"] and got[1001]["licenses"] == ["public-domain"]
+    own = licenses.find_licenses(documents([(1, "Use it well.")]), {"use it well": "Own"}, (("own", ("Own",)),)).first()
+    assert own["licenses"] == ["own"]
+
+
 def test_license_sql(spark):
     import duckdb
 

@@ -6,6 +6,9 @@ against rules in order: a rule takes its sentences out of the sequence and leave
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +18,9 @@ WRAPPED = (r"([^.!?:;\n])[ \t\r]*\n[ \t]*([a-z(])", r"([A-Z,]{2})[ \t\r]*\n[ \t]
 STOPS = r"[.!?:;]+[ \t\r]+"
 OTHER = r"[^a-z0-9.+-]+"
 ENDS = r"^[ .+-]+|[ .+-]+$"
-# Every known sentence has one of these, so texts without them need no look.
-ANCHORS = "licen[sc]e|spdx|copyright|redistribution|public domain|warrant|permission|liable"
+# Usual words of known sentences; find_anchors adds one for each sentence that has none. Anchors are parts of single words, which normalising
+# leaves together, so texts without any hold no known sentence.
+USUAL = "licen[sc]e|spdx|copyright|redistribution|domain|warrant|permission|liable"
 
 # Sentences of public licences, as normalised.
 SENTENCES: dict[str, str] = {
@@ -66,6 +70,15 @@ for _name in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2
     # The stop between tag and value is a sentence's end.
     SENTENCES[f"spdx-license-identifier {_name.lower()}"] = f"Spdx:{_name}"
 
+
+def find_anchors(known: Iterable[str]) -> str:
+    """A pattern that every known sentence matches: the usual words, and the longest word of each sentence without one."""
+    more = {max(s.split(), key=len) for s in known if not re.search(USUAL, s)}
+    return "|".join([USUAL, *(re.sub(r"([.+])", r"[\1]", w) for w in sorted(more))])
+
+
+ANCHORS = find_anchors(SENTENCES)
+
 #: (licence, identifiers of its sentences in order); earlier rules win.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheRef", "ApacheUse", "ApacheCopy", "ApacheUrl", "ApacheAsIs", "ApacheSee")),
@@ -115,12 +128,13 @@ def _normal(sentence: Column) -> Column:
 
 
 def find_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES,
-                  anchors: str = ANCHORS) -> DataFrame:
+                  anchors: str | None = None) -> DataFrame:
     """doc_id, n_sentences, identifiers (known sentences in order), licenses (of the rules that match, in order), rest (identifiers that no rule took).
 
     Unknown sentences stand between known ones, so a rule's sentences must follow each other. n_sentences counts those of texts with an anchor word and is 0 for all
     others, as for null and empty texts. Rows need no exchange; other columns are ignored.
     """
+    anchors = find_anchors(known) if anchors is None else anchors
     lookup = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = docs.select("doc_id", F.when(F.regexp_like(text, F.lit(f"(?i){anchors}")), sentences(text)).otherwise(F.array().cast("array<string>")).alias("sentences"))
