@@ -110,6 +110,34 @@ def test_every_sentence_has_an_anchor_and_a_rule():
 KNOWN_WITHOUT = {"all rights reserved"}
 
 
+BSD = ("Copyright (c) 2020, Some Holder\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+       "following conditions are met:\n\n", "Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the "
+       "following disclaimer.\n\n", "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following "
+       "disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n", "Neither the name of the {} nor the names of its\n   "
+       "contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n")
+APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a "
+          "copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\n"
+          "distributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the "
+          "License for the specific language governing permissions and\nlimitations under the License.")
+GPL = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free "
+       "Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n")
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
+
+
+@pytest.mark.parametrize("comment", ["", "# ", " * ", "// ", "-- "])
+def test_public_texts_wrapped_numbered_and_commented(spark, documents, comment):
+    texts = []
+    for marks in (["", "", ""], ["1. ", "2. ", "3. "], ["(1) ", "(2) ", "(3) "], ["* ", "* ", "* "], ["- ", "- ", "- "]):
+        for holder in ("copyright holder", "Foo Inc.", "University\n   of Somewhere"):
+            texts.append(("BSD-3-Clause", BSD[0] + "".join(m + c for m, c in zip(marks, BSD[1:])).format(holder) + "THIS SOFTWARE IS PROVIDED"))
+        texts.append(("BSD-2-Clause", BSD[0] + marks[0] + BSD[1] + marks[1] + BSD[2] + "THIS SOFTWARE IS PROVIDED"))
+    texts += [("Apache-2.0", APACHE), ("GPL-3.0-or-later", GPL), ("GPL-2.0-or-later", GPL.replace("version 3", "version 2").replace(": you", "; you")), ("MPL-2.0", MPL)]
+    rows = [(i, "\n".join((comment + x).rstrip() for x in t.split("\n"))) for i, (_, t) in enumerate(texts)]
+    got = {r["doc_id"]: r for r in licenses.find_licenses(documents(rows)).collect()}
+    assert [got[i]["licenses"] for i in range(len(texts))] == [[name] for name, _ in texts]
+    assert "ApacheAsIs" in [*got[len(texts) - 4]["identifiers"]] and "ApacheSee" in got[len(texts) - 4]["identifiers"]
+
+
 def test_no_known_sentence_is_filtered_out(spark, documents):
     """Each sentence alone, its words on lines of their own where these are joined again."""
     rows = [(i, s) for i, s in enumerate(licenses.SENTENCES)] + [(1000, "Text.\nAll rights reserved."), (1001, "Released into the public\ndomain.")]

@@ -13,8 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A line break inside a sentence: the line ends without a stop and the next begins in lower case, or both are in capitals.
-WRAPPED = (r"([^.!?:;\n])[ \t\r]*\n[ \t]*([a-z(])", r"([A-Z,]{2})[ \t\r]*\n[ \t]*([A-Z]{2})")
+# What begins a line of a comment; a star only after a blank, as in a block comment, since lists begin with it too.
+_COMMENT = r"(?:(?:#+|//+|--+|;+|%+|[ \t]\*)[ \t]+)?"
+_BREAK = r"[ \t\r]*\n[ \t]*?" + _COMMENT + r"[ \t]*"
+# Applied in order, each match becomes its two groups with a blank between. First the number of a clause goes. Then a line break inside a sentence:
+# the line ends without a stop and the next begins in lower case, or both are in capitals, or it parts words that stand together. Last, the holder's
+# name goes from the clause that forbids its use.
+WRAPPED = (
+    r"(^|\n)[ \t]*?" + _COMMENT + r"[ \t]*(?:\([0-9]{1,2}\)|[0-9]{1,2}[.)]|\([a-z]\))[ \t]+([A-Za-z])",
+    r"([^.!?:;\n])" + _BREAK + r"([a-z(])",
+    r"([A-Z,]{2})" + _BREAK + r"([A-Z]{2})",
+    r"( (?:of|the|or|and|by|to|in|under|Apache|Mozilla|GNU|General|Public|MIT|BSD))" + _BREAK + r"([A-Z])",
+    r"([Nn]either the names? of)[ \t\r\n][^\x00]{1,200}?[ \t\r\n](nor the names of (?:its|their|the) contributors)",
+)
 STOPS = r"[.!?:;]+[ \t\r]+"
 OTHER = r"[^a-z0-9.+-]+"
 ENDS = r"^[ .+-]+|[ .+-]+$"
@@ -45,6 +56,8 @@ SENTENCES: dict[str, str] = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "BsdAdvert",
+    "neither the name of nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdNames",
     "licensed under the bsd license": "BsdRef",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
     "this work is licensed under the gnu general public license version 3": "Gpl3Ref",
@@ -53,6 +66,10 @@ SENTENCES: dict[str, str] = {
     "licensed under the gnu general public license version 2": "Gpl2Ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Plus",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Plus",
+    # Stops end sentences within the public texts, too.
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Plus",
+    "this source code form is subject to the terms of the mozilla public license v": "MplRef",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GnuNoWarranty",
     "you should have received a copy of the gnu general public license along with this program": "GnuReceived",
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "MplRef",
@@ -87,6 +104,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("MitRef", "MitGrant", "MitNotice")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiable")),
     ("MIT", ("MitGrant", "MitNotice")),
+    ("BSD-4-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAdvert")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNames")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("GPL-3.0-or-later", ("Gpl3Plus", "GnuNoWarranty", "GnuReceived")),
     ("GPL-3.0-or-later", ("Gpl3Plus", "GnuNoWarranty")),
