@@ -212,6 +212,20 @@ def test_cutoffs_reject_few_good_documents(spark, documents):
     assert cutoffs.count() == 1 and quality.fit_cutoffs(signals, labels.limit(0)).count() == 0
 
 
+def test_cutoffs_tell_where_rules_are_off(spark, documents):
+    for limit, delta in ((0.004, 0.0025), (0.01, 0.01), (0.02, 0.05)):
+        n = quality.least_good(limit, delta)
+        assert quality.upper_bound(0, n, delta) <= limit + 1e-9 and quality.upper_bound(0, n - 1, delta) > limit
+    assert quality.least_good(0.02 / 5, 0.05 / 20) == 1495
+    rows = [(i, " ".join(f"w{i}x{j}" + "#####" * (i >= 300) for j in range(60))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i < 300)) for i, _ in rows], "doc_id long, quality int")
+    signals = quality.with_signals(documents(rows))
+    for risk, on in ((0.02, False), (0.1, True)):
+        r = quality.fit_cutoffs(signals, labels, risk=risk).first()
+        assert (r["n_good"], r["least_good"]) == (300, quality.least_good(risk / 5, 0.01)) and (r["n_good"] >= r["least_good"]) == on
+        assert r["rules_on"] == [x for x in (q.name for q in quality.RULES) if r[x] is not None] and bool(r["rules_on"]) == on
+
+
 def test_quality_of_odd_rows(spark, documents):
     docs = documents(ODD).withColumnRenamed("n_chars", "n_words")
     labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")

@@ -5,6 +5,9 @@ Signals of each text are compared with cutoffs. A cutoff is chosen per stratum f
 Candidates form a fixed grid and are tested from the most lenient to the strictest, each with an exact (Clopper-Pearson) upper bound of
 the share of good documents beyond it; the first that fails ends the walk, so the grid needs no correction, and rules and strata get
 Bonferroni's. Of the certified cutoffs the most lenient that rejects the most bad documents is used; a rule that rejects none is off.
+
+So a stratum needs ``least_good`` good labelled documents before any rule can be on in it: 1,495 with five rules, four strata and the defaults. In
+strata with fewer the verdict is the base rules alone; ``fit_cutoffs`` tells which these are.
 """
 
 from __future__ import annotations
@@ -116,6 +119,11 @@ def upper_bound(wrong: int, n: int, delta: float) -> float:
     return high
 
 
+def least_good(limit: float, delta: float) -> int:
+    """The fewest good documents of which none beyond a cutoff certifies it."""
+    return math.ceil(math.log(delta) / math.log1p(-limit))
+
+
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, n_good: int, limit: float, delta: float) -> int:
     """The grid place to use, -1 for none. ``good`` and ``bad``: documents beyond each place, from lenient to strict."""
     best, most = -1, 0
@@ -136,7 +144,7 @@ def _place(rule: Rule) -> F.Column:
 
 def fit_cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05,
                 rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Cutoffs per stratum: stratum, one double column per rule (null: off), n_good.
+    """Cutoffs per stratum: stratum, one double column per rule (null: off), n_good, least_good (with fewer all rules are off), rules_on (names).
 
     ``labels``: doc_id, quality (1 good, 0 bad, null ignored). Documents that the base rules reject are left out, as the method's verdict
     does not touch them. All labelled documents count; the grid is fixed beforehand, so all of them are holdout. Only counts by stratum,
@@ -164,9 +172,11 @@ def fit_cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", ri
             out["n_good"] = n
             at = choose_cutoff(*beyond, n, risk / len(rules), delta / tests) if n else -1
             out[rule.name] = rule.grid[at] if at >= 0 else None
+        out["least_good"] = least_good(risk / len(rules), delta / tests)
+        out["rules_on"] = [r.name for r in rules if out[r.name] is not None]
         return pd.DataFrame([out])
 
-    schema = f"stratum string, n_good long, {', '.join(f'{r.name} double' for r in rules)}"
+    schema = f"stratum string, n_good long, {', '.join(f'{r.name} double' for r in rules)}, least_good long, rules_on array<string>"
     return counts.groupBy("stratum").applyInPandas(choose, schema)
 
 
