@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import chat, jaccard, licenses, line_dedup, mixing, packing, pivots, quality, secrets, token_files
+from txguard.llm import chat, jaccard, licenses, line_dedup, merkle, mixing, packing, pivots, quality, secrets, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql()}
+    return {"op1_license_scan": _license_sql(), "op12_merkle_manifest": _merkle_sql()}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -134,3 +134,53 @@ def op9_packing(spark, sf):
 def op10_ngram_jaccard(spark, sf):
     """Every document with its group of near copies."""
     return jaccard.similar_documents(table(spark, sf, "documents"), k=4, percent=85)
+
+
+@query
+def op12_merkle_manifest(spark, sf):
+    """Every document's leaf and proof, and what the proof makes of a text that was tampered with in a fifth of them."""
+    seen = merkle.lowered_where(F.col("doc_id"), F.col("text"))
+    return merkle.manifest(table(spark, sf, "documents"), seen).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """The manifest in SQL, level by level; ``levels`` of them hold 16 ** levels documents of a source, ``upper`` as many sources."""
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], " \
+          f"lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')"
+    seen = f"CASE WHEN coalesce({crc} % 5 = 0, false) THEN {lowered} ELSE text END"
+    parts = [f"""
+        base AS (SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({head} || {field('text')}) AS leaf, sha256({head} || {field(f'({seen})')}) AS seen
+                 FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM base),
+        b0 AS (SELECT tree, idx, n, leaf AS d FROM leaves)"""]
+
+    def climb(name: str, n: int) -> None:
+        for k in range(n):
+            parts.append(f"{name}g{k} AS (SELECT tree, idx // 16 AS idx, any_value(n) AS n, list(d ORDER BY idx) AS kids FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // 16)")
+            parts.append(f"{name}{k + 1} AS (SELECT tree, idx, (n + 15) // 16 AS n, sha256(array_to_string(kids, '')) AS d FROM {name}g{k})")
+
+    climb("b", levels)
+    tops = " UNION ALL ".join(f"SELECT tree, d FROM b{k} WHERE n = 1" for k in range(levels + 1))
+    parts.append(f"subroots AS (SELECT * FROM ({tops}))")
+    parts.append("t0 AS (SELECT 1 AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n, d, tree AS name FROM subroots)")
+    climb("t", upper)
+    root = " UNION ALL ".join(f"SELECT d FROM t{k} WHERE n = 1" for k in range(upper + 1))
+    parts.append(f"""p0 AS (SELECT l.doc_id, l.tree, l.leaf, l.idx, t.idx AS tidx, t.d AS subroot, (SELECT d FROM ({root})) AS root, '' AS proof, l.seen AS fold
+                   FROM leaves l JOIN t0 t ON l.tree = t.name)""")
+    for i in range(levels + upper):
+        group, at, k = (f"bg{i}", "p.idx", i) if i < levels else (f"tg{i - levels}", "p.tidx", i - levels)
+        match = f"p.tree = g.tree AND {at} // {16 ** (k + 1)} = g.idx" if i < levels else f"{at} // {16 ** (k + 1)} = g.idx"
+        place = f"{at} // {16 ** k} % 16"
+        parts.append(f"""p{i + 1} AS (SELECT p.* EXCLUDE (proof, fold),
+            CASE WHEN g.kids IS NULL THEN proof ELSE proof || array_to_string(g.kids[1:{place}] || g.kids[{place} + 2:], '') END AS proof,
+            CASE WHEN g.kids IS NULL THEN fold ELSE sha256(array_to_string(g.kids[1:{place}] || [fold] || g.kids[{place} + 2:], '')) END AS fold
+            FROM p{i} p LEFT JOIN {group} g ON {match})""")
+    return f"""WITH {", ".join(parts)}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM p{levels + upper}"""
