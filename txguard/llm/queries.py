@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import chat, jaccard, licenses, line_dedup, merkle, mixing, packing, pivots, quality, secrets, token_files
+from txguard.llm import chat, hard_negatives, jaccard, licenses, line_dedup, merkle, mixing, packing, pivots, quality, secrets, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -25,7 +25,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op12_merkle_manifest": _merkle_sql()}
+    return {"op1_license_scan": _license_sql(), "op12_merkle_manifest": _merkle_sql(), "op13_hard_negatives": _negatives_sql()}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -143,6 +143,33 @@ def op12_merkle_manifest(spark, sf):
     return merkle.manifest(table(spark, sf, "documents"), seen).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query
+def op13_hard_negatives(spark, sf):
+    """Hard negatives of every hundredth vector; the labels of every seventh are wrong by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), label=label, seed=SEED)
+
+
+def _negatives_sql() -> str:
+    """Hard negatives by scoring every row for every anchor."""
+    return """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+            FROM rows a JOIN rows r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10"""
+
+
 def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
     """The manifest in SQL, level by level; ``levels`` of them hold 16 ** levels documents of a source, ``upper`` as many sources."""
     digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
