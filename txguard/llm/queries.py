@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txguard.llm import chat, hard_negatives, jaccard, licenses, line_dedup, merkle, mixing, packing, pivots, quality, secrets, token_files
+from txguard.llm import chat, hard_negatives, jaccard, katz, licenses, line_dedup, merkle, mixing, packing, pivots, quality, secrets, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -136,6 +136,12 @@ def op10_ngram_jaccard(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents"), k=4, percent=85)
 
 
+@query
+def op11_lm_score(spark, sf):
+    """Log probabilities of every document under the backoff model, and under add-one word counts."""
+    return katz.train_and_score(table(spark, sf, "documents")).scores
+
+
 @query
 def op12_merkle_manifest(spark, sf):
     """Every document's leaf and proof, and what the proof makes of a text that was tampered with in a fifth of them."""
