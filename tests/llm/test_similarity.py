@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from cases import ODD
 
 from txguard.llm import jaccard, line_dedup, pivots
@@ -186,45 +187,40 @@ def test_crowds_in_blocks_and_side_by_side(spark, monkeypatch):
 
 
 def brute_lines(rows, min_words):
-    """Text left of each distinct (doc_id, text), documents in the order of ids; equal rows are one."""
-    distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
-    keyed = []
-    for d, t in distinct:
-        lines = (t or "").encode().split(b"\n") if t else []
-        seen, marks = {}, []
-        for pos, line in enumerate(lines):
-            line = line.strip()
-            if line:
-                seen[line] = seen.get(line, 0) + 1
-                marks.append((pos, (line, seen[line])))
-        keyed.append((lines, marks))
-    first, out = {}, {}
-    for n, (lines, marks) in enumerate(keyed):
-        aligned = set()
-        by = {}
-        for pos, mark in marks:
-            if mark in first:
-                by.setdefault(first[mark][0], []).append((pos, first[mark][1]))
-        for pairs in by.values():
-            best = [[]] * len(pairs)
-            for i, (pos, other) in enumerate(pairs):
-                prior = max((best[j] for j in range(i) if pairs[j][1] < other), key=len, default=[])
-                best[i] = [*prior, pos]
-            aligned |= set(line_dedup.patience(pairs))
-            assert len(line_dedup.patience(pairs)) == max(map(len, best))
-        drop = set(line_dedup.lines_to_drop(lines, aligned, min_words))
-        t = distinct[n][1]
-        out[distinct[n]] = b"\n".join(x for i, x in enumerate(lines) if i not in drop).decode() if drop else t
-        for pos, mark in marks:
-            first.setdefault(mark, (n, pos))
+    """Text left of each distinct (doc_id, text) by looking at every run of lines of every pair; equal rows are one document."""
+    distinct = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, xxhash64(r[1])))
+    texts = [(t or "").split("\n") for _, t in distinct]
+    worded = [[(i, x.strip(" \t\n\r\x0b\x0c")) for i, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c")] for lines in texts]
+    out = {}
+    for n, row in enumerate(distinct):
+        own, gone = worded[n], set()
+        for m in range(n):
+            other = worded[m]
+            for shift in range(-len(other) + 1, len(own)):
+                run = []
+                for i in range(max(0, shift), len(own) + 1):
+                    if i < len(own) and i - shift < len(other) and own[i][1] == other[i - shift][1]:
+                        run.append(i)
+                        continue
+                    if sum(len(own[j][1].encode().split()) for j in run) >= min_words:
+                        gone.update(run)
+                    run = []
+        drop = {own[i][0] for i in gone} | {x for i in gone if i + 1 in gone for x in range(own[i][0], own[i + 1][0])}
+        out[row] = "\n".join(x for i, x in enumerate(texts[n]) if i not in drop) if drop else row[1]
     return out
 
 
+def xxhash64(text):
+    """Spark's xxhash64 of a string."""
+    return (xxhash.xxh64_intdigest((text or "").encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63) if text is not None else 42
+
+
 def test_lines(spark, documents):
     rng = random.Random(0)
     lines = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 9))) for _ in range(60)]
     rows = [(i, "\n".join(rng.choice([*rng.sample(lines, 3), "", f"own {i}"]) for _ in range(rng.randint(0, 25)))) for i in range(80)]
     rows += [(200 + i, rows[i][1]) for i in range(10)] + [(300, rows[3][1] + "\nmore\n" + rows[4][1]), (None, rows[5][1]), rows[6]]
+    rows += [(301, rows[4][1] + "\n \n" + rows[3][1]), (302, "\n".join([rows[7][1]] * 3)), (303, "\n".join(reversed(rows[8][1].split("\n")))), (303, rows[9][1]), (303, rows[8][1])]
     for given, least in ((rows, 8), (ODD, 2), ([(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()], 40), ([], 5)):
         want = brute_lines(given, least)
         docs = documents(given).withColumnRenamed("lang", "dropped").withColumnRenamed("source", "n_lines")
@@ -233,7 +229,8 @@ def test_lines(spark, documents):
         assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((d, want[d, t]) for d, t in given), key=str)
         left = line_dedup.deduplicated_documents(docs, least)
         assert left.columns == docs.columns
-        kept = [(d, want[d, t]) for d, t in given if want[d, t] == t or want[d, t].encode().split()]
+        # Rows equal in id and text are kept once.
+        kept = [(d, want[d, t]) for d, t in set(given) if want[d, t] == t or want[d, t].encode().split()]
         assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(kept, key=str)
 
 
@@ -242,3 +239,42 @@ def test_passages_and_copies_go(spark, documents):
     docs = documents([(1, f"first own\n{passage}\nend one"), (2, f"second own line\n{passage}"), (3, f"first own\n{passage}\nend one"), (4, "clean text")])
     out = {r.doc_id: r.text for r in line_dedup.deduplicated_documents(docs).collect()}
     assert out == {1: f"first own\n{passage}\nend one", 2: "second own line", 4: "clean text"}
+
+
+def test_blocks_of_any_earlier_document_go(spark, documents):
+    """The first document that has each of the lines is not the one that has the block."""
+    lines = [" ".join(f"l{i}w{j}" for j in range(12)) for i in range(8)]
+    inorder = "\n".join(lines)
+    docs = documents([(1, "\n".join(reversed(lines))), (2, inorder), (3, inorder), (4, f"own\n{lines[2]}\n\n{lines[3]}\n{lines[4]}\n{lines[5]}\nend")])
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated_documents(docs).collect()} == {1: "\n".join(reversed(lines)), 2: inorder, 4: "own\nend"}
+
+
+def test_lines_shared_with_many_make_no_block(spark, documents):
+    lines = [" ".join(f"l{i}w{j}" for j in range(12)) for i in range(4)]
+    rows = [(i, f"head {i}\n{x}\ntail {i}") for i, x in enumerate(lines)] + [(9, "\n".join(lines))]
+    assert sorted((r.doc_id, r.text) for r in line_dedup.deduplicated_documents(documents(rows)).collect()) == rows
+
+
+def test_a_line_and_a_passage_that_most_documents_have(spark, documents):
+    common, passage = "this line is everywhere", "\n".join(" ".join(f"p{i}q{j}" for j in range(15)) for i in range(4))
+    rows = [(i, f"{common}\nown {i} text\n{passage}\nmore {i}") for i in range(600)]
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated_documents(documents(rows)).collect()}
+    assert got == {i: t if i == 0 else f"{common}\nown {i} text\nmore {i}" for i, t in rows}
+
+
+def test_repeated_rows_stay_once(spark, documents):
+    t = " ".join(f"w{i}" for i in range(60))
+    got = [(r.doc_id, r.text) for r in line_dedup.deduplicated_documents(documents([(1, t), (1, t), (1, t), (2, t), (None, "x y"), (None, "x y"), (3, None), (3, None)])).collect()]
+    assert sorted(got, key=str) == sorted([(1, t), (None, "x y"), (3, None)], key=str)
+
+
+def test_windows_cover_every_block():
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [(i, i, rng.choice([1, 3, 8, 25, 60])) for i in range(rng.randint(1, 12))]
+        found = line_dedup.windows(lines, 40)
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(n for _, _, n in lines[a : b + 1]) >= 40:
+                    inside = [w for w in found if a <= w[0] and w[1] <= b]
+                    assert all(any(w[0] <= i <= w[1] for w in inside) for i in range(a, b + 1))
