@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -35,11 +36,22 @@ def entropy(text):
     return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
 
 
+def is_allowed(run):
+    placeholder = "example|sample|placeholder|changeme|dummy|xxxxxx"
+    if re.fullmatch("[A-Za-z][A-Za-z_/-]*|[0-9]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+        return True
+    keys = [p for p in re.split("[/_-]", run) if len(p) >= 16 and not re.search(placeholder, p, re.I)]
+    return bool(re.search(placeholder, run, re.I)) and not keys
+
+
 def entropy_spans(text):
     out = []
     for k, c in enumerate(secrets.CLASSES):
-        for m in re.finditer(f"[{c.members}]{{{c.window},}}", text):
-            if any(re.search(a, m[0]) for a in secrets.ALLOWED):
+        for m in re.finditer(f"[{c.members}]+", text):
+            n = len(m[0])
+            if n < c.window or (c.longest and n > c.longest) or is_allowed(m[0]):
+                continue
+            if c.mixed and not all(re.search(x, m[0]) for x in ("[a-z]", "[A-Z]", "[0-9]")):
                 continue
             spans = []
             for i in range(len(m[0]) - c.window + 1):
@@ -66,6 +78,9 @@ def test_secrets(spark, documents):
     rows = [(i, "".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 9)))) for i in range(400)]
     rows += [(d if d is None else 1000 + d, t) for d, t in ODD]
     rows.append((2000, b64 * 50))
+    # Spans and matches over the borders of blocks, keys in paths, short and capital ones.
+    rows += [(2001, ("q" * 40 + b64) * 30), (2002, "token=abcdefgh " * 700), (2003, f"com/sample/repo/{b64[:30]}"), (2004, f"see {b64[:18]}Qz7 and {hexes[:26].upper()}."),
+             (2005, "com/sample/some/words/here"), (2006, b64[:40] + "/example" * 3), (2007, "".join(rng.choice(b64) for _ in range(2500)))]
     found = secrets.find_secrets(documents(rows)).select(
         "doc_id", "assign", "access", "hex", secrets.as_text(secrets.F.concat("assign", "access", "hex")).alias("base"),
         secrets.as_text(secrets.F.concat("assign", "access", "hex", "entropy")).alias("all")).collect()
@@ -79,6 +94,23 @@ def test_secrets(spark, documents):
     assert sum("entropy" in w[2] for w in want) > 20
 
 
+@pytest.mark.parametrize("text,spans", [
+    ("a/" * 500_000, 0), ("." * 1_000_000, 0), (" " * 1_000_000, 0), ("password" + " " * 1_000_000, 0), ("token=abcdef12 " * 40_000, 40_000), ("aB3/" * 50_000, 0),
+    ("9" * 1_000_000, 0), ("password=" * 100_000, 1),
+], ids=["paths", "dots", "blanks", "open", "assignments", "candidate", "digits", "chain"])
+def test_secrets_in_long_texts(spark, documents, text, spans):
+    start = time.time()
+    row = secrets.find_secrets(documents([(1, text)])).first()
+    assert len(row["assign"]) >= spans if spans else not row["assign"]
+    assert time.time() - start < 60
+    if spans == 40_000:
+        assert [tuple(x)[::3] for x in row["assign"]] == [(15 * i, 15 * i + 14) for i in range(spans)]
+
+
+def test_secrets_of_an_empty_table(spark, documents):
+    assert secrets.find_secrets(documents([])).collect() == []
+
+
 # --- licences ---
 
 
