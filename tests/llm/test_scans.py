@@ -127,19 +127,24 @@ def test_licenses(spark, documents):
     assert got[1]["licenses"] == ["MIT"] and got[1]["identifiers"][:3] == ["MitRef", "MitGrant", "MitNotice"]
     assert got[2]["licenses"] == ["Apache-2.0", "MIT"] and got[3]["licenses"] == ["MIT"] and got[5]["licenses"] == ["CC-BY-NC-4.0"]
     assert got[4]["licenses"] == [] and got[4]["n_sentences"] == 1
-    assert all(got[i]["n_sentences"] == 0 for i in range(100, 110) if i in got)
+    assert [got[100 + i]["n_sentences"] for i in (1, 2, 3, 4, 9)] == [0, 0, 0, 1, 3]
     assert licenses.find_licenses(documents([])).count() == 0
 
 
-def test_every_sentence_has_an_anchor_and_a_rule():
-    assert all(re.search(licenses.ANCHORS.replace("(?i)", ""), s) or s in KNOWN_WITHOUT for s in licenses.SENTENCES)
-    assert all(re.fullmatch(r"[a-z0-9.+-]+( [a-z0-9.+-]+)*", s) for s in licenses.SENTENCES)
+def test_sentences_are_normal_and_rules_know_theirs():
+    assert all(re.fullmatch(r"[a-z0-9.+-]+( [a-z0-9.+-]+)*", s) for s in licenses.SENTENCES) and len(licenses.SENTENCES) > 500
     parts = {p for _, ps in licenses.RULES for p in ps}
     assert parts <= set(licenses.SENTENCES.values())
 
 
-#: Sentences that stand only beside others with an anchor.
-KNOWN_WITHOUT = {"all rights reserved"}
+@pytest.mark.parametrize("text", ["license " + "." * 2_000_000, "license " + " " * 2_000_000, "a" + "\t \r" * 700_000 + "b", "x\n" + " " * 2_000_000 + "1. A", "ab. " * 500_000,
+                                  "a." * 1_000_000, "#" * 2_000_000, "AB\n" * 600_000, "- " * 1_000_000, ". \n" * 600_000],
+                         ids=["dots", "blanks", "tabs", "indent", "sentences", "points", "hashes", "capitals", "dashes", "lines"])
+def test_licenses_in_long_texts(spark, documents, text):
+    start = time.time()
+    row = licenses.find_licenses(documents([(1, text + "\nReleased under the MIT license.")])).first()
+    assert row["licenses"][-1:] == ["MIT"] or text.startswith(("AB", "-"))
+    assert time.time() - start < 40
 
 
 BSD = ("Copyright (c) 2020, Some Holder\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
@@ -170,13 +175,14 @@ def test_public_texts_wrapped_numbered_and_commented(spark, documents, comment):
     assert "ApacheAsIs" in [*got[len(texts) - 4]["identifiers"]] and "ApacheSee" in got[len(texts) - 4]["identifiers"]
 
 
-def test_no_known_sentence_is_filtered_out(spark, documents):
-    """Each sentence alone, its words on lines of their own where these are joined again."""
-    rows = [(i, s) for i, s in enumerate(licenses.SENTENCES)] + [(1000, "Text.\nAll rights reserved."), (1001, "Released into the public\ndomain.")]
+def test_every_known_sentence_is_found(spark, documents):
+    """Each sentence alone, and words on lines of their own where these are joined again."""
+    rows = [(i, s) for i, s in enumerate(licenses.SENTENCES)] + [(100_000, "Text.\nAll rights reserved."), (100_001, "Released into the public\ndomain."),
+                                                                 (100_002, "This library is distributed under the GNU Lesser General\nPublic License, version 2.1.")]
     got = {r["doc_id"]: r for r in licenses.find_licenses(documents(rows)).collect()}
-    whole = {r["doc_id"]: r for r in licenses.find_licenses(documents(rows), anchors="").collect()}
-    assert got == whole
-    assert got[1000]["licenses"] == ["all-rights-reserved"] and got[1001]["licenses"] == ["public-domain"]
+    assert all(got[i]["identifiers"][:1] == [v] or "." in s for i, (s, v) in enumerate(licenses.SENTENCES.items()))
+    assert got[100_000]["licenses"] == ["all-rights-reserved"] and got[100_001]["licenses"] == ["public-domain"] and got[100_002]["licenses"] == ["LGPL-2.1-only"]
+    assert {got[i]["n_sentences"] for i in range(len(licenses.SENTENCES))} <= {1, 2}
     own = licenses.find_licenses(documents([(1, "Use it well.")]), {"use it well": "Own"}, (("own", ("Own",)),)).first()
     assert own["licenses"] == ["own"]
 

@@ -6,32 +6,27 @@ against rules in order: a rule takes its sentences out of the sequence and leave
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# What begins a line of a comment; a star only after a blank, as in a block comment, since lists begin with it too.
-_COMMENT = r"(?:(?:#+|//+|--+|;+|%+|[ \t]\*)[ \t]+)?"
-_BREAK = r"[ \t\r]*\n[ \t]*?" + _COMMENT + r"[ \t]*"
+# What begins a line, with a comment's marks; a star only after a blank, as in a block comment, since lists begin with it too. Every loop is over single
+# characters, keeps what it took, and cannot begin again inside its run, so a text takes time in proportion to its length.
+_BEGIN = r"[ \t]*+(?:(?:#++|/{2,}+|-{2,}+|;++|%++|(?<=[ \t])\*)[ \t]++)?+"
+_BREAK = r"[ \t\r]*+\n" + _BEGIN
 # Applied in order, each match becomes its two groups with a blank between. First the number of a clause goes. Then a line break inside a sentence:
 # the line ends without a stop and the next begins in lower case, or both are in capitals, or it parts words that stand together. Last, the holder's
 # name goes from the clause that forbids its use.
 WRAPPED = (
-    r"(^|\n)[ \t]*?" + _COMMENT + r"[ \t]*(?:\([0-9]{1,2}\)|[0-9]{1,2}[.)]|\([a-z]\))[ \t]+([A-Za-z])",
-    r"([^.!?:;\n])" + _BREAK + r"([a-z(])",
+    r"(^|\n)" + _BEGIN + r"(?:\([0-9]{1,2}\)|[0-9]{1,2}[.)]|\([a-z]\))[ \t]++([A-Za-z])",
+    r"([^.!?:;\n \t\r])" + _BREAK + r"([a-z(])",
     r"([A-Z,]{2})" + _BREAK + r"([A-Z]{2})",
     r"( (?:of|the|or|and|by|to|in|under|Apache|Mozilla|GNU|General|Public|MIT|BSD))" + _BREAK + r"([A-Z])",
     r"([Nn]either the names? of)[ \t\r\n][^\x00]{1,200}?[ \t\r\n](nor the names of (?:its|their|the) contributors)",
 )
-STOPS = r"[.!?:;]+[ \t\r]+"
-OTHER = r"[^a-z0-9.+-]+"
-ENDS = r"^[ .+-]+|[ .+-]+$"
-# Usual words of known sentences; find_anchors adds one for each sentence that has none. Anchors are parts of single words, which normalising
-# leaves together, so texts without any hold no known sentence.
-USUAL = "licen[sc]e|spdx|copyright|redistribution|domain|warrant|permission|liable"
+STOPS = r"(?<![.!?:;])[.!?:;]++[ \t\r]++"
+OTHER = r"[^a-z0-9.+\n-]++"
+ENDS = " .+-"
 
 # Sentences of public licences, as normalised.
 SENTENCES: dict[str, str] = {
@@ -82,19 +77,57 @@ SENTENCES: dict[str, str] = {
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "released into the public domain": "PublicDomain",
     "all rights reserved": "Reserved",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "the origin of this software must not be misrepresented": "ZlibOrigin",
+    "this notice may not be removed or altered from any source distribution": "ZlibNotice",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LgplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "Lgpl21Plus",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3Plus",
+    "either version 2.1 of the license or at your option any later version": "Later21",
+    "either version 3 of the license or at your option any later version": "Later3",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "FsfVerbatim",
+}
+# Names of public licences as texts give them, by their short identifiers.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license", "apache-2.0 license"),
+    "MIT": ("mit license",),
+    "BSD-2-Clause": ("bsd 2-clause license", "2-clause bsd license", "simplified bsd license"),
+    "BSD-3-Clause": ("bsd 3-clause license", "3-clause bsd license", "new bsd license", "modified bsd license"),
+    "ISC": ("isc license",),
+    "Zlib": ("zlib license",),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license"),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu gpl version 2", "gpl version 2"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu gpl version 3", "gpl version 3"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2.1", "lgpl version 2.1"),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3", "lgpl version 3"),
+    "AGPL-3.0-only": ("gnu affero general public license version 3", "agpl version 3"),
+    "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0"),
+    "EPL-1.0": ("eclipse public license version 1.0", "eclipse public license 1.0"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license 2.0"),
+    "CDDL-1.0": ("common development and distribution license version 1.0",),
+    "Artistic-2.0": ("artistic license 2.0", "artistic license version 2.0"),
+    "WTFPL": ("do what the fuck you want to public license",),
+    "OFL-1.1": ("sil open font license version 1.1",),
+    "PSF-2.0": ("python software foundation license version 2",),
+    "CC-BY-4.0": ("creative commons attribution 4.0 international license", "cc by 4.0 license"),
+    "CC-BY-SA-4.0": ("creative commons attribution-sharealike 4.0 international license", "cc by-sa 4.0 license"),
+    "CC-BY-NC-4.0": ("creative commons attribution-noncommercial 4.0 international license", "cc by-nc 4.0 license"),
+    "CC-BY-ND-4.0": ("creative commons attribution-noderivatives 4.0 international license",),
+    "CC-BY-NC-SA-4.0": ("creative commons attribution-noncommercial-sharealike 4.0 international license",),
+    "CC0-1.0": ("creative commons zero v1.0 universal license", "cc0 1.0 universal license"),
 }
-for _name in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0", "CC-BY-4.0", "CC0-1.0"):
+# Sentences that name a licence are made of these.
+_SUBJECTS = ("", *(f"this {x} is " for x in ("work", "software", "project", "program", "library")))
+_VERBS = ("licensed", "released", "distributed")
+for _short, _names in NAMES.items():
+    for _full in _names:
+        for _subject in _SUBJECTS:
+            for _verb in _VERBS:
+                for _article in ("the ", ""):
+                    SENTENCES.setdefault(f"{_subject}{_verb} under {_article}{_full}", f"Named:{_short}")
     # The stop between tag and value is a sentence's end.
-    SENTENCES[f"spdx-license-identifier {_name.lower()}"] = f"Spdx:{_name}"
-
-
-def find_anchors(known: Iterable[str]) -> str:
-    """A pattern that every known sentence matches: the usual words, and the longest word of each sentence without one."""
-    more = {max(s.split(), key=len) for s in known if not re.search(USUAL, s)}
-    return "|".join([USUAL, *(re.sub(r"([.+])", r"[\1]", w) for w in sorted(more))])
-
-
-ANCHORS = find_anchors(SENTENCES)
+    SENTENCES[f"spdx-license-identifier {_short.lower()}"] = f"Spdx:{_short}"
 
 #: (licence, identifiers of its sentences in order); earlier rules win.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -113,6 +146,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-2.0-or-later", ("Gpl2Plus", "GnuNoWarranty")),
     ("GPL-3.0-or-later", ("Gpl3Plus",)),
     ("GPL-2.0-or-later", ("Gpl2Plus",)),
+    ("LGPL-2.1-or-later", ("LgplTerms", "Later21")),
+    ("LGPL-3.0-or-later", ("LgplTerms", "Later3")),
+    ("LGPL-2.1-or-later", ("Lgpl21Plus",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Plus",)),
+    ("AGPL-3.0-or-later", ("Agpl3Plus",)),
+    ("Zlib", ("ZlibGrant", "ZlibOrigin", "ZlibNotice")),
+    ("Zlib", ("ZlibGrant", "ZlibOrigin")),
+    ("Zlib", ("ZlibGrant",)),
     ("Apache-2.0", ("ApacheRef",)),
     ("MIT", ("MitRef",)),
     ("ISC", ("IscGrant",)),
@@ -127,7 +168,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
     ("Unlicense", ("Unlicense",)),
     ("public-domain", ("PublicDomain",)),
-    *((v.removeprefix("Spdx:"), (v,)) for v in SENTENCES.values() if v.startswith("Spdx:")),
+    *((name, (f"{kind}:{name}",)) for name in NAMES for kind in ("Named", "Spdx") if f"{kind}:{name}" in SENTENCES.values()),
     ("all-rights-reserved", ("Reserved",)),
 )
 
@@ -138,28 +179,27 @@ def sentences(text: Column) -> Column:
         text = F.regexp_replace(text, pattern, "$1 $2")
     # The colon of the SPDX tag ends no sentence.
     text = F.replace(text, F.lit("SPDX-License-Identifier:"), F.lit("SPDX-License-Identifier"))
-    units = F.split(F.regexp_replace(text, STOPS, "\n"), "\n")
-    return F.filter(F.transform(units, _normal), lambda s: s != "")
-
-
-def _normal(sentence: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), OTHER, " "), ENDS, "")
+    units = F.translate(F.regexp_replace(text, STOPS, "\n"), _UPPER, _LOWER)
+    parts = F.split(F.regexp_replace(units, OTHER, " "), "\n")
+    return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(ENDS))), lambda s: s != "")
 
 
-def find_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES,
-                  anchors: str | None = None) -> DataFrame:
+def find_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
     """doc_id, n_sentences, identifiers (known sentences in order), licenses (of the rules that match, in order), rest (identifiers that no rule took).
 
-    Unknown sentences stand between known ones, so a rule's sentences must follow each other. n_sentences counts those of texts with an anchor word and is 0 for all
-    others, as for null and empty texts. Rows need no exchange; other columns are ignored.
+    Unknown sentences stand between known ones, so a rule's sentences must follow each other. Every text is cut whole, in time proportional to its length; null
+    and empty ones have no sentences. Repeated rows give equal rows, an empty table none. Rows need no exchange; other columns are ignored.
     """
-    anchors = find_anchors(known) if anchors is None else anchors
-    lookup = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", F.when(F.regexp_like(text, F.lit(f"(?i){anchors}")), sentences(text)).otherwise(F.array().cast("array<string>")).alias("sentences"))
+    # One literal, which the optimiser makes a map.
+    lookup = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in known.items())), F.lit("\n"), F.lit("\t"))
+    names = sorted(known)
+    cut = docs.select("doc_id", sentences(F.coalesce(F.col("text"), F.lit(""))).alias("sentences"))
+    # Membership is a hash lookup; the map is read for the few that are known.
     named = cut.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.transform(
-        "sentences", lambda s: F.coalesce(F.try_element_at(lookup, s), F.lit("?"))).alias("found"))
-    sequence = F.array_join(F.transform("found", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
+        "sentences", lambda s: F.when(s.isin(names), F.try_element_at(lookup, s)).otherwise(F.lit("?"))).alias("found"))
+    # A run of unknown sentences parts known ones as a single one does.
+    runs = F.filter("found", lambda x, i: (x != "?") | (i == 0) | (F.get("found", i - 1) != "?"))
+    sequence = F.array_join(F.transform(runs, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     for name, parts in rules:
         sequence = F.replace(sequence, F.lit("".join(f"<{p}>" for p in parts)), F.lit(f"<={name}>"))
     marked = named.withColumn("sequence", sequence)

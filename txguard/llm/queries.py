@@ -33,21 +33,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The licence scan in SQL, from the same tables of sentences and rules."""
+    """The licence scan in SQL, from the same tables of sentences and rules. Its patterns are written for an engine without lookbehind."""
+    begin = r"[ \t]*?(?:(?:#+|//+|--+|;+|%+|[ \t]\*)[ \t]+)?[ \t]*"
+    line = r"[ \t\r]*\n" + begin
+    wrapped = (
+        r"(^|\n)" + begin + r"(?:\([0-9]{1,2}\)|[0-9]{1,2}[.)]|\([a-z]\))[ \t]+([A-Za-z])", r"([^.!?:;\n \t\r])" + line + r"([a-z(])",
+        r"([A-Z,]{2})" + line + r"([A-Z]{2})", r"( (?:of|the|or|and|by|to|in|under|Apache|Mozilla|GNU|General|Public|MIT|BSD))" + line + r"([A-Z])",
+        r"([Nn]either the names? of)[ \t\r\n][^\x00]{1,200}?[ \t\r\n](nor the names of (?:its|their|the) contributors)")
     text = "coalesce(text, '')"
-    for pattern in licenses.WRAPPED:
+    for pattern in wrapped:
         text = f"regexp_replace({text}, '{pattern}', '\\1 \\2', 'g')"
-    units = f"string_split(regexp_replace(replace({text}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier'), '{licenses.STOPS}', chr(10), 'g'), chr(10))"
-    normal = (f"regexp_replace(regexp_replace(translate(s, '{licenses._UPPER}', '{licenses._LOWER}'), '{licenses.OTHER}', ' ', 'g'), "
-              f"'{licenses.ENDS}', '', 'g')")
+    units = f"string_split(regexp_replace(replace({text}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier'), '[.!?:;]+[ \\t\\r]+', chr(10), 'g'), chr(10))"
+    normal = f"trim(regexp_replace(translate(s, '{licenses._UPPER}', '{licenses._LOWER}'), '[^a-z0-9.+-]+', ' ', 'g'), ' .+-')"
     known = ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items())
     sequence = "list_aggregate(list_transform(found, lambda x: '<' || x || '>'), 'string_agg', '')"
     for name, parts in licenses.RULES:
         sequence = f"replace({sequence}, '{''.join(f'<{p}>' for p in parts)}', '<={name}>')"
     return f"""
         WITH cut AS (
-            SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?i){licenses.ANCHORS}')
-                   THEN list_filter(list_transform({units}, lambda s: {normal}), lambda s: s <> '') ELSE [] END AS sentences FROM documents),
+            SELECT doc_id, list_filter(list_transform({units}, lambda s: {normal}), lambda s: s <> '') AS sentences FROM documents),
         named AS (
             SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, list_transform(sentences, lambda s: coalesce((MAP {{{known}}})[s], '?')) AS found
             FROM cut),
