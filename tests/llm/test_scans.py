@@ -225,6 +225,15 @@ def test_upper_bound_is_exact():
     assert quality.upper_bound(5, 5, 0.1) == 1.0
 
 
+def test_a_document_counts_once_however_often_it_is_labelled(spark, documents):
+    rows = [(i, " ".join(f"w{i}x{j}" + "#" * (i % 3) for j in range(60))) for i in range(280)]
+    signals = quality.with_signals(documents(rows + rows[:50]))
+    labels = [(d, 1) for d, _ in rows] * 8 + [(1000, 1)] + [(d, 0) for d in range(20)]
+    got = quality.fit_cutoffs(signals, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    # Twenty documents have labels that contradict each other.
+    assert [(r.n_good, r.rules_on) for r in got] == [(260, [])] and got[0].least_good > 280
+
+
 def test_cutoffs_reject_few_good_documents(spark, documents):
     """Held-out false rejection, over draws of good and bad documents whose shares of symbols overlap."""
     rng = np.random.default_rng(0)

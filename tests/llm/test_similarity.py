@@ -278,3 +278,12 @@ def test_windows_cover_every_block():
                 if sum(n for _, _, n in lines[a : b + 1]) >= 40:
                     inside = [w for w in found if a <= w[0] and w[1] <= b]
                     assert all(any(w[0] <= i <= w[1] for w in inside) for i in range(a, b + 1))
+
+
+def test_repeated_rows_and_several_texts_of_one_id(spark, documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    near = a.replace("a49", "changed")
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (3, near), (4, c), (4, c.replace("c49", "other")), (None, b), (None, b), (5, None), (5, None), (6, "short"), (6, "short")]
+    got = sorted(((r.doc_id, r.text) for r in jaccard.without_near_copies(documents(rows), 5, 80).collect()), key=str)
+    kept = [x for x in got if x[0] == 4]
+    assert len(kept) == 1 and [x for x in got if x[0] != 4] == sorted([(1, a), (3, b), (None, b), (5, None), (6, "short")], key=str)

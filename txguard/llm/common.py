@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txguard.session_dirs import ensure_checkpoint_dir
 
@@ -38,6 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of those that are equal in doc_id and text; any one, if they differ elsewhere. Rows without doc_id count as equal by text.
+
+    Only ids and hashes move to find out which rows are repeated; those are thinned out before they move.
+    """
+    names = [fresh(docs.columns, n) for n in ("own_id", "own_hash", "own_many")]
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), names[1]: F.xxhash64("text")})
+    doubled = stored(keyed.groupBy(*names[:2]).agg(F.count(F.lit(1)).alias(names[2])).where(F.col(names[2]) > 1).drop(names[2]), "repeated-documents")
+    if doubled.isEmpty():
+        return docs
+    first = keyed.join(doubled, names[:2], "left_semi").groupBy(*names[:2]).agg(F.first(F.struct(*docs.columns)).alias(names[2])).select(f"{names[2]}.*")
+    single = keyed.join(doubled, names[:2], "left_anti").select(*docs.columns)
+    return stored(single.unionByName(first.select(*docs.columns)), "distinct-documents")
+
+
 def fresh(columns: Iterable[str], name: str) -> str:
     """``name``, lengthened until none of ``columns`` has it in any case."""
     used = {c.lower() for c in columns}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txguard.llm.common import fresh, stored
+from txguard.llm.common import fresh, one_of_each, stored
 from txguard.llm.components import components
 
 # Postings longer than this are verified in blocks instead of pair by pair.
@@ -68,7 +68,7 @@ def least_overlap(size: int, percent: int) -> int:
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """One row per document (doc_id, key, n), and partial counts of shingles (token, seen)."""
+    """One row per document (doc_id, text_hash, key, n), and partial counts of shingles (token, seen)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: set[int] = set()
@@ -79,15 +79,15 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             often = n > 1
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(values[often]), pa.array(n[often].astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[often]), pa.array(n[often].astype(np.int64))], names=names)
 
-        names = ["doc_id", "key", "n", "token", "seen"]
+        names = ["doc_id", "text_hash", "key", "n", "token", "seen"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
                 found = shingles(text, k)
                 key = class_key(found)
-                rows.append((doc_id, key, len(found)))
+                rows.append((doc_id, text_hash, key, len(found)))
                 if key not in keys and len(found):
                     keys.add(key)
                     held.append(found)
@@ -101,7 +101,8 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield counts()
 
-    return stored(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, key long, n long, token long, seen long"), "shingle-scan")
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        scan, "doc_id long, text_hash long, key long, n long, token long, seen long"), "shingle-scan")
 
 
 def _ranks(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -351,15 +352,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     Rows without doc_id get no component and link nothing. Repeated rows are one document; rows of one id and different texts each link
     on their own under that id. Other columns are ignored; an empty table gives no rows.
     """
-    scan = _scan(docs, k)
-    documents = scan.where("key is not null").select("doc_id", "key", "n")
-    classes = stored(documents.where("n > 0 and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n")), "shingle-classes")
-    found = _candidates(_postings(docs.where("doc_id is not null"), k, percent, _ranks(scan)), percent)
-    pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where(
-        "n >= need").select("a", "b"), "shingle-pairs")
-    members = stored(found.where("b is null").select("token", F.col("a").alias("key")).distinct(), "shingle-members")
-    links = _verified(docs, k, _plan(pairs, members, classes), classes, percent)
+    documents, classes, links = _linked(docs, k, percent)
     ids = links.join(classes.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     labels = components(ids)
@@ -371,8 +364,33 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         documents.where(alone | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row (doc_id, text_hash, key of its set, n), the sets (key, rep: the smallest doc_id, n) and links between them (a, b: keys)."""
+    scan = _scan(docs, k)
+    documents = scan.where("key is not null").select("doc_id", "text_hash", "key", "n")
+    classes = stored(documents.where("n > 0 and doc_id is not null").groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "shingle-classes")
+    found = _candidates(_postings(docs.where("doc_id is not null"), k, percent, _ranks(scan)), percent)
+    pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where(
+        "n >= need").select("a", "b"), "shingle-pairs")
+    members = stored(found.where("b is null").select("token", F.col("a").alias("key")).distinct(), "shingle-members")
+    return documents, classes, _verified(docs, k, _plan(pairs, members, classes), classes, percent)
+
+
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those of documents that link to one with a smaller id; rows without doc_id stay."""
-    gone = fresh(docs.columns, "gone_id")
-    found = similar_documents(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(found, docs["doc_id"] == F.col(gone), "left_anti")
+    """One document of each group of linked ones, the one with the smallest doc_id and, of several texts with that id, the smallest hash.
+
+    Texts link, not ids: of an id with several texts only those go that are near copies. Rows equal in doc_id and text are one document and stay once. Documents
+    without shingles link with nothing; rows without doc_id go only if they are repeated.
+    """
+    docs = one_of_each(docs)
+    documents, classes, links = _linked(docs, k, percent)
+    labels = components(links)
+    grouped = stored(classes.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("group")), "shingle-groups")
+    kept = stored(grouped.groupBy("group").agg(F.min("first").alias("kept")), "kept-documents")
+    # Written, so that Spark splits what a large class or group makes of the other side.
+    known = stored(grouped.join(kept, "group").select("key", "kept"), "kept-by-class")
+    own = [fresh(docs.columns, "own_id"), fresh(docs.columns, "own_hash")]
+    gone = documents.where("n > 0 and doc_id is not null").join(known, "key").where(F.struct("doc_id", "text_hash") != F.col("kept")).select("doc_id", "text_hash").distinct()
+    gone = stored(gone.toDF(*own), "near-copies")
+    return docs.join(gone, (docs["doc_id"] == F.col(own[0])) & (F.xxhash64(docs["text"]) == F.col(own[1])), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from txguard.llm.common import fresh, stored
+from txguard.llm.common import fresh, one_of_each, stored
 
 # A common block is deleted if it has so many words.
 MIN_BLOCK_WORDS = 40
@@ -247,14 +247,6 @@ def deduplicated_documents(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) ->
 
     Of rows equal in doc_id and text that differ elsewhere any one is kept. Rows without doc_id that are equal in text count as equal.
     """
-    names = dict(zip(_DOC, (fresh(docs.columns, f"line_{c}") for c in _DOC)))
-    keyed = docs.withColumns(dict(zip(names.values(), _document(docs))))
-    number = fresh([*docs.columns, *names.values()], "line_number")
-    # Only keys move to find out which documents are repeated; their rows are thinned out before they move.
-    doubled = stored(keyed.groupBy(*names.values()).agg(F.count(F.lit(1)).alias(number)).where(F.col(number) > 1).drop(number), "repeated-documents")
-    if not doubled.isEmpty():
-        repeated = keyed.join(doubled, list(names.values()), "left_semi").groupBy(*names.values()).agg(
-            F.first(F.struct(*docs.columns)).alias(number)).select(f"{number}.*")
-        docs = stored(keyed.join(doubled, list(names.values()), "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns)), "distinct-documents")
+    docs = one_of_each(docs)
     emptied = fresh(docs.columns, "emptied")
     return deduplicated_lines(docs, min_words).where(~F.col(emptied)).select(*docs.columns)

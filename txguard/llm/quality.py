@@ -147,12 +147,16 @@ def fit_cutoffs(signals: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     """Cutoffs per stratum: stratum, one double column per rule (null: off), n_good, least_good (with fewer all rules are off), rules_on (names).
 
     ``labels``: doc_id, quality (1 good, 0 bad, null ignored). Documents that the base rules reject are left out, as the method's verdict
-    does not touch them. All labelled documents count; the grid is fixed beforehand, so all of them are holdout. Only counts by stratum,
+    does not touch them. All labelled documents count, each once: label rows that repeat are one label, documents whose labels contradict each other are left
+    out, and of several rows with one doc_id the smallest by stratum and places counts. Near copies count as documents of their own, so labels should be drawn
+    from a table without them. The grid is fixed beforehand, so all of them are holdout. Only counts by stratum,
     rule and grid place reach the Python step. Null is a stratum of its own. Without labels the table is empty.
     """
-    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("label_id"), "quality")
-    marked = signals.where(~base_failed()).join(known, F.col("doc_id") == F.col("label_id")).select(
-        F.col(stratum).alias("stratum"), "quality", *(_place(r).alias(f"p{i}") for i, r in enumerate(rules)))
+    # One label for each document, or the bound would count a document more than once.
+    known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(
+        F.min("quality").alias("quality"), F.max("quality").alias("most")).where("(quality >= 1) = (most >= 1)").drop("most")
+    row = F.struct(F.col(stratum).alias("stratum"), "quality", *(_place(r).alias(f"p{i}") for i, r in enumerate(rules)))
+    marked = signals.where(~base_failed()).join(known, F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.min(row).alias("row")).select("row.*")
     places = F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(f"p{i}").alias("place")) for i in range(len(rules))))).alias("at")
     counts = marked.select("stratum", "quality", places).groupBy("stratum", "at.rule", "at.place").agg(
         F.sum((F.col("quality") >= 1).cast("long")).alias("good"), F.sum((F.col("quality") < 1).cast("long")).alias("bad"))
