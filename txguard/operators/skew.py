@@ -57,8 +57,11 @@ def input_bytes(df: DataFrame) -> int:
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame whose plan has grown: a reliable checkpoint, written once and read by every later pass."""
-    if len(_leaves(df)) <= MAX_LEAVES:
-        return df
+    return df if len(_leaves(df)) <= MAX_LEAVES else checkpointed(df)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written once to the shared checkpoint folder, for plans that read them more than once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import json
 from collections import Counter, deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txguard.functions.columns import blank_to_null, epoch_ms, whole_units
+from txguard.operators.exact import ExactSum
 from txguard.operators.folds import ordered_fold
 from txguard.operators.running import as_of, running
 from txguard.operators.skew import DEFAULT_SKEW, Skew
-from txguard.operators.sliding import DAY, HOUR, MINUTE
+from txguard.operators.sliding import DAY, HOUR, MINUTE, sliding
 from txguard.plans.baselines import with_baselines
 from txguard.plans.engine import precheck_reason
-from txguard.plans.features import CARD, PRIOR, card_features, customer_features, device_features, feature_of, with_amount_ratio
+from txguard.plans.features import CARD, CUSTOMER, DEVICE, PRIOR, feature_of, with_amount_ratio
 from txguard.plans.limits import (
     DAILY_REASON, DEFAULT_LIMITS, MONTHLY_REASON, TRANSACTION_REASON, Limits, attempted_spend, limit_check, with_limits,
     with_periods,
 )
 from txguard.plans.rules import ACTIONS, DEFAULT_RULES, SEVERITY, Rule
 from txguard.plans.scoring import DEFAULT_THRESHOLDS, MAX_SCORE, Thresholds, by_points, explain, score
+from txguard.session_dirs import written
 
 OUTCOME = (
     "status string, limit_reason string, risk_score int, action string, reason_codes array<string>, "
@@ -40,41 +41,53 @@ _TESTS = {
 
 
 class _Frame:
-    """Count, sum and distinct values over the recorded rows of the last ``width`` ms.
+    """Count, sum and distinct values over the recorded rows of the last ``width`` ms; a row costs the same however full the frame is.
 
-    The total is added up anew, oldest row first, after rows have left, as a window over the same rows does: taking amounts back would let
-    rounding errors stay.
+    The sum is exact and rounded when read, so taking amounts back leaves nothing behind. The rows of the latest time are summed up apart, as the mean of
+    earlier ones leaves them out.
     """
 
     def __init__(self, width: int):
-        self.width, self.rows, self.total, self.values = width, deque(), 0.0, Counter()
+        self.width, self.rows, self.values = width, deque(), Counter()
+        self.sum, self.last, self.last_sum, self.last_n = ExactSum(), None, ExactSum(), 0
+
+    @property
+    def total(self) -> float:
+        return self.sum.value()
 
     def expire(self, now: int) -> None:
-        left = False
         while self.rows and self.rows[0][0] < now - self.width:
-            left = True
-            value = self.rows.popleft()[2]
+            _, amount, value = self.rows.popleft()
+            self.sum.add(amount, -1)
             if value is not None:
                 self.values[value] -= 1
                 if not self.values[value]:
                     del self.values[value]
-        if left:
-            self.total = 0.0
-            for row in self.rows:
-                self.total += row[1]
 
     def add(self, now: int, amount: float, value) -> None:
         self.rows.append((now, amount, value))
-        self.total += amount
+        self.sum.add(amount)
+        if now != self.last:
+            self.last, self.last_sum, self.last_n = now, ExactSum(), 0
+        self.last_sum.add(amount)
+        self.last_n += 1
         if value is not None:
             self.values[value] += 1
 
+    def mean_before(self, now: int) -> float:
+        """Mean of the rows before ``now``, 0 without any."""
+        self.expire(now)
+        n, total = len(self.rows), self.sum
+        if self.last == now:
+            n, total = n - self.last_n, total.plus(self.last_sum, -1)
+        return total.value() / n if n else 0.0
+
 
 class CardStep:
     """Decides the transactions of one card in order; used alike by the batch fold and the streaming state operator.
 
     A call takes :data:`STEP_INPUTS` and then the ``outer`` features, which do not depend on this card's decisions, and
-    returns :data:`OUTCOME`. Memory is the card's recorded rows of the last 24 hours.
+    returns :data:`OUTCOME`. Memory is the card's recorded rows of the last 24 hours; a row takes the same time however many these are.
     """
 
     def __init__(self, rules: Sequence[Rule], thresholds: Thresholds, block_ttl_ms: int | None, outer: Sequence[str]):
@@ -84,38 +97,29 @@ class CardStep:
                       (thresholds.alert, 1)]
         self.block_ttl_ms = block_ttl_ms
         self.frames = {"1m": _Frame(MINUTE), "5m": _Frame(5 * MINUTE), "1h": _Frame(HOUR), "24h": _Frame(DAY)}
-        self.recorded: deque = deque()
         self.blocked_at = None
+        self.manual_at, self.lifted_at = None, None
         self.day, self.month, self.day_spent, self.month_spent = None, None, 0, 0
 
-    def dump(self) -> str:
-        """The state as text, to be kept between micro-batches."""
-        return json.dumps([list(self.recorded), self.blocked_at, self.day, self.month, self.day_spent, self.month_spent])
+    @property
+    def scalars(self) -> tuple:
+        """What is kept of a card between micro-batches besides its recorded rows."""
+        return self.blocked_at, self.day, self.month, self.day_spent, self.month_spent, self.manual_at, self.lifted_at
 
-    def load(self, text: str) -> CardStep:
-        rows, self.blocked_at, self.day, self.month, self.day_spent, self.month_spent = json.loads(text)
+    def restore(self, scalars: tuple, rows: Iterable[tuple]) -> CardStep:
+        self.blocked_at, self.day, self.month, self.day_spent, self.month_spent, self.manual_at, self.lifted_at = scalars
         for row in rows:
             self._record(*row)
         return self
 
     def _record(self, ts, amount, merchant, country) -> None:
-        self.recorded.append((ts, amount, merchant, country))
-        while self.recorded[0][0] < ts - DAY:
-            self.recorded.popleft()
         for name, frame in self.frames.items():
             frame.expire(ts)
             frame.add(ts, amount, merchant if name == "1h" else country if name == "24h" else None)
 
-    def _prior_mean(self, ts) -> float:
-        """Mean amount of the last 24 hours, before this time."""
-        past = self.frames["24h"]
-        past.expire(ts)
-        total, n = 0.0, 0
-        for row in past.rows:
-            if row[0] >= ts:
-                break
-            total, n = total + row[1], n + 1
-        return total / n if n else 0.0
+    def command(self, ts: int, block: bool) -> None:
+        """An operator's block or unblock; commands come before transactions of their time."""
+        self.manual_at, self.lifted_at = (ts, self.lifted_at) if block else (None, ts)
 
     def _running(self, start: int | None, ts: int, lifted: int | None) -> bool:
         """Whether a block made at ``start`` still holds; an unblock at or after it lifts it."""
@@ -134,6 +138,8 @@ class CardStep:
         return test is not None and test(fv.get(condition.feature) or 0.0, condition.threshold)
 
     def __call__(self, ts, tx, card, amount, merchant, country, day, month, tx_limit, daily, monthly, reason, manual, lifted, *others) -> tuple:
+        manual = self.manual_at if manual is None else manual
+        lifted = self.lifted_at if lifted is None else lifted
         if day != self.day:
             self.day, self.day_spent = day, 0
         if month != self.month:
@@ -147,7 +153,7 @@ class CardStep:
         if reason is not None:
             return ("declined_by_fraud", None, MAX_SCORE, "block", ["PRE_CHECK_FAILED"], [], [f"Pre-check: {reason}"], None)
 
-        mean = self._prior_mean(ts)
+        mean = self.frames["24h"].mean_before(ts)
         self._record(ts, amount, merchant, country)
         frames = self.frames
         fv = dict(zip(self.outer_names, others))
@@ -208,11 +214,14 @@ def prepare(
     Customer and device features count every attempt that passes the stateless pre-checks: they cross cards, and cards
     are decided in parallel.
     """
+    # Rows that fail a pre-check have no customer and no device to count for; they stay in the one pass.
     checked = df.withColumn("precheck_reason", precheck_reason())
-    good = checked.where(F.col("precheck_reason").isNull())
-    bad = checked.where(F.col("precheck_reason").isNotNull())
-    built = with_baselines(customer_features(device_features(good, skew), skew), cards, merchants)
-    rows = built.unionByName(bad, allowMissingColumns=True)
+    passes = F.col("precheck_reason").isNull()
+    masked = checked.withColumns({f"__own_{c}": F.when(passes, F.col(c)) for c in ("customer_id", "device_id")})
+    counted = sliding(sliding(masked, ["__own_device_id"], "ts_ms", DEVICE, skew), ["__own_customer_id"], "ts_ms", CUSTOMER, skew)
+    built = with_baselines(counted.drop("__own_customer_id", "__own_device_id"), cards, merchants)
+    added = [c for c in built.columns if c not in checked.columns]
+    rows = built.withColumns({c: F.when(passes, F.col(c)) for c in added})
     return with_commands(with_periods(with_limits(rows, custom_limits, default_limits)), commands, skew)
 
 
@@ -231,21 +240,26 @@ def _named() -> Column:
     return F.coalesce(F.col("card_id").cast("string") != "", F.lit(False))
 
 
-def _alone(df: DataFrame) -> DataFrame:
+def _alone_outcome() -> dict[str, Column]:
     """Outcomes of rows that fail a stateless pre-check and touch no card's history: their limits, then the pre-check."""
     zero = F.lit(0)
     over = F.coalesce(limit_check(F.col("amount"), zero, zero), F.lit(None).cast("string"))
     none = F.array().cast("array<string>")
-    fraud = F.col("limit_reason").isNull()
-    return df.withColumn("limit_reason", over).withColumns({
+    fraud = over.isNull()
+    return {
         "status": F.when(fraud, "declined_by_fraud").otherwise("declined"),
+        "limit_reason": over,
         "risk_score": F.when(fraud, F.lit(MAX_SCORE)),
         "action": F.when(fraud, "block"),
         "reason_codes": F.when(fraud, F.array(F.lit("PRE_CHECK_FAILED"))).otherwise(none),
         "triggered_rules": none,
         "explain_lines": F.when(fraud, F.array(F.concat(F.lit("Pre-check: "), "precheck_reason"))).otherwise(none),
         "remaining_limit": F.lit(None).cast("double"),
-    })
+    }
+
+
+def _alone(df: DataFrame) -> DataFrame:
+    return df.withColumns(_alone_outcome())
 
 
 def decide_in_order(
@@ -281,36 +295,39 @@ def decide_where_needed(
     folded. Rows that name no card touch no history and are decided on their own.
     """
     prepared = with_commands(prepared, None)
-    # One sort by card: what every attempt would give, then whether anything on the card was refused.
     passes = F.col("precheck_reason").isNull()
-    good = prepared.where(passes)
-    bad = prepared.where(~passes)
-    scored = score(with_amount_ratio(card_features(good, CARD + PRIOR, skew)), rules, thresholds)
-    tried = attempted_spend(scored, skew=skew)
+    # One pass by card over all rows, written once: what every attempt would give. Refused rows have no card there, so they touch no history.
+    own = prepared.withColumn("__card", F.when(passes, F.col("card_id")))
+    scored = score(with_amount_ratio(sliding(own, ["__card"], "ts_ms", CARD + PRIOR, skew)), rules, thresholds)
+    tried = attempted_spend(scored.withColumn("__amount", F.when(passes, F.col("amount"))), skew=skew, amount="__amount")
     exceeded = limit_check(F.col("amount"), F.col("day_before"), F.col("month_before")).isNotNull()
     # A refused row with a positive amount still asks for the limits, and a command may refuse any, so their cards are folded as well.
     asks = _named() & F.coalesce(F.col("amount") > 0, F.lit(False))
     commanded = F.col("manual_block_ms").isNotNull() | F.col("unblock_ms").isNotNull()
-    both = tried.withColumn("__refused", (F.col("action") == "block") | exceeded | commanded).unionByName(
-        bad.withColumn("__refused", asks), allowMissingColumns=True)
-    marked = both.withColumn("__feeds", F.max("__refused").over(Window.partitionBy("card_id", F.when(~_named(), F.pmod(F.xxhash64("ts_ms"), F.lit(4096))))))
+    refused = F.when(passes, (F.col("action") == "block") | exceeded | commanded).otherwise(asks)
     outcome = [part.split()[0] for part in OUTCOME.split(", ")]
-    keep = [*prepared.columns, *outcome]
-
-    passed = ~F.col("action").isin("decline", "block")
-    calm = marked.where(~F.col("__feeds"))
-    free = running(calm.where(passes).withColumn("__units", F.when(passed, whole_units(F.col("amount")))),
-                   ["card_id", "month", "day"], "__us", {"__spent": ("sum", F.col("__units"))}, ["transaction_id"], "before",
-                   replace(skew, slice_ms=skew.slice_ms * 1000))
+    scores = [c for c in outcome if c in tried.columns]
+    every = written(tried.withColumn("__refused", refused).select(*prepared.columns, *scores, "__us", "__refused"), "attempts")
+    # Cards by partial aggregation, so that a hot one is a row here.
+    feeding = written(every.where(_named()).groupBy("card_id").agg(F.max("__refused").alias("__feeds")).where("__feeds").select("card_id"), "feeding-cards")
+
+    calm = every.join(feeding, "card_id", "left_anti")
+    passed = passes & ~F.col("action").isin("decline", "block")
+    spent = running(calm.withColumn("__units", F.when(passed, whole_units(F.col("amount")))),
+                    ["card_id", "month", "day"], "__us", {"__spent": ("sum", F.col("__units"))}, ["transaction_id"], "before",
+                    replace(skew, slice_ms=skew.slice_ms * 1000))
     left = F.col("daily_limit") - F.coalesce(F.col("__spent"), F.lit(0)) - F.col("amount")
-    free = free.withColumns({
+    own_outcome = {
         "status": F.when(passed, "approved").otherwise("declined_by_fraud"),
         "limit_reason": F.lit(None).cast("string"),
         "remaining_limit": F.when(passed, left),
-    }).select(*keep)
-    alone = _alone(calm.where(~passes).select(*prepared.columns)).select(*keep)
-    folded = decide_in_order(marked.where("__feeds").select(*prepared.columns), rules, thresholds, block_ttl_ms)
-    return free.unionByName(alone).unionByName(folded.select(*keep))
+        **{c: F.col(c) for c in scores},
+    }
+    alone = _alone_outcome()
+    free = spent.withColumns({f"__{c}": F.when(passes, own_outcome[c]).otherwise(alone[c]) for c in outcome}).select(
+        *prepared.columns, *(F.col(f"__{c}").alias(c) for c in outcome))
+    folded = decide_in_order(every.join(feeding, "card_id", "left_semi").select(*prepared.columns), rules, thresholds, block_ttl_ms)
+    return free.unionByName(folded.select(*prepared.columns, *outcome))
 
 
 def response_annotation(df: DataFrame) -> DataFrame:

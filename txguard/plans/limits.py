@@ -64,13 +64,13 @@ def limits_status(
     )
 
 
-def attempted_spend(df: DataFrame, ts: str = "__us", skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """What a card had tried to spend before each row in its day and month, whether or not it was approved."""
+def attempted_spend(df: DataFrame, ts: str = "__us", skew: Skew = DEFAULT_SKEW, amount: str = "amount") -> DataFrame:
+    """What a card had tried to spend before each row in its day and month, whether or not it was approved; null amounts are none."""
     rows = with_periods(df) if "day" not in df.columns else df
     if ts not in rows.columns:
         rows = rows.withColumn(ts, F.unix_micros("ts"))
     wide = replace(skew, slice_ms=skew.slice_ms * 1000)
-    units = {"__units": whole_units(F.col("amount"))}
+    units = {"__units": whole_units(F.col(amount))}
     rows = rows.withColumns(units)
     monthly = running(rows, ["card_id", "month"], ts, {"month_before": ("sum", F.col("__units"))}, ["transaction_id"],
                       "before", wide)
