@@ -272,18 +272,18 @@ def test_where_needed_equals_the_fold(spark):
         prepared.unpersist()
 
 
-def test_step_state_survives_dump_and_load():
+def test_step_state_survives_being_kept():
     at = [i * 13_000 for i in range(40)] + [520_000 + i * 1_000 for i in range(20)]
     rows = [(at[i], f"t{i}", 7, 10.0 + i % 5, i % 4, "RU", "2024-01-05" if i < 30 else "2024-01-06", "2024-01", 1e9, 300.0,
              1e9, None, None, None) for i in range(60)]
     whole, out = banking.card_step()(), []
     for r in rows:
         out.append(whole(*r))
-    text, again = None, []
+    kept, again = None, []
     for r in rows:
         step = banking.card_step()()
-        again.append((step.load(text) if text else step)(*r))
-        text = step.dump()
+        again.append((step.restore(*kept) if kept else step)(*r))
+        kept = step.scalars, list(step.recorded)
     assert again == out and {o[0] for o in out} == {"approved", "declined", "declined_by_fraud"}
 
 

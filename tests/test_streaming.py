@@ -7,8 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from txguard.plans import banking, dlq, enrich
-from txguard.plans.limits import Limits, with_limits, with_periods
+from txguard.plans import banking, dlq, enrich, features
+from txguard.plans.limits import Limits
 from txguard.plans.engine import precheck_reason
 from txguard.sources import tables
 from txguard.sources.storage import read_json_events
@@ -44,16 +44,61 @@ def run(df, spark, tmp_path, mode="append"):
     return spark.read.parquet(out)
 
 
-def batch_decisions(spark):
-    tx = with_periods(with_limits(tables.transactions(spark, SF), None, LIMITS)).withColumn("precheck_reason", precheck_reason())
-    return banking.decide_in_order(tx)
-
-
 def decided(df):
     return {r["transaction_id"]: (r["status"], r["limit_reason"], r["risk_score"], r["action"], tuple(r["triggered_rules"]))
             for r in df.collect()}
 
 
+def batch_features(spark):
+    """The batch columns, rows that fail a pre-check apart."""
+    tx = tables.transactions(spark, SF)
+    return {r["transaction_id"]: (r["customer__device_count"], r["customer__country_count"], r["device__card_count"]) for r in banking.prepare(tx).collect()}
+
+
+def batch_decisions(spark, commands=None, **how):
+    return banking.decide_in_order(banking.prepare(tables.transactions(spark, SF), default_limits=LIMITS, commands=commands), **how)
+
+
+def test_customer_and_device_features_over_batches(spark, split, tmp_path):
+    want = batch_features(spark)
+    names = ["customer__device_count", "customer__country_count", "device__card_count"]
+    checked = stream(spark, split / "tx").withColumn("precheck_reason", precheck_reason())
+    out = run(jobs.customer_and_device_features(checked, F.col("precheck_reason").isNull()), spark, tmp_path / "a")
+    got = {r["transaction_id"]: tuple(r[n] for n in names) for r in out.collect()}
+    named = {r["transaction_id"] for r in tables.transactions(spark, SF).where("customer_id is not null and device_id is not null").collect()}
+    assert got.keys() == want.keys() and len(named) > 500 and all(got[k] == want[k] for k in named)
+    # Timestamps come through to the microsecond.
+    stamps = {r["transaction_id"]: r["us"] for r in tables.transactions(spark, SF).select("transaction_id", F.unix_micros("ts").alias("us")).collect()}
+    assert stamps == {r["transaction_id"]: r["us"] for r in out.select("transaction_id", F.unix_micros("ts").alias("us")).collect()}
+    # In event order, whatever the order of arrival within the delay.
+    timed = jobs.with_distinct_features(checked, "customer_id", features.CUSTOMER, F.col("precheck_reason").isNull(), "event_time", "0 seconds")
+    held = {r["transaction_id"]: tuple(r[n] for n in names[:2]) for r in run(timed, spark, tmp_path / "b").collect()}
+    assert len(held) > 0.7 * len(want) and all(held[k] == want[k][:2] for k in held if k in named)
+
+
+def test_commands_in_the_stream(spark, split, tmp_path):
+    """Blocks and unblocks arrive as a stream of their own; decisions equal the batch ones over the whole log."""
+    tx = tables.transactions(spark, SF)
+    log = tx.where("pmod(xxhash64(transaction_id), 7) = 0").select(
+        "card_id", (F.col("ts_ms") - 1).alias("ts_ms"), F.xxhash64("transaction_id").alias("seq"), F.when(F.pmod(F.xxhash64("transaction_id"), F.lit(3)) == 0, "unblock").otherwise("block").alias("command"),
+        (F.col("ts") - F.expr("interval 1 millisecond")).alias("ts"))
+    bounds = [r[0] for r in spark.read.parquet(str(split / "tx")).groupBy(F.input_file_name()).agg(F.max("ts_ms").alias("m")).orderBy("m").select("m").collect()]
+    (tmp_path / "log").mkdir()
+    for i, high in enumerate(bounds):
+        low = bounds[i - 1] if i else -1
+        part = tmp_path / "part" / str(i)
+        log.where(f"ts_ms > {low} and ts_ms <= {high}").coalesce(1).write.parquet(str(part))
+        file = next(part.glob("*.parquet"))
+        file.rename(tmp_path / "log" / f"{i}.parquet")
+        os.utime(tmp_path / "log" / f"{i}.parquet", (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    want = decided(batch_decisions(spark, log, block_ttl_ms=600_000))
+    calm = decided(batch_decisions(spark, block_ttl_ms=600_000))
+    out = run(jobs.decisions(stream(spark, split / "tx"), default_limits=LIMITS, block_ttl_ms=600_000, commands=stream(spark, tmp_path / "log")), spark, tmp_path / "c")
+    got = decided(out)
+    assert got.keys() == want.keys() and sum(want[k] != calm[k] for k in want) > 20
+    assert [(k, want[k], got[k]) for k in want if want[k] != got[k]] == []
+
+
 def test_decisions_by_arrival(spark, split, tmp_path):
     out = run(jobs.decisions(stream(spark, split / "tx"), default_limits=LIMITS), spark, tmp_path)
     got, want = decided(out), decided(batch_decisions(spark))

@@ -98,6 +98,8 @@ class CardStep:
         self.block_ttl_ms = block_ttl_ms
         self.frames = {"1m": _Frame(MINUTE), "5m": _Frame(5 * MINUTE), "1h": _Frame(HOUR), "24h": _Frame(DAY)}
         self.blocked_at = None
+        self.recorded: deque = deque()
+        self.n_recorded = 0
         self.manual_at, self.lifted_at = None, None
         self.day, self.month, self.day_spent, self.month_spent = None, None, 0, 0
 
@@ -113,6 +115,10 @@ class CardStep:
         return self
 
     def _record(self, ts, amount, merchant, country) -> None:
+        self.n_recorded += 1
+        self.recorded.append((ts, amount, merchant, country))
+        while self.recorded[0][0] < ts - DAY:
+            self.recorded.popleft()
         for name, frame in self.frames.items():
             frame.expire(ts)
             frame.add(ts, amount, merchant if name == "1h" else country if name == "24h" else None)

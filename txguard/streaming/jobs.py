@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import threading
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -17,13 +16,15 @@ from txguard.functions.columns import blank_to_null
 from txguard.plans import dlq, enrich, events
 from txguard.plans.baselines import with_baselines
 from txguard.plans.limits import Limits, DEFAULT_LIMITS, with_limits, with_periods
-from txguard.plans.banking import OUTCOME, STEP_INPUTS, CardStep, card_step, outer_features, transaction_context
+from txguard.plans.banking import STEP_INPUTS, card_step, outer_features, transaction_context
+from txguard.operators.sliding import Sliding
 from txguard.plans.engine import precheck_reason
+from txguard.plans.features import CUSTOMER, DEVICE
 from txguard.plans.rules import DEFAULT_RULES, Rule, load_rules
 from txguard.plans.scoring import DEFAULT_THRESHOLDS, Thresholds
 from txguard.sources.storage import CORRUPT, decode, split_decoded
+from txguard.streaming import state
 
-OUTCOME_NAMES = [part.split()[0] for part in OUTCOME.split(", ")]
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -106,12 +107,15 @@ class _Runs(StatefulProcessor):
 def _with_runs(df: DataFrame, key: Column, fixed: bool, width_ms: int, ttl_ms: int, out: str) -> DataFrame:
     """Add ``out``: the start of the key's fixed window, or its count since the last idle time. Events without key get null and no state to share."""
     alone = F.concat(F.lit("\0"), F.coalesce("id", F.lit("")))
+    # Text keeps milliseconds only, so timestamps travel as microseconds.
+    plain = [F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in df.schema.fields]
     keyed = df.select(F.coalesce(key, alone).alias("key"), F.floor(F.unix_micros("timestamp") / 1000).alias("ms"), "id",
-                      F.to_json(F.struct(*df.columns, key.alias("__key"))).alias("row"))
+                      F.to_json(F.struct(*plain, key.alias("__key")), {"ignoreNullFields": "false"}).alias("row"))
     placed = keyed.groupBy("key").transformWithStateInPandas(
         _Runs(fixed, width_ms, ttl_ms), outputStructType="row string, value long", outputMode="Append", timeMode="ProcessingTime")
-    parsed = F.from_json("row", T.StructType([*df.schema.fields, T.StructField("__key", T.StringType())]))
-    return placed.select(parsed.alias("r"), "value").select("r.*", "value").select(
+    fields = [T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in df.schema.fields]
+    parsed = F.from_json("row", T.StructType([*fields, T.StructField("__key", T.StringType())]))
+    return state.with_timestamps(placed.select(parsed.alias("r"), "value").select("r.*", "value"), df.schema).select(
         *df.columns, F.when(F.col("__key").isNotNull(), F.col("value")).alias(out))
 
 
@@ -176,65 +180,36 @@ def routed(df: DataFrame, routes: Mapping[str, Column], sinks: Mapping[str, Sink
     return micro_batches(df, write, checkpoint, every)
 
 
-class CardProcessor(StatefulProcessor):
-    """Decides the transactions of a card with the step of the batch fold, whose state is kept as text.
+def with_distinct_features(df: DataFrame, key: str, specs: Sequence[Sliding], counted: Column | None = None, order: str = "arrival", delay: str = "1 minute",
+                           idle_ms: int | None = None) -> DataFrame:
+    """Add the distinct counts of ``specs`` per ``key`` to a stream of transactions (``ts``, ``ts_ms``, atomic columns).
 
-    ``order="event_time"`` holds rows back until the watermark has passed them and then decides them in event order,
-    which equals the batch result; ``order="arrival"`` decides the rows of a micro-batch at once, sorted among themselves.
+    ``order="event_time"`` holds rows back until the watermark has passed them and equals the batch columns; state goes when its last value has left. It must be
+    the last stateful step of a job. ``order="arrival"`` counts each micro-batch at once, sorted in itself, and may be followed by others; with ``idle_ms``
+    state goes after so much processing time. Rows without key, and those where ``counted`` is not true, get null and are not counted.
     """
-
-    def __init__(self, step: Callable[[], CardStep], names: Sequence[str], outer: Sequence[str], order: str):
-        self.step, self.names, self.order = step, list(names), order
-        self.inputs = [self.names.index(c) for c in (*STEP_INPUTS, *outer)]
-        self.ts, self.tx, self.event = (self.names.index(c) for c in ("ts_ms", "transaction_id", "event_ms"))
-        self.columns = ["transaction_id", "ts_ms", *OUTCOME_NAMES]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.card = handle.getValueState("card", "state string")
-        self.waiting = handle.getListState("waiting", "row string")
-
-    def _decide(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        step = self.step()
-        if self.card.exists():
-            step.load(self.card.get()[0])
-        rows.sort(key=lambda r: (r[self.ts], r[self.tx]))
-        out = [(r[self.tx], r[self.ts], *step(*[r[i] for i in self.inputs])) for r in rows]
-        self.card.update((step.dump(),))
-        yield pd.DataFrame(out, columns=self.columns).astype({"risk_score": "Int32"})
-
-    def _tuples(self, chunks: Iterator[pd.DataFrame]) -> list[tuple]:
-        out: list[tuple] = []
-        for chunk in chunks:
-            frame = chunk[self.names].astype(object)
-            out.extend(frame.where(frame.notna(), None).itertuples(index=False, name=None))
-        return out
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = self._tuples(rows)
-        if self.order == "arrival":
-            if fresh:
-                yield from self._decide(fresh)
-            return
-        for row in fresh:
-            self.waiting.appendValue((json.dumps(row),))
-        if fresh:
-            self.handle.registerTimer(max(r[self.event] for r in fresh) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
-            return
-        rows = [tuple(json.loads(r[0])) for r in self.waiting.get()]
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        ready, later = [r for r in rows if r[self.event] < due], [r for r in rows if r[self.event] >= due]
-        self.waiting.clear()
-        if later:
-            self.waiting.put([(json.dumps(r),) for r in later])
-        if ready:
-            yield from self._decide(ready)
-
-    def close(self) -> None:
-        pass
+    # Names that begin with an underscore do not reach a processor.
+    mine = F.col(key).isNotNull() & (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False)))
+    alone = F.concat(F.lit("\0"), F.coalesce(F.col("transaction_id").cast("string"), F.lit("")))
+    rows = df.withColumns({"own_counted": mine, "own_key": F.coalesce(F.col(key).cast("string"), alone)})
+    timed = order == "event_time"
+    if timed:
+        rows = rows.withWatermark("ts", delay).withColumn("event_ms", F.unix_millis("ts"))
+    # The watermark's column stays beside the microseconds that travel.
+    micros = state.without_timestamps(rows)
+    if timed:
+        micros = rows.select(F.col("ts").alias("own_ts"), *(F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in rows.schema.fields))
+    schema = T.StructType([f for f in micros.schema.fields if f.name not in ("own_key", "own_ts")])
+    output = T.StructType([*schema.fields, *(T.StructField(s.name, T.LongType()) for s in specs)])
+    mode = "EventTime" if timed else "ProcessingTime" if idle_ms else "None"
+    counted_rows = micros.groupBy("own_key").transformWithStateInPandas(
+        state.DistinctProcessor(schema, output, specs, "own_counted", order, idle_ms), outputStructType=output, outputMode="Append", timeMode=mode)
+    return state.with_timestamps(counted_rows, rows.schema).select(*df.columns, *(s.name for s in specs))
+
+
+def customer_and_device_features(tx: DataFrame, counted: Column | None = None, **how: object) -> DataFrame:
+    """The 30-day distinct features of customers and devices, in order of arrival."""
+    return with_distinct_features(with_distinct_features(tx, "customer_id", CUSTOMER, counted, **how), "device_id", DEVICE, counted, **how)
 
 
 def decisions(
@@ -247,28 +222,37 @@ def decisions(
     merchants: DataFrame | None = None,
     order: str = "arrival",
     delay: str = "1 minute",
+    commands: DataFrame | None = None,
+    features: bool = True,
+    idle_ms: int | None = None,
 ) -> DataFrame:
     """Full banking decisions over a stream of transactions, one state per card.
 
-    ``tx`` has the transaction columns and ``ts``. Merchant risk and limits are static tables joined to each micro-batch;
-    customer and device features need their own keyed jobs and may arrive as columns of ``tx``, as may the last manual block and unblock. The rules are fixed while
-    the query runs.
+    ``tx`` has the transaction columns and ``ts``. Customer and device features are computed on the way, in order of arrival, unless ``tx`` brings them or ``features``
+    is off. Merchant risk and limits are static tables joined to each micro-batch. ``commands`` is a stream of blocks and unblocks (card_id, ts_ms, seq,
+    command, ts); they are kept as the card's state, and come before transactions of their time. ``order="event_time"`` decides rows in event order as the watermark
+    passes them and drops a card's state when nothing of it matters any more; ``order="arrival"`` decides each micro-batch at once, and drops state after ``idle_ms``
+    of processing time. The rules are fixed while the query runs.
     """
+    tx = tx.withColumn("precheck_reason", precheck_reason())
+    missing = features and not any(s.name in tx.columns for s in (*CUSTOMER, *DEVICE))
+    if missing:
+        tx = customer_and_device_features(tx, F.col("precheck_reason").isNull(), idle_ms=idle_ms if order == "arrival" else None)
     rows = with_periods(with_limits(with_baselines(tx, None, merchants), custom_limits, default_limits))
-    rows = rows.withColumn("precheck_reason", precheck_reason())
     # The log of commands as of each row may come with the transactions, as for instance from a join to the log's table.
     rows = rows.withColumns({c: F.lit(None).cast("long") for c in ("manual_block_ms", "unblock_ms") if c not in rows.columns})
     outer = outer_features(rows.columns)
-    rows = rows.withColumn("event_ms", F.unix_millis("ts")).select(*STEP_INPUTS, *outer, "event_ms", "ts")
-    names = [c for c in rows.columns if c != "ts"]
-    processor = CardProcessor(card_step(rules, thresholds, block_ttl_ms, outer), names, outer, order)
+    rows = rows.select(*STEP_INPUTS, *outer, "ts", F.lit(None).cast("string").alias("command"), F.lit(None).cast("long").alias("seq"), F.lit(1).alias("command_first"))
+    if commands is not None:
+        log = commands.select("card_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("seq").cast("long").alias("seq"), "command", "ts", F.lit(0).alias("command_first"))
+        rows = rows.unionByName(log, allowMissingColumns=True)
     if order == "event_time":
         rows = rows.withWatermark("ts", delay)
-    mode = "EventTime" if order == "event_time" else "None"
-    return rows.groupBy("card_id").transformWithStateInPandas(
-        processor, outputStructType=T.StructType.fromDDL(f"transaction_id string, ts_ms long, {OUTCOME}"),
-        outputMode="Append", timeMode=mode,
-    )
+    rows = rows.withColumn("event_ms", F.unix_millis("ts"))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "ts"])
+    processor = state.CardProcessor(schema, card_step(rules, thresholds, block_ttl_ms, outer), outer, order, block_ttl_ms, idle_ms)
+    mode = "EventTime" if order == "event_time" else "ProcessingTime" if idle_ms else "None"
+    return rows.groupBy("card_id").transformWithStateInPandas(processor, outputStructType=processor.output, outputMode="Append", timeMode=mode)
 
 
 def stateless_decisions(tx: DataFrame, rules_path: str, decide_batch: Callable[[DataFrame, list[Rule]], DataFrame], write: Sink,
