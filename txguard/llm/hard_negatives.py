@@ -161,7 +161,8 @@ def _assign(anchors: DataFrame, seed: int) -> tuple[DataFrame, dict[int, np.ndar
     """``anchors`` with cell, norm and angle to its centre, stored; centres and widths by dim. Cell -1 has no centre: zero vectors, and lengths that the sample lacks."""
     total = anchors.count()
     sample = anchors.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(FIT_SAMPLE).select("dim", "v").collect()
-    k = max(1, min(MAX_CLUSTERS, math.isqrt(total)))
+    # A cluster is worth a list of its own if it fills a batch of walkers: each list holds most rows where the anchors point everywhere.
+    k = max(1, min(MAX_CLUSTERS, math.ceil(total / WALKERS)))
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(r["v"])
