@@ -393,4 +393,5 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataF
     own = [fresh(docs.columns, "own_id"), fresh(docs.columns, "own_hash")]
     gone = documents.where("n > 0 and doc_id is not null").join(known, "key").where(F.struct("doc_id", "text_hash") != F.col("kept")).select("doc_id", "text_hash").distinct()
     gone = stored(gone.toDF(*own), "near-copies")
-    return docs.join(gone, (docs["doc_id"] == F.col(own[0])) & (F.xxhash64(docs["text"]) == F.col(own[1])), "left_anti")
+    # What goes grows with the table, so it is not broadcast where it happens to be small.
+    return docs.join(gone.hint("merge"), (docs["doc_id"] == F.col(own[0])) & (F.xxhash64(docs["text"]) == F.col(own[1])), "left_anti")

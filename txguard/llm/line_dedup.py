@@ -213,7 +213,8 @@ def deduplicated_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> Dat
     # Written, so that Spark can split what a large group of equal rows makes of the texts' side.
     found = stored(common_blocks(docs, min_words).withColumnsRenamed(names), "line-blocks")
     keyed = docs.withColumns(dict(zip(key, _document(docs))))
-    joined = keyed.join(found, key, "left").select(*docs.columns, marks)
+    # The list of documents with blocks grows with the table, so it is not broadcast where it happens to be small.
+    joined = keyed.join(found.hint("merge"), key, "left").select(*docs.columns, marks)
     at = docs.columns.index("text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
