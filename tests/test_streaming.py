@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from txguard.plans import banking, dlq, enrich, features
 from txguard.plans.limits import Limits
 from txguard.plans.engine import precheck_reason
-from txguard.sources import tables
+from txguard.schemas import DEAD_LETTER
+from txguard.sources import event_table, tables
 from txguard.sources.storage import read_json_events
 from txguard.streaming import jobs
 
@@ -147,8 +148,8 @@ def test_ingest_and_routes(spark, tmp_path):
     (src / "a.json").write_text("\n".join(lines))
     raw = read_json_events(spark, str(src), streaming=True)
     jobs.ingest(raw, str(tmp_path / "ev"), str(tmp_path / "dlq"), str(tmp_path / "c"), every=None).awaitTermination()
-    stored, dead = spark.read.parquet(str(tmp_path / "ev")), spark.read.parquet(str(tmp_path / "dlq"))
-    assert stored.count() == 5 and {r[0] for r in stored.select(F.col("yyyymm").cast("string")).collect()} == {"202401"}
+    stored, dead = event_table.read(spark, str(tmp_path / "ev")), spark.read.parquet(str(tmp_path / "dlq"))
+    assert stored.count() == 5 and {r[0] for r in stored.select("yyyymm").collect()} == {"202401"}
     assert sorted(r["error"] for r in dead.collect()) == ["cannot decode payload", "event id is required", "event type is required"]
     assert "{not json" in {r["payload"] for r in dead.collect()}
     assert dlq.schedule(dead).where("state = 'waiting'").count() == 3
@@ -251,3 +252,54 @@ def test_stateful_enrichment_over_batches(spark, tmp_path):
     want = enrich.run_enrichers(ev, [enrich.sessions(), enrich.counters()])
     got, batch = ({r["id"]: r["metadata"] for r in df.select("id", "metadata").collect()} for df in (out, want))
     assert len(got) == 1000 and got == batch
+
+
+def test_failures_are_retried_until_they_succeed_or_are_exhausted(spark, tmp_path):
+    """a works at once, b at the second attempt, c never; d has no id, e was recovered before."""
+    now = F.current_timestamp()
+    failed = spark.createDataFrame([("a", "{}"), ("b", "{}"), ("c", "{}"), (None, "{"), ("e", "{}")], "id string, payload string")
+    failed.select("id", "payload", F.lit("boom").alias("error"), F.lit("web").alias("source"), now.alias("failed_at"), F.lit(0).alias("retry_count"),
+                  F.lit(None).cast("timestamp").alias("last_retry_at"), now.alias("next_retry_at"), F.coalesce(F.col("id") == "e", F.lit(False)).alias("recovered")
+                  ).select(*DEAD_LETTER.names).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(DEAD_LETTER).parquet(str(tmp_path / "in"))
+    works = lambda rows: (F.col("id") == "a") | ((F.col("id") == "b") & (F.col("retry_count") == 1))
+    ok, done = str(tmp_path / "ok"), str(tmp_path / "done")
+    query = jobs.retry_loop(source, works, jobs.batch_folder(ok), jobs.batch_folder(done), str(tmp_path / "again"), str(tmp_path / "c"), tiers=(1, 2), every="1 second")
+    read = lambda path: spark.read.schema(DEAD_LETTER).option("recursiveFileLookup", "true").parquet(path).collect()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            if query.exception() or os.path.exists(done) and len(read(done)) >= 4:
+                break
+    finally:
+        query.stop()
+    ended = {r["id"]: r for r in read(done)}
+    assert {k: (r["recovered"], r["retry_count"], r["source"]) for k, r in ended.items()} == {
+        "a": (True, 1, "web"), "b": (True, 2, "web_retry"), "c": (False, 3, "web_retry"), None: (False, 3, "web_retry")}
+    assert sorted(r["id"] for r in read(ok)) == ["a", "b"] and all(r["next_retry_at"] is None for r in ended.values())
+    waited = (ended["c"]["last_retry_at"] - ended["c"]["failed_at"]).total_seconds()
+    assert waited >= 1 + 2 + 2
+
+
+def test_decision_sink(spark, tmp_path):
+    made = banking.decide_in_order(banking.prepare(tables.transactions(spark, SF))).limit(50).persist()
+    write = jobs.decision_sink(str(tmp_path / "d"))
+    write(made, 0)
+    write(made, 0)
+    write(made.limit(5), 1)
+    back = event_table.read(spark, str(tmp_path / "d"), layout=jobs.DECISIONS)
+    assert back.count() == 55 and {r["transaction_id"] for r in back.collect()} == {r["transaction_id"] for r in made.collect()}
+
+
+def test_replay_stores_an_event_once(spark):
+    rows = [("x", '{"id":"x","type":"t","timestamp":"2024-01-05T00:00:00.123456Z"}', 1), ("x", '{"id":"x","type":"u"}', 2), ("y", '{"id":"y","type":"t"}', 3),
+            ("z", "{broken", 4), (None, '{"type":"t"}', 5), ("n", None, 6)]
+    ledger = spark.createDataFrame(rows, "id string, payload string, n int").select(
+        "id", "payload", F.lit("e").alias("error"), F.lit("s").alias("source"), F.timestamp_seconds("n").alias("failed_at"), F.lit(3).alias("retry_count"),
+        F.lit(None).cast("timestamp").alias("last_retry_at"), F.lit(None).cast("timestamp").alias("next_retry_at"), F.lit(None).cast("boolean").alias("recovered"))
+    stored = spark.createDataFrame([("y",)], "id string")
+    new, after = dlq.replay(ledger, stored, F.lit("2024-02-01").cast("timestamp"))
+    assert [(r["id"], r["type"], r["us"]) for r in new.withColumn("us", F.unix_micros("timestamp")).collect()] == [("x", "t", 1704412800123456)]
+    assert sorted((str(r["id"]), r["recovered"]) for r in after.collect()) == [("None", False), ("n", False), ("x", True), ("x", True), ("y", True), ("z", False)]
+    assert dlq.replay(after, stored.unionByName(new.select("id")), F.current_timestamp())[0].count() == 0
+    assert dlq.replay(ledger.limit(0), stored, F.current_timestamp())[0].count() == 0

@@ -6,8 +6,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from txguard.functions.columns import blank_to_null
+from txguard.schemas import EVENT
 
 MAX_RETRIES = 3
+# Payloads keep microseconds, which JSON text drops by default.
+EXACT_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 # Delays of the retry topics, in seconds.
 RETRY_TIERS = (60, 300)
 
@@ -31,7 +37,7 @@ def later(ts: Column, seconds: Column) -> Column:
 def capture(failed: DataFrame, error: Column, source: Column, now: Column, base: int = 60, backoff: str = "linear",
             payload: Column | None = None) -> DataFrame:
     """New ledger rows for failed events; the whole event is kept as payload unless another is given."""
-    payload = F.to_json(F.struct(*failed.columns)) if payload is None else payload
+    payload = F.to_json(F.struct(*failed.columns), EXACT_TIME) if payload is None else payload
     return failed.select(
         "id", payload.alias("payload"), error.alias("error"), source.alias("source"), now.alias("failed_at"),
         F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp").alias("last_retry_at"),
@@ -55,6 +61,19 @@ def due(ledger: DataFrame, now: Column, max_retries: int = MAX_RETRIES) -> DataF
     return ledger.where(~F.col("recovered") & (F.col("retry_count") < max_retries) & (F.col("next_retry_at") <= now))
 
 
+def attempted(ran: DataFrame, ok: Column, now: Column, wait: Callable[[Column], Column], max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Ledger rows after one more attempt: ``ok`` says whether it worked (null: no), ``wait`` gives the seconds before retry number n."""
+    count = F.col("retry_count") + 1
+    return ran.withColumn("__ok", F.coalesce(ok, F.lit(False))).withColumns({
+        "recovered": F.col("__ok"),
+        "last_retry_at": now,
+        "next_retry_at": F.when(~F.col("__ok") & (count < max_retries), later(now, wait(count + 1))),
+        "retry_count": count.cast("int"),
+        "source": F.when(F.col("__ok") | F.endswith("source", F.lit("_retry")), F.col("source"))
+                   .otherwise(F.concat("source", F.lit("_retry"))),
+    }).drop("__ok")
+
+
 def retry(
     ledger: DataFrame, succeeds: Callable[[DataFrame], Column], now: Column, base: int = 60, backoff: str = "linear",
     max_retries: int = MAX_RETRIES,
@@ -67,16 +86,7 @@ def retry(
     is_due = ~F.col("recovered") & (F.col("retry_count") < max_retries) & (F.col("next_retry_at") <= now)
     ran = ledger.where(is_due)
     idle = ledger.where(~F.coalesce(is_due, F.lit(False)))
-    count = F.col("retry_count") + 1
-    ok = F.coalesce(succeeds(ran), F.lit(False))
-    done = ran.withColumn("__ok", ok).withColumns({
-        "recovered": F.col("__ok"),
-        "last_retry_at": now,
-        "next_retry_at": F.when(~F.col("__ok") & (count < max_retries), later(now, delay_seconds(count + 1, base, backoff))),
-        "retry_count": count.cast("int"),
-        "source": F.when(F.col("__ok") | F.endswith("source", F.lit("_retry")), F.col("source"))
-                   .otherwise(F.concat("source", F.lit("_retry"))),
-    }).drop("__ok")
+    done = attempted(ran, succeeds(ran), now, lambda n: delay_seconds(n, base, backoff), max_retries)
     return idle.unionByName(done.select(*idle.columns))
 
 
@@ -102,3 +112,26 @@ def reprocess(ledger: DataFrame, event_id: str) -> DataFrame:
 def clear(ledger: DataFrame) -> DataFrame:
     """What stays after clearing: recovered rows, as history."""
     return ledger.where("recovered")
+
+
+def replay(ledger: DataFrame, stored: DataFrame, now: Column, schema: T.StructType = EVENT) -> tuple[DataFrame, DataFrame]:
+    """Events of ledger rows (such as :func:`reprocess` picks) that are still to be stored, and those rows afterwards.
+
+    Payloads are decoded to ``schema``. An event whose id is in ``stored`` is not stored again, and one with several rows once: that of the row that failed
+    first, then by payload. Rows of such events are recovered, as the event is stored; payloads that are no event, or none that passes the checks of
+    ingestion, leave their row as it is. So a second replay stores nothing.
+    """
+    read = ledger.withColumn("__e", F.from_json("payload", schema))
+    good = F.coalesce(~(_blank("__e.id") | _blank("__e.type")), F.lit(False))
+    first = read.where(good).groupBy(F.col("__e.id").alias("__id")).agg(F.min(F.struct("failed_at", "payload")).alias("__f"))
+    new = first.join(stored.select(F.col("id").alias("__id")), "__id", "left_anti").select(F.from_json("__f.payload", schema).alias("__e")).select("__e.*")
+    after = read.withColumns({
+        "recovered": F.coalesce("recovered", F.lit(False)) | good,
+        "next_retry_at": F.when(~good, F.col("next_retry_at")),
+        "last_retry_at": F.when(good, now).otherwise(F.col("last_retry_at")),
+    })
+    return new, after.select(*ledger.columns)
+
+
+def _blank(name: str) -> Column:
+    return blank_to_null(F.col(name)).isNull()

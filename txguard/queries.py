@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txguard.operators.folds import admit_anchored, token_bucket
 from txguard.operators.running import as_of, distinct_in_run, gap_runs
@@ -14,10 +14,10 @@ from txguard.operators.skew import Skew
 from txguard.operators.sliding import HOUR, MINUTE, Sliding, sliding
 from txguard.plans import admission, banking, baselines, blocks, dlq, enrich, events, features, legacy, limits, rules, scoring, stats
 from txguard.plans.engine import decide, precheck_decision, precheck_reason
-from txguard.sources import tables
+from txguard.sources import event_table, tables
 from txguard.functions.columns import json_number, json_text
-from txguard.session_dirs import ensure_checkpoint_dir
-from txguard.sources.storage import read_json_events, retained
+from txguard.session_dirs import scratch
+from txguard.sources.storage import decode, explode_batches, read_json_events, retained, split_decoded
 
 AS_OF = "2024-01-30"
 # Spending limits of the demonstration data, default and per card.
@@ -243,8 +243,7 @@ def json_event_source(spark, sf):
     """Events written as JSON lines and read by the event source."""
     ev = tables.events(spark, sf).select("id", "type", "source", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
                                          F.col("props").alias("data"))
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/json-events-{uuid.uuid4().hex}"
+    path = scratch(spark, "json-events")
     ev.write.json(path)
     return read_json_events(spark, path).select("id", "type", "source", F.unix_seconds("timestamp").alias("seconds"), "data")
 
@@ -837,3 +836,53 @@ def dlq_retry_outcomes(spark, sf):
     out = dlq.retry(ledger, lambda due: F.col("id").cast("long") % 2 == 0, at, 3600, "exponential")
     return out.groupBy("source", "retry_count", "recovered").agg(
         F.count(F.lit(1)).alias("n"), F.count("next_retry_at").alias("waiting"), F.count("last_retry_at").alias("ran"))
+
+
+@query
+def dlq_replay(spark, sf):
+    """All dead letters replayed, and replayed again: each event that was not stored before is stored once."""
+    schema = T.StructType.fromDDL("id string, type string, source string, props string")
+    ledger = dlq.schedule(tables.failures(spark, sf)).withColumn("last_retry_at", F.lit(None).cast("timestamp"))
+    before = ledger.where("recovered").select("id")
+    at = F.lit("2024-02-01").cast("timestamp")
+    new, after = dlq.replay(ledger, before, at, schema)
+    again, last = dlq.replay(after, before.unionByName(new.select("id")), at, schema)
+    times = new.unionByName(again).groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.max("props").alias("props"))
+    return last.join(times, "id", "left").select("id", "recovered", F.col("next_retry_at").isNotNull().alias("waiting"),
+                                                 F.coalesce("times", F.lit(0).cast("long")).alias("times"), "props")
+
+
+# --- sources and the events table ------------------------------------------------------------------------------------
+
+
+@query
+def json_array_batches(spark, sf):
+    """Fifty events as one JSON array; of the bodies every seventh is empty and every eleventh no array: items and refused bodies."""
+    ev = tables.events(spark, sf).withColumn("body_id", F.expr("event_id div 50"))
+    text = F.when(F.col("body_id") % 11 == 0, "no array").when(F.col("body_id") % 7 == 0, "[]").otherwise(F.to_json("items"))
+    bodies = ev.groupBy("body_id").agg(F.collect_list(F.struct("id", "type", "source", F.col("props").alias("data"))).alias("items")).select("body_id", text.alias("body"))
+    items, refused = explode_batches(bodies)
+    return items.select("body_id", "id", "type", "data", F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        refused.select("body_id", "reject_reason"), allowMissingColumns=True)
+
+
+@query
+def decoded_payloads(spark, sf):
+    """Transactions as JSON payloads, a thirteenth of them cut short: decoded ones, and dead letters with their payload's length."""
+    tx = tables.events(spark, sf).select("event_id", F.to_json(F.struct(F.col("id").alias("transaction_id"), F.col("value").alias("amount"))).alias("value"))
+    raw = tx.select(F.when(F.col("event_id") % 13 == 0, F.expr("substring(value, 1, 19)")).otherwise(F.col("value")).alias("value"))
+    good, bad = split_decoded(decode(raw))
+    return good.select(F.col("transaction_id").alias("id"), "amount", F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("length")).unionByName(
+        bad.select("error", F.length("payload").alias("length")), allowMissingColumns=True)
+
+
+@query
+def events_table(spark, sf):
+    """The events in six batches, one of them delivered twice; merged, freed of what is older than 10 days, and read back."""
+    path = scratch(spark, "events-table")
+    ev = tables.events(spark, sf).withColumn("data", F.col("props")).withColumn("metadata", F.lit(None).cast("string"))
+    for batch in (0, 1, 2, 3, 3, 4, 5):
+        event_table.append_batch(ev.where(F.col("event_id") % 6 == batch), path, batch)
+    event_table.compact(spark, path, 4)
+    event_table.retain(spark, path, "2024-01-30", 10)
+    return event_table.read(spark, path).select("id", "type", "source", _micros("timestamp"), _micros("processed_at"), "data", "yyyymm")

@@ -19,13 +19,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="txguard-ckpt-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it is deleted when this process ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder, for plans that read them more than once: computed once, safe against lost executors,
     and deleted when this process ends."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,16 +16,19 @@ from txguard.functions.columns import blank_to_null
 from txguard.plans import dlq, enrich, events
 from txguard.plans.baselines import with_baselines
 from txguard.plans.limits import Limits, DEFAULT_LIMITS, with_limits, with_periods
-from txguard.plans.banking import STEP_INPUTS, card_step, outer_features, transaction_context
+from txguard.plans.banking import OUTCOME, STEP_INPUTS, card_step, outer_features, transaction_context
 from txguard.operators.sliding import Sliding
 from txguard.plans.engine import precheck_reason
 from txguard.plans.features import CUSTOMER, DEVICE
 from txguard.plans.rules import DEFAULT_RULES, Rule, load_rules
 from txguard.plans.scoring import DEFAULT_THRESHOLDS, Thresholds
+from txguard.schemas import DEAD_LETTER
+from txguard.sources import event_table
 from txguard.sources.storage import CORRUPT, decode, split_decoded
 from txguard.streaming import state
 
 Sink = Callable[[DataFrame, int], None]
+DECISIONS = event_table.Layout(f"transaction_id string, ts_ms long, {OUTCOME}, timestamp timestamp", ("timestamp", "transaction_id"))
 
 
 def micro_batches(df: DataFrame, write: Sink, checkpoint: str, every: str | None = "5 seconds", mode: str = "append",
@@ -45,13 +48,22 @@ def batch_folder(path: str) -> Sink:
     return write
 
 
+def decision_sink(path: str, writer: str = "decisions") -> Sink:
+    """Append the rows of :func:`decisions` to a table of decisions by month; a replayed batch changes nothing."""
+    def write(df: DataFrame, batch: int) -> None:
+        event_table.append_batch(df.withColumn("timestamp", F.timestamp_millis("ts_ms")), path, batch, writer, DECISIONS)
+
+    return write
+
+
 def ingest(
     raw: DataFrame, events_path: str, dlq_path: str, checkpoint: str, enrichers: Sequence[Callable[[DataFrame], DataFrame]] = (),
     now: Callable[[], Column] = F.current_timestamp, every: str | None = "5 seconds",
 ) -> StreamingQuery:
-    """JSON events to the partitioned events table; undecodable and invalid ones to the dead-letter ledger, ready for its retries.
+    """JSON events to the events table (:mod:`txguard.sources.event_table`); undecodable and invalid ones to the dead-letter ledger, ready for its retries.
 
-    ``raw`` comes from :func:`txguard.sources.storage.read_json_events`. Both writes of a batch go to folders of that batch.
+    ``raw`` comes from :func:`txguard.sources.storage.read_json_events`. A replayed batch changes nothing: the table knows it as committed, the ledger's
+    folder of that batch is overwritten. ``PipelineCounters`` adds up the job's ``written``, ``rejected`` and ``undecoded`` rows.
     """
     if any(getattr(e, "stateful", False) for e in enrichers):
         raise ValueError("sessions and counters need state that outlives a batch: apply with_sessions_and_counters to the stream")
@@ -65,18 +77,24 @@ def ingest(
             good = checked.where("reject_reason is null").drop("reject_reason")
             for enricher in enrichers:
                 good = good.transform(enricher)
-            stored = events.processed(good, now())
-            stored.withColumn("yyyymm", F.date_format("timestamp", "yyyyMM")).hint("rebalance", "yyyymm").write.mode("overwrite").partitionBy(
-                "yyyymm").parquet(f"{events_path}/batch={batch_id}")
             failed = checked.where("reject_reason is not null")
-            rejected = dlq.capture(failed, F.col("reject_reason"), F.lit("validation"), now(), payload=F.to_json(F.struct(*columns)))
+            rejected = dlq.capture(failed, F.col("reject_reason"), F.lit("validation"), now(), payload=F.to_json(F.struct(*columns), dlq.EXACT_TIME))
             broken = batch.where(F.col(CORRUPT).isNotNull()).select(F.lit(None).cast("string").alias("id"), F.col(CORRUPT).alias("payload"))
             undecoded = dlq.capture(broken, F.lit("cannot decode payload"), F.lit("decode"), now(), payload=F.col("payload"))
             rejected.unionByName(undecoded).write.mode("overwrite").parquet(f"{dlq_path}/batch={batch_id}")
+            # Last, so that a batch known as committed has its dead letters too.
+            event_table.append_batch(events.processed(good, now()), events_path, batch_id)
         finally:
             batch.unpersist()
 
-    return micro_batches(raw, write, checkpoint, every)
+    return micro_batches(counted(raw), write, checkpoint, every)
+
+
+def counted(raw: DataFrame) -> DataFrame:
+    """Observe how many rows of a source are to be written, rejected or undecoded, by the checks that :func:`ingest` makes."""
+    undecoded, rejected = F.col(CORRUPT).isNotNull(), F.coalesce(events.reject_reason().isNotNull(), F.lit(False))
+    return raw.observe("ingest", F.count_if(~undecoded & ~rejected).alias("written"), F.count_if(~undecoded & rejected).alias("rejected"),
+                       F.count_if(undecoded).alias("undecoded"))
 
 
 class _Runs(StatefulProcessor):
@@ -277,6 +295,48 @@ def transactions_from_topic(raw: DataFrame, accept: Sink, dead_letters: Sink, ch
     return micro_batches(raw, run, checkpoint, every)
 
 
+def with_retry_delays(failures: DataFrame, tiers: Sequence[int] = dlq.RETRY_TIERS, max_retries: int = dlq.MAX_RETRIES) -> DataFrame:
+    """Open rows of a stream of ledger rows, each once the delay of its next retry is over in processing time. Rows wait in the state of their event."""
+    count = F.coalesce("retry_count", F.lit(0))
+    due = dlq.later(F.coalesce("last_retry_at", "failed_at"), dlq.tier_seconds(count + 1, tiers))
+    key = F.coalesce(blank_to_null(F.col("id")), F.sha2(F.coalesce("payload", F.lit("")), 256))
+    rows = failures.where(~F.coalesce("recovered", F.lit(False)) & (count < max_retries)).select(
+        *(c for c in DEAD_LETTER.names if c not in ("recovered", "next_retry_at", "retry_count")), count.alias("retry_count"), due.alias("next_retry_at"),
+        key.alias("own_key"), F.coalesce(F.unix_millis(due), F.lit(0)).alias("due_ms"))
+    schema = T.StructType([f for f in state.without_timestamps(rows).schema.fields if f.name != "own_key"])
+    released = state.without_timestamps(rows).groupBy("own_key").transformWithStateInPandas(
+        state.DelayProcessor(schema), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    return state.with_timestamps(released, rows.schema).select(
+        *(F.lit(False).alias(c) if c == "recovered" else F.col(c) for c in DEAD_LETTER.names))
+
+
+def retry_loop(failures: DataFrame, attempt: Callable[[DataFrame], Column], accept: Sink, ledger: Sink, retries_path: str, checkpoint: str,
+               tiers: Sequence[int] = dlq.RETRY_TIERS, max_retries: int = dlq.MAX_RETRIES, every: str | None = "5 seconds") -> StreamingQuery:
+    """Replay failed events after their delays, until they succeed or have failed ``max_retries`` times.
+
+    ``failures`` is a stream of ledger rows, as :func:`ingest` writes them. ``attempt`` gives for released rows whether the replay works; those go to
+    ``accept``, which stores them by batch number. Rows that failed again go to ``retries_path``, which this job reads as its second source, as a retry topic.
+    Rows that are done, recovered or exhausted, go to ``ledger``. Each batch is written to folders of its own, so one that is replayed overwrites itself.
+    """
+    spark = failures.sparkSession
+    spark.createDataFrame([], DEAD_LETTER).write.mode("append").parquet(f"{retries_path}/none")
+    again = spark.readStream.schema(DEAD_LETTER).option("recursiveFileLookup", "true").parquet(retries_path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = F.lit(batch.sparkSession.range(1).select(F.current_timestamp()).first()[0])
+        ran = dlq.attempted(batch, attempt(batch), at, lambda n: dlq.tier_seconds(n, tiers), max_retries).persist()
+        try:
+            done = F.col("recovered") | (F.col("retry_count") >= max_retries)
+            accept(ran.where("recovered"), batch_id)
+            ledger(ran.where(done), batch_id)
+            ran.where(~done).write.mode("overwrite").parquet(f"{retries_path}/batch-{batch_id}")
+        finally:
+            ran.unpersist()
+
+    rows = failures.select(*DEAD_LETTER.names).unionByName(again)
+    return micro_batches(with_retry_delays(rows, tiers, max_retries), write, checkpoint, every)
+
+
 class PipelineCounters(StreamingQueryListener):
     """Counters of every job of a session, added up report by report, so that no number of batches is too long for them.
 

@@ -214,3 +214,33 @@ class CardProcessor(_Rows):
     def forget(self) -> None:
         self.recorded.clear()
         self.scalars.clear()
+
+
+class DelayProcessor(_Rows):
+    """Hands rows on unchanged once the processing time has reached their ``due_ms``."""
+
+    def __init__(self, schema: T.StructType):
+        super().__init__(schema, schema, "delay", [], None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, due = timerValues.getCurrentProcessingTimeInMs(), self.at["due_ms"]
+        fresh = self._tuples(rows)
+        later = [r for r in fresh if r[due] > now]
+        if later:
+            self.waiting.appendList(later)
+            for ms in {r[due] for r in later}:
+                self.handle.registerTimer(ms)
+        ready = [r for r in fresh if r[due] <= now]
+        if ready:
+            yield from self._out(ready)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end, due = expiredTimerInfo.getExpiryTimeInMs(), self.at["due_ms"]
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        later = [r for r in held if r[due] > end]
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+        ready = [r for r in held if r[due] <= end]
+        if ready:
+            yield from self._out(ready)
