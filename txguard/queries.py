@@ -12,7 +12,7 @@ from txguard.operators.folds import admit_anchored, token_bucket
 from txguard.operators.running import as_of, distinct_in_run, gap_runs
 from txguard.operators.skew import Skew
 from txguard.operators.sliding import HOUR, MINUTE, Sliding, sliding
-from txguard.plans import admission, banking, baselines, blocks, dlq, enrich, events, features, legacy, limits, rules, scoring, stats
+from txguard.plans import admission, banking, baselines, blocks, daily, dlq, enrich, events, features, legacy, limits, rules, scoring, stats
 from txguard.plans.engine import decide, precheck_decision, precheck_reason
 from txguard.sources import event_table, tables
 from txguard.functions.columns import json_number, json_text
@@ -230,6 +230,32 @@ def approx_merchants(spark, sf):
     return exact.join(rough, "card_id").select("card_id", (error <= 0.05 * F.col("exact") + 1).alias("close"))
 
 
+def _daily(spark, sf):
+    """Daily partials of the transactions in three batches, one of them delivered twice; each batch holds rows of every day."""
+    path, tx = scratch(spark, "daily"), _tx(spark, sf)
+    for batch in (0, 1, 1, 2):
+        daily.add_batch(tx.where(F.col("event_id") % 3 == batch), path, batch)
+    return path
+
+
+@query
+def daily_card_baselines(spark, sf):
+    """Card baselines from daily partials, and whether their sketches are within their error."""
+    out = daily.card_baselines(spark, _daily(spark, sf), AS_OF)
+    exact = baselines.card_baselines(_tx(spark, sf), AS_OF).select(F.col("card_id").cast("string").alias("card_id"), F.col("card__unique_merchants_30d").alias("exact"))
+    error = F.abs(F.col("card__unique_merchants_30d") - F.col("exact"))
+    return out.join(exact, "card_id", "left").select(
+        F.col("card_id").cast("long").alias("card_id"), "card__tx_count_30d", "card__tx_count_7d",
+        *[F.round(c, 2).alias(c) for c in ("card__amount_sum_30d", "card__amount_avg_30d")], (error <= 0.05 * F.col("exact") + 1).alias("close"))
+
+
+@query
+def daily_merchant_risk(spark, sf):
+    out = daily.merchant_risk(spark, _daily(spark, sf), AS_OF)
+    return out.select(F.col("merchant_id").cast("long").alias("merchant_id"), "merchant__tx_count_30d", "merchant__fraud_count_30d",
+                      F.round("merchant__fraud_rate_30d", 6).alias("merchant__fraud_rate_30d"))
+
+
 @query
 def json_fields(spark, sf):
     """Number and text fields of JSON payloads, present and absent."""
