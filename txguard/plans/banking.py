@@ -22,7 +22,7 @@ from txguard.plans.limits import (
     DAILY_REASON, DEFAULT_LIMITS, MONTHLY_REASON, TRANSACTION_REASON, Limits, attempted_spend, limit_check, with_limits,
     with_periods,
 )
-from txguard.plans.rules import ACTIONS, DEFAULT_RULES, SEVERITY, Rule
+from txguard.plans.rules import ACTIONS, DEFAULT_RULES, EVENT_TIME, SEVERITY, Rule
 from txguard.plans.scoring import DEFAULT_THRESHOLDS, MAX_SCORE, Thresholds, by_points, explain, score
 from txguard.session_dirs import written
 
@@ -108,6 +108,10 @@ class CardStep:
         """What is kept of a card between micro-batches besides its recorded rows."""
         return self.blocked_at, self.day, self.month, self.day_spent, self.month_spent, self.manual_at, self.lifted_at
 
+    def with_rules(self, rules: Sequence[Rule]) -> CardStep:
+        self.rules = by_points(rules)
+        return self
+
     def restore(self, scalars: tuple, rows: Iterable[tuple]) -> CardStep:
         self.blocked_at, self.day, self.month, self.day_spent, self.month_spent, self.manual_at, self.lifted_at = scalars
         for row in rows:
@@ -163,6 +167,7 @@ class CardStep:
         self._record(ts, amount, merchant, country)
         frames = self.frames
         fv = dict(zip(self.outer_names, others))
+        fv[EVENT_TIME] = ts
         fv.update({f"card:tx_count_{name}": len(frame.rows) for name, frame in frames.items()})
         fv.update({
             "card:amount_sum_1h": frames["1h"].total, "card:amount_sum_24h": frames["24h"].total,

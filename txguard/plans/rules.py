@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from txguard.schemas import RULE
 OPERATORS = (">", ">=", "<", "<=", "==")
 ACTIONS = ("allow", "alert", "review", "challenge", "decline", "block")
 SEVERITY = {a: i for i, a in enumerate(ACTIONS)}
+EVENT_TIME = "ts_ms"
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,69 @@ def validate_rules(rules: Sequence[Rule]) -> None:
         seen.add(rule.id)
 
 
+def rule_problems(frame: DataFrame, position: str) -> DataFrame:
+    """The rows of a rule table with the first ``problem`` of each, null where there is none; the relational form of :func:`validate_rules`.
+
+    Nothing reaches the driver. Of rules with one id the first by ``position`` is the rule, later ones repeat it.
+    """
+    named = F.coalesce(F.col("id"), F.lit("")) != ""
+    first = frame.where(named).groupBy("id").agg(F.min(position).alias("__first"))
+    conditions = F.coalesce("conditions", F.expr("array()").cast(frame.schema["conditions"].dataType))
+    points = F.coalesce("risk_points", F.lit(0))
+    listed = F.lit(f"has a condition whose operator is not one of {', '.join(OPERATORS)}")
+    problem = (
+        F.when(~named, "needs an id")
+        .when(F.col(position) > F.col("__first"), "repeats an id")
+        .when(F.size(conditions) == 0, "needs at least one condition")
+        .when(F.exists(conditions, lambda c: F.coalesce(c["feature"], F.lit("")) == ""), "has a condition without a feature")
+        .when(F.exists(conditions, lambda c: ~F.coalesce(c["operator"], F.lit("")).isin(*OPERATORS)), listed)
+        .when(~points.between(0, 1000), F.concat(F.lit("has "), points.cast("string"), F.lit(" risk points, outside 0..1000")))
+    )
+    return frame.join(first, "id", "left").select(*frame.columns, problem.alias("problem"))
+
+
+def valid_from(versions: Mapping[int, Sequence[Rule]]) -> list[Rule]:
+    """Versions of a rule set, by the event time (ms) from which each holds, as one set: each rule holds until the next version.
+
+    Rows before the first version have no rules. Column expressions and ordered folds evaluate the set like any other, as the time is a feature of a row.
+    """
+    starts = sorted(versions)
+    out = []
+    for start, end in zip(starts, [*starts[1:], None]):
+        inside = [Condition(EVENT_TIME, ">=", float(start))] + ([] if end is None else [Condition(EVENT_TIME, "<", float(end))])
+        # A rule without conditions never fires, whatever the time.
+        out += [replace(r, conditions=(*inside, *r.conditions)) for r in versions[start] if r.conditions]
+    return out
+
+
+def publish_rules(spark: SparkSession, path: str, rules: Sequence[Rule], from_ms: int) -> None:
+    """Add a version of the rules to the versions in the shared folder ``path``. A version is never changed: one of that time must not exist."""
+    validate_rules(rules)
+    rules_frame(spark, rules).coalesce(1).write.json(f"{path}/from_ms={from_ms}")
+
+
+def _from_json(line: str) -> Rule:
+    r = json.loads(line)
+    return Rule(r.get("id", ""), r.get("name", ""), r.get("priority", 0),
+                tuple(Condition(c.get("feature"), c.get("operator"), c.get("threshold")) for c in r.get("conditions", [])),
+                r.get("risk_points", 0), r.get("action", "allow"), r.get("reason_code", ""), r.get("cooldown_minutes", 0), r.get("enabled", True))
+
+
+def read_versions(path: str) -> dict[int, list[Rule]]:
+    """The complete versions under ``path``, read without a session, so that tasks of a running job may ask for them. Rules are small, hand-written files."""
+    files, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    found = [f.path for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if f.is_file]
+    whole = {f.rsplit("/", 1)[0] for f in found if f.endswith("/_SUCCESS")}
+    versions: dict[int, list[Rule]] = {int(folder.rsplit("from_ms=", 1)[1]): [] for folder in whole}
+    for f in sorted(found):
+        folder = f.rsplit("/", 1)[0]
+        if folder in whole and f.endswith(".json"):
+            with files.open_input_stream(f) as stream:
+                text = stream.read().decode()
+            versions[int(folder.rsplit("from_ms=", 1)[1])] += [_from_json(line) for line in text.splitlines() if line]
+    return versions
+
+
 def active_rules(rules: Sequence[Rule]) -> list[Rule]:
     """Enabled rules, highest priority first; equal priorities keep their order."""
     return sorted((r for r in rules if r.enabled), key=lambda r: -r.priority)

@@ -49,20 +49,22 @@ def score(df: DataFrame, rules: Sequence[Rule], thresholds: Thresholds = DEFAULT
     """Add the decision columns. Each rule is evaluated once per row; everything else reads its flag."""
     ordered = by_points(rules)
     columns = df.columns
-    fired = {r.id: f"__fired_{i}" for i, r in enumerate(ordered)}
-    marked = df.selectExpr("*", *[f"{match_sql(columns, r)} as {fired[r.id]}" for r in ordered])
+    # By place: versions of a rule set name a rule more than once.
+    flagged = [(r, f"__fired_{i}") for i, r in enumerate(ordered)]
+    flags = [flag for _, flag in flagged]
+    marked = df.selectExpr("*", *[f"{match_sql(columns, r)} as {flag}" for r, flag in flagged])
 
     def listed(value: Callable[[Rule], str]) -> Column:
-        items = ", ".join(f"if({fired[r.id]}, {literal(value(r))}, null)" for r in ordered)
+        items = ", ".join(f"if({flag}, {literal(value(r))}, null)" for r, flag in flagged)
         return F.expr(f"filter(cast(array({items}) as array<string>), x -> x is not null)")
 
-    points = " + ".join(["0", *[f"if({fired[r.id]}, {r.risk_points}, 0)" for r in ordered]])
-    explicit = ", ".join(["0", "0", *[f"if({fired[r.id]}, {SEVERITY.get(r.action, 0)}, 0)" for r in ordered]])
-    any_fired = " or ".join(["false", *fired.values()])
+    points = " + ".join(["0", *[f"if({flag}, {r.risk_points}, 0)" for r, flag in flagged]])
+    explicit = ", ".join(["0", "0", *[f"if({flag}, {SEVERITY.get(r.action, 0)}, 0)" for r, flag in flagged]])
+    any_fired = " or ".join(["false", *flags])
     used: dict[str, list[str]] = {}
-    for r in ordered:
+    for r, flag in flagged:
         for c in r.conditions:
-            used.setdefault(c.feature, []).append(fired[r.id])
+            used.setdefault(c.feature, []).append(flag)
     entries = ", ".join(
         f"if({' or '.join(by)}, struct({literal(f)} as key, {feature_sql(columns, f)} as value), null)" for f, by in used.items()
     )
@@ -75,4 +77,4 @@ def score(df: DataFrame, rules: Sequence[Rule], thresholds: Thresholds = DEFAULT
         "triggered_rules": listed(lambda r: r.id),
         "contributing_features": F.expr(contributing),
         "explain_lines": listed(explain),
-    }).drop(*fired.values())
+    }).drop(*flags)

@@ -326,6 +326,32 @@ def risk_decisions(spark, sf):
     )
 
 
+@query
+def rule_versions(spark, sf):
+    """Two versions of a rule set, from the 8th and from the 20th of January; rules of several conditions and comparisons."""
+    rule, test = rules.Rule, rules.Condition
+    large, small, seven = (test("amount", ">=", 40.0),), (test("amount", "<", 10.0), test("merchant_id", "<=", 20.0)), (test("merchant_id", "==", 7.0),)
+    versions = {
+        1_704_672_000: [rule("large", "large", 2, large, 300, "review", "L"), rule("small", "small", 1, small, 400, "alert", "S"),
+                        rule("off", "off", 9, large, 900, "block", "O", enabled=False)],
+        1_705_708_800: [rule("large", "larger", 2, (test("amount", ">", 80.0),), 600, "decline", "L"), rule("seven", "seven", 3, seven, 150, "alert", "7")],
+    }
+    out = scoring.score(_tx(spark, sf), rules.valid_from(versions))
+    return out.select("transaction_id", F.col("risk_score").cast("long").alias("risk_score"), "action", F.array_join("triggered_rules", ",").alias("triggered_rules"))
+
+
+@query
+def rule_problems(spark, sf):
+    """A rule for each event, with mistakes of every kind: how many rules have which problem, by points."""
+    n = F.col("event_id")
+    feature, operator = F.when(n % 23 != 0, "amount").otherwise(""), F.when(n % 19 == 0, "~").when(n % 2 == 0, ">").otherwise("<=")
+    condition = F.struct(feature.alias("feature"), operator.alias("operator"), F.col("value").alias("threshold"))
+    frame = tables.events(spark, sf).select(
+        F.col("event_id").alias("position"), F.when(n % 41 == 0, None).when(n % 10 == 1, (n - 1).cast("string")).otherwise(n.cast("string")).alias("id"),
+        F.when(n % 29 != 0, F.array(condition, condition)).alias("conditions"), (n % 1100 - 10).cast("int").alias("risk_points"))
+    return rules.rule_problems(frame, "position").select("position", "id", "problem")
+
+
 @query
 def rules_fired_long(spark, sf):
     tx = _tx(spark, sf)
@@ -749,9 +775,8 @@ def processed_events(spark, sf):
                       F.date_format("timestamp", "yyyyMM").alias("yyyymm"))
 
 
-@query
-def analytics_events(spark, sf):
-    """Transactions flattened to analytics events, with the default timestamp and the partition key."""
+def _bank_transactions(spark, sf):
+    """The transactions as a bank sends them, a fifth without timestamp and a seventh without card number."""
     tx = _tx(spark, sf).select(
         "transaction_id", F.when(F.col("event_id") % 7 == 0, "").otherwise(F.col("card_id").cast("string")).alias("card_number"),
         "amount", F.lit("RUB").alias("currency"), F.col("merchant_id").cast("string").alias("merchant_id"),
@@ -762,7 +787,20 @@ def analytics_events(spark, sf):
         F.lit("debit").alias("card_type"), F.concat(F.lit("acc-"), F.col("customer_id").cast("string")).alias("account_id"),
         F.col("customer_id").cast("string").alias("user_id"),
     )
-    tx = events.default_timestamp(tx, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    return events.default_timestamp(tx, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+@query
+def feature_contexts(spark, sf):
+    """Bank transactions in the columns that features are built from."""
+    return banking.transaction_context(_bank_transactions(spark, sf)).select(
+        "transaction_id", "card_id", "account_id", "customer_id", "device_id", "amount", "currency", "merchant_id", "country", "city", "ip", "mcc", "ts_ms")
+
+
+@query
+def analytics_events(spark, sf):
+    """Transactions flattened to analytics events, with the default timestamp and the partition key."""
+    tx = _bank_transactions(spark, sf)
     out = banking.transaction_event(tx)
     card = F.get_json_object("data", "$.card_number")
     return out.select("id", "type", "source", _micros("timestamp"),

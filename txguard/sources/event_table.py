@@ -53,7 +53,8 @@ def _folder(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     fs, folder = _folder(spark, path)
     fs.delete(folder, True)
 
@@ -182,8 +183,8 @@ def vacuum(spark: SparkSession, path: str) -> int:
     if not now.entries:
         return 0
     for f in now.removed:
-        _delete(spark, f"{path}/rows/{f}")
+        delete(spark, f"{path}/rows/{f}")
     _commit(spark, path, f"fold-{uuid.uuid4().hex}", now.live, (), now.last, now.entries)
     for name in now.entries:
-        _delete(spark, f"{path}/log/entry={name}")
+        delete(spark, f"{path}/log/entry={name}")
     return len(now.removed)

@@ -17,10 +17,12 @@ from txguard.plans import dlq, enrich, events
 from txguard.plans.baselines import with_baselines
 from txguard.plans.limits import Limits, DEFAULT_LIMITS, with_limits, with_periods
 from txguard.plans.banking import OUTCOME, STEP_INPUTS, card_step, outer_features, transaction_context
+from txguard.operators.running import gap_runs, running
+from txguard.operators.skew import DEFAULT_SKEW, Skew
 from txguard.operators.sliding import Sliding
 from txguard.plans.engine import precheck_reason
 from txguard.plans.features import CUSTOMER, DEVICE
-from txguard.plans.rules import DEFAULT_RULES, Rule, load_rules
+from txguard.plans.rules import DEFAULT_RULES, Rule, load_rules, read_versions, valid_from
 from txguard.plans.scoring import DEFAULT_THRESHOLDS, Thresholds
 from txguard.schemas import DEAD_LETTER
 from txguard.sources import event_table
@@ -28,6 +30,8 @@ from txguard.sources.storage import CORRUPT, decode, split_decoded
 from txguard.streaming import state
 
 Sink = Callable[[DataFrame, int], None]
+# What a batch leaves for the next one is kept for so many batches; Spark replays the last one at most.
+KEPT_MARKS = 10
 DECISIONS = event_table.Layout(f"transaction_id string, ts_ms long, {OUTCOME}, timestamp timestamp", ("timestamp", "transaction_id"))
 
 
@@ -172,6 +176,79 @@ def gap_sessions(df: DataFrame, user: str, gap: str, delay: str) -> DataFrame:
         F.count(F.lit(1)).alias("events")).select(user, F.col("s.start").alias("session_start"), "events")
 
 
+def split_late(df: DataFrame, ts: str, delay: str, on_time: Sink, late: Sink, marks: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
+    """Hand rows at or before the watermark to ``late``, and all others to ``on_time``, from where stateful jobs with that delay lose none of them.
+
+    The watermark of a batch is the greatest time of the batches before it less ``delay``. It is kept in ``marks``, one small file a batch, of which the last few stay;
+    so a replayed batch is split alike. Rows without time are on time.
+    """
+    lag = F.expr(f"interval {delay}")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("top long, batch long").parquet(marks).where(F.col("batch") < batch_id).agg(F.max("top")).first()[0]
+        rows = batch.persist()
+        try:
+            behind = F.lit(False) if seen is None else F.coalesce(F.col(ts) <= F.timestamp_micros(F.lit(seen)) - lag, F.lit(False))
+            late(rows.where(behind), batch_id)
+            on_time(rows.where(~behind), batch_id)
+            top = rows.agg(F.greatest(F.max(F.unix_micros(ts)), F.lit(seen).cast("long")).alias("top"))
+            top.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+            event_table.delete(spark, f"{marks}/batch={batch_id - KEPT_MARKS}")
+        finally:
+            rows.unpersist()
+
+    df.sparkSession.createDataFrame([], "top long").write.mode("overwrite").parquet(f"{marks}/batch=-1")
+    return micro_batches(df, write, checkpoint, every)
+
+
+def late_sink(path: str, now: Callable[[], Column] = F.current_timestamp) -> Sink:
+    """Late events (``id`` and others) as dead letters, a folder a batch."""
+    def write(df: DataFrame, batch: int) -> None:
+        dlq.capture(df, F.lit("behind the watermark"), F.lit("late"), now()).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
+def count_hits(df: DataFrame, write: Sink, carries: str, checkpoint: str, idle_ms: int = 3_600_000, every: str | None = "5 seconds",
+               skew: Skew = DEFAULT_SKEW) -> StreamingQuery:
+    """Add ``event_count`` and ``source_count`` to a stream of events, as ``enrich.hit_counters`` does, however few types and sources there are.
+
+    A micro-batch is counted by the batch operator, which spreads a crowded key over time slices; one row per type and source, kept in ``carries`` by batch, brings the
+    counts so far. So no key is counted in one task. Equal to the batch counters where batches arrive in event order; a replayed batch counts alike. Counts idle for
+    twice ``idle_ms`` are forgotten. Events without type or source get null.
+    """
+    schema = "key string, kind string, last long, n long, batch long"
+
+    def counted(rows: DataFrame, carry: DataFrame, key: str, out: str) -> DataFrame:
+        fresh = rows.where(F.col(key).isNotNull()).withColumns({"own_n": F.lit(1).cast("long"), "own_new": F.lit(True)})
+        tail = carry.where(F.col("kind") == key).select(F.col("key").alias(key), F.col("last").alias("own_ms"), F.col("n").alias("own_n"), F.lit(False).alias("own_new"))
+        ties = ["own_new", "id"]
+        runs = gap_runs(fresh.unionByName(tail, allowMissingColumns=True), [key], "own_ms", idle_ms, ties, "own_run", "own_pos", skew)
+        added = running(runs, [key, "own_run"], "own_ms", {out: ("sum", F.col("own_n"))}, ties, "rows", skew).where("own_new").select(*rows.columns, out)
+        return added.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = spark.read.schema(schema).parquet(carries).where(F.col("batch") < batch_id)
+        before = kept.where(F.col("batch") == (kept.agg(F.max("batch")).first()[0])).drop("batch")
+        rows = batch.withColumn("own_ms", F.floor(F.unix_micros("timestamp") / 1000))
+        done = counted(counted(rows, before, "type", "event_count"), before, "source", "source_count").persist()
+        try:
+            write(done.drop("own_ms"), batch_id)
+            newest = [done.where(F.col(k).isNotNull()).select(F.col(k).alias("key"), F.lit(k).alias("kind"), F.col("own_ms").alias("last"), F.col(n).alias("n"))
+                      for k, n in (("type", "event_count"), ("source", "source_count"))]
+            states = before.unionByName(newest[0]).unionByName(newest[1]).groupBy("kind", "key").agg(F.max(F.struct("last", "n")).alias("s")).select("key", "kind", "s.*")
+            newest_ms = done.agg(F.max("own_ms")).first()[0]
+            states.where(F.lit(newest_ms) - F.col("last") < 2 * idle_ms).coalesce(1).write.mode("overwrite").parquet(f"{carries}/batch={batch_id}")
+            event_table.delete(spark, f"{carries}/batch={batch_id - KEPT_MARKS}")
+        finally:
+            done.unpersist()
+
+    df.sparkSession.createDataFrame([], schema.rsplit(",", 1)[0]).write.mode("overwrite").parquet(f"{carries}/batch=-1")
+    return micro_batches(df, run, checkpoint, every)
+
+
 def live_stats(df: DataFrame, write: Sink, checkpoint: str, by: str = "type", seconds: int = 60, every: str | None = "2 seconds",
                delay: str = "1 hour") -> StreamingQuery:
     """The stats feed: changed counters every two seconds. Windows older than the watermark are dropped from the state."""
@@ -208,21 +285,66 @@ def with_distinct_features(df: DataFrame, key: str, specs: Sequence[Sliding], co
     """
     # Names that begin with an underscore do not reach a processor.
     mine = F.col(key).isNotNull() & (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False)))
-    alone = F.concat(F.lit("\0"), F.coalesce(F.col("transaction_id").cast("string"), F.lit("")))
-    rows = df.withColumns({"own_counted": mine, "own_key": F.coalesce(F.col(key).cast("string"), alone)})
+    rows = df.withColumns({"own_counted": mine, "own_key": _state_key(F.col(key), F.col("transaction_id"))})
+    found = _with_state(rows, ", ".join(f"{s.name} long" for s in specs), lambda schema, output: state.DistinctProcessor(schema, output, specs, "own_counted", order, idle_ms),
+                        order, "ts", delay, idle_ms)
+    return found.select(*df.columns, *(s.name for s in specs))
+
+
+def _state_key(key: Column, row_id: Column) -> Column:
+    """The key as text; a row without key is a key of its own, so that such rows share no task."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\0"), F.coalesce(row_id.cast("string"), F.lit(""))))
+
+
+def _with_state(rows: DataFrame, added: str, processor: Callable[[T.StructType, T.StructType], StatefulProcessor], order: str, ts: str, delay: str,
+                idle_ms: int | None) -> DataFrame:
+    """Run rows through a processor per ``own_key`` that hands their columns on and adds those of ``added``."""
     timed = order == "event_time"
     if timed:
-        rows = rows.withWatermark("ts", delay).withColumn("event_ms", F.unix_millis("ts"))
+        known = F.col("event_ms") if "event_ms" in rows.columns else F.lit(0)
+        rows = rows.withColumn("event_ms", F.coalesce(F.unix_millis(ts), known, F.lit(0))).withWatermark(ts, delay)
     # The watermark's column stays beside the microseconds that travel.
     micros = state.without_timestamps(rows)
     if timed:
-        micros = rows.select(F.col("ts").alias("own_ts"), *(F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in rows.schema.fields))
+        micros = rows.select(F.col(ts).alias("own_ts"), *(F.unix_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in rows.schema.fields))
     schema = T.StructType([f for f in micros.schema.fields if f.name not in ("own_key", "own_ts")])
-    output = T.StructType([*schema.fields, *(T.StructField(s.name, T.LongType()) for s in specs)])
+    output = T.StructType([*schema.fields, *T.StructType.fromDDL(added).fields])
     mode = "EventTime" if timed else "ProcessingTime" if idle_ms else "None"
-    counted_rows = micros.groupBy("own_key").transformWithStateInPandas(
-        state.DistinctProcessor(schema, output, specs, "own_counted", order, idle_ms), outputStructType=output, outputMode="Append", timeMode=mode)
-    return state.with_timestamps(counted_rows, rows.schema).select(*df.columns, *(s.name for s in specs))
+    out = micros.groupBy("own_key").transformWithStateInPandas(processor(schema, output), outputStructType=output, outputMode="Append", timeMode=mode)
+    return state.with_timestamps(out, rows.schema)
+
+
+def admitted(df: DataFrame, client: str, rate: int, window_ms: int = 1000, weight: str | None = None, resets: DataFrame | None = None, row_id: str = "id",
+             ts: str = "timestamp", order: str = "arrival", delay: str = "1 minute", idle_ms: int | None = None) -> DataFrame:
+    """Rate-limit a stream of requests (``ts_ms``, ``ts``, atomic columns): add ``window_start``, ``used`` and ``allowed``, as ``admit_anchored`` does.
+
+    ``resets`` is a stream of (client, ts_ms, ts): a reset empties the client's window for requests from its time on. ``order="arrival"`` admits each micro-batch
+    at once, sorted in itself, and drops a client's state after ``idle_ms`` of processing time; ``order="event_time"`` holds requests back until the watermark has passed
+    them, drops state once its window is over, and must be the last stateful step. Requests without client or time are allowed and use up no window.
+    """
+    cost = F.coalesce(F.col(weight).cast("long"), F.lit(0)) if weight else F.lit(1)
+    rows = df.withColumns({"own_request": F.lit(1), "own_weight": cost.cast("long")})
+    if resets is not None:
+        # Commands have no time for the watermark, so they neither move it nor fall behind it.
+        marks = resets.where(F.col(client).isNotNull() & F.col("ts_ms").isNotNull()).select(
+            client, "ts_ms", F.lit(None).cast("timestamp").alias(ts), F.unix_millis(ts).alias("event_ms"), F.lit(0).alias("own_request"))
+        rows = rows.withColumn("event_ms", F.unix_millis(ts)).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumns({"own_named": F.col(client).isNotNull() & F.col("ts_ms").isNotNull(), "own_key": _state_key(F.col(client), F.col(row_id))})
+    added = "window_start long, used long, allowed boolean"
+    found = _with_state(rows, added, lambda schema, output: state.AdmissionProcessor(schema, output, order, idle_ms, rate, window_ms, [row_id]), order, ts, delay, idle_ms)
+    return found.select(*df.columns, "window_start", "used", "allowed")
+
+
+def token_bucket(df: DataFrame, client: str, rate: float, burst: int, row_id: str = "id", ts: str = "timestamp", order: str = "arrival", delay: str = "1 minute",
+                 idle_ms: int | None = None) -> DataFrame:
+    """Token buckets over a stream of requests: add ``allowed`` and ``tokens``, as the batch operator does; ``order`` and ``idle_ms`` as in :func:`admitted`.
+
+    In event order a bucket's state goes once it is full again.
+    """
+    rows = df.withColumns({"own_named": F.col(client).isNotNull() & F.col("ts_ms").isNotNull(), "own_key": _state_key(F.col(client), F.col(row_id))})
+    found = _with_state(rows, "allowed boolean, tokens double", lambda schema, output: state.BucketProcessor(schema, output, order, idle_ms, rate, burst, [row_id]),
+                        order, ts, delay, idle_ms)
+    return found.select(*df.columns, "allowed", "tokens")
 
 
 def customer_and_device_features(tx: DataFrame, counted: Column | None = None, **how: object) -> DataFrame:
@@ -243,14 +365,17 @@ def decisions(
     commands: DataFrame | None = None,
     features: bool = True,
     idle_ms: int | None = None,
+    rule_versions: str | None = None,
 ) -> DataFrame:
     """Full banking decisions over a stream of transactions, one state per card.
 
     ``tx`` has the transaction columns and ``ts``. Customer and device features are computed on the way, in order of arrival, unless ``tx`` brings them or ``features``
     is off. Merchant risk and limits are static tables joined to each micro-batch. ``commands`` is a stream of blocks and unblocks (card_id, ts_ms, seq,
-    command, ts); they are kept as the card's state, and come before transactions of their time. ``order="event_time"`` decides rows in event order as the watermark
+    command, ts); they are kept as the card's state, and come before transactions of their time. They neither move the watermark nor fall behind it. ``order="event_time"`` decides rows in event order as the watermark
     passes them and drops a card's state when nothing of it matters any more; ``order="arrival"`` decides each micro-batch at once, and drops state after ``idle_ms``
-    of processing time. The rules are fixed while the query runs.
+    of processing time. ``rules`` are fixed while the query runs; ``rule_versions`` names a shared folder of versions instead (``rules.publish_rules``), to which
+    versions may be added meanwhile. A row is decided by the version of its own time, so one must be published before the first row of its time is decided; then a
+    batch that is replayed decides alike.
     """
     tx = tx.withColumn("precheck_reason", precheck_reason())
     missing = features and not any(s.name in tx.columns for s in (*CUSTOMER, *DEVICE))
@@ -262,13 +387,17 @@ def decisions(
     outer = outer_features(rows.columns)
     rows = rows.select(*STEP_INPUTS, *outer, "ts", F.lit(None).cast("string").alias("command"), F.lit(None).cast("long").alias("seq"), F.lit(1).alias("command_first"))
     if commands is not None:
-        log = commands.select("card_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("seq").cast("long").alias("seq"), "command", "ts", F.lit(0).alias("command_first"))
-        rows = rows.unionByName(log, allowMissingColumns=True)
+        log = commands.select("card_id", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("seq").cast("long").alias("seq"), "command",
+                              F.lit(None).cast("timestamp").alias("ts"), F.unix_millis("ts").alias("event_ms"), F.lit(0).alias("command_first"))
+        rows = rows.withColumn("event_ms", F.unix_millis("ts")).unionByName(log, allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("event_ms", F.unix_millis("ts"))
+    rows = rows.withColumn("event_ms", F.coalesce("event_ms", F.lit(0)))
     if order == "event_time":
         rows = rows.withWatermark("ts", delay)
-    rows = rows.withColumn("event_ms", F.unix_millis("ts"))
     schema = T.StructType([f for f in rows.schema.fields if f.name != "ts"])
-    processor = state.CardProcessor(schema, card_step(rules, thresholds, block_ttl_ms, outer), outer, order, block_ttl_ms, idle_ms)
+    processor = state.CardProcessor(schema, card_step(rules, thresholds, block_ttl_ms, outer), outer, order, block_ttl_ms, idle_ms,
+                                    None if rule_versions is None else lambda: valid_from(read_versions(rule_versions)))
     mode = "EventTime" if order == "event_time" else "ProcessingTime" if idle_ms else "None"
     return rows.groupBy("card_id").transformWithStateInPandas(processor, outputStructType=processor.output, outputMode="Append", timeMode=mode)
 

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from txguard.operators.sliding import DAY, Sliding
 from txguard.plans.banking import OUTCOME, STEP_INPUTS, CardStep
+from txguard.plans.rules import Rule
 
 ROWS = "ts long, amount double, merchant string, country string"
 SCALARS = ("blocked_at long, day string, month string, day_spent long, month_spent long, manual_at long, lifted_at long, keep_until long")
@@ -39,14 +40,16 @@ def with_timestamps(df: DataFrame, schema: T.StructType) -> DataFrame:
 class _Rows(StatefulProcessor):
     """Takes rows of ``schema`` at once, or in event order as the watermark passes ``event_ms``.
 
-    A subclass has ``process(rows) -> output rows`` for rows in order, ``keep_until()`` for when its state may go, and ``forget()``.
+    A subclass has ``process(rows) -> output rows`` for rows in order, ``keep_until()`` for when its state may go, and ``forget()``. ``kind`` names a column that
+    tells rows from commands: commands far ahead hold no row back.
     """
 
-    def __init__(self, schema: T.StructType, output: T.StructType, order: str, sort_by: Sequence[str], idle_ms: int | None):
+    def __init__(self, schema: T.StructType, output: T.StructType, order: str, sort_by: Sequence[str], idle_ms: int | None, kind: str | None = None):
         self.schema, self.output, self.order, self.idle_ms = schema, output, order, idle_ms
         self.at = {f.name: i for i, f in enumerate(schema.fields)}
         self.whole = [isinstance(f.dataType, (T.LongType, T.IntegerType)) for f in schema.fields]
         self.sort_by = [self.at[c] for c in sort_by]
+        self.kind = None if kind is None else self.at[kind]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -80,7 +83,12 @@ class _Rows(StatefulProcessor):
             yield from self._out(self.process(self._ordered(fresh)))
             return
         self.waiting.appendList(fresh)
-        self.handle.registerTimer(max(r[self.at["event_ms"]] for r in fresh) + 1)
+        newest: dict[int | None, int] = {}
+        for r in fresh:
+            kind, ms = None if self.kind is None else r[self.kind], r[self.at["event_ms"]]
+            newest[kind] = max(ms, newest.get(kind, ms))
+        for ms in set(newest.values()):
+            self.handle.registerTimer(ms + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
@@ -159,26 +167,111 @@ class DistinctProcessor(_Rows):
             state.clear()
 
 
+class AdmissionProcessor(_Rows):
+    """Fixed windows of ``width_ms`` anchored at a client's first request, as :func:`txguard.operators.folds.admit_anchored`; adds the window's start, the
+    weight used in it so far, and whether the request is allowed.
+
+    ``weight`` names a column; rows where ``reset`` is true empty the window, and are not handed on.
+    """
+
+    def __init__(self, schema: T.StructType, output: T.StructType, order: str, idle_ms: int | None, rate: int, width_ms: int, ties: Sequence[str]):
+        super().__init__(schema, output, order, ["ts_ms", "own_request", *ties], idle_ms, "own_request")
+        self.rate, self.width = rate, width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.window = handle.getValueState("window", "start long, used long", self.ttl)
+
+    def process(self, rows: list[tuple]) -> list[tuple]:
+        start, used = self.window.get() if self.window.exists() else (None, 0)
+        ts, request, named, weight = (self.at[c] for c in ("ts_ms", "own_request", "own_named", "own_weight"))
+        out = []
+        for r in rows:
+            if not r[request]:
+                # A reset that comes late leaves a window that began after it.
+                if start is not None and start <= r[ts]:
+                    start, used = None, 0
+                continue
+            if not r[named]:
+                out.append((*r, None, None, True))
+                continue
+            if start is None or r[ts] - start >= self.width:
+                start, used = r[ts], 0
+            used += r[weight] or 0
+            out.append((*r, start, used, used <= self.rate))
+        if start is None:
+            self.window.clear()
+        else:
+            self.window.update((start, used))
+        return out
+
+    def keep_until(self) -> int | None:
+        return self.window.get()[0] + self.width if self.window.exists() else None
+
+    def forget(self) -> None:
+        self.window.clear()
+
+
+class BucketProcessor(_Rows):
+    """A token bucket per client, as :func:`txguard.operators.folds.token_bucket`; adds whether the request is allowed, and the tokens left."""
+
+    def __init__(self, schema: T.StructType, output: T.StructType, order: str, idle_ms: int | None, rate: float, burst: int, ties: Sequence[str]):
+        super().__init__(schema, output, order, ["ts_ms", *ties], idle_ms)
+        self.rate, self.burst = rate, float(burst)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.bucket = handle.getValueState("bucket", "tokens double, last long", self.ttl)
+
+    def process(self, rows: list[tuple]) -> list[tuple]:
+        tokens, last = self.bucket.get() if self.bucket.exists() else (self.burst, None)
+        ts, named = self.at["ts_ms"], self.at["own_named"]
+        out = []
+        for r in rows:
+            if not r[named]:
+                out.append((*r, True, None))
+                continue
+            # Late rows find what is left and give no time back.
+            tokens = min(self.burst, tokens + max(0, r[ts] - last) / 1000.0 * self.rate) if last is not None else tokens
+            last = r[ts] if last is None else max(last, r[ts])
+            allowed = tokens >= 1.0
+            tokens -= allowed
+            out.append((*r, allowed, tokens))
+        if last is not None:
+            self.bucket.update((tokens, last))
+        return out
+
+    def keep_until(self) -> int | None:
+        # A bucket that has filled up again needs no state.
+        return self.bucket.get()[1] + int(-(-self.burst * 1000 // self.rate)) if self.bucket.exists() else None
+
+    def forget(self) -> None:
+        self.bucket.clear()
+
+
 class CardProcessor(_Rows):
     """Decides the transactions of a card with the step of the batch fold; rows with a ``command`` block and unblock the card in between.
 
     The card's recorded rows of 24 hours are a list, its block and spending are values. All of it goes once the rows are old, the month is over and
-    no block holds.
+    no block holds. ``versions`` gives the rules by their time, read anew by each task.
     """
 
-    def __init__(self, schema: T.StructType, step: Callable[[], CardStep], outer: Sequence[str], order: str, block_ttl_ms: int | None, idle_ms: int | None):
+    def __init__(self, schema: T.StructType, step: Callable[[], CardStep], outer: Sequence[str], order: str, block_ttl_ms: int | None, idle_ms: int | None,
+                 versions: Callable[[], Sequence[Rule]] | None = None):
         output = T.StructType.fromDDL(f"transaction_id string, ts_ms long, {OUTCOME}")
-        super().__init__(schema, output, order, ["ts_ms", "command_first", "seq", "transaction_id"], idle_ms)
-        self.step, self.block_ttl_ms = step, block_ttl_ms
+        super().__init__(schema, output, order, ["ts_ms", "command_first", "seq", "transaction_id"], idle_ms, "command_first")
+        self.step, self.block_ttl_ms, self.versions, self.rules = step, block_ttl_ms, versions, None
         self.inputs = [self.at[c] for c in (*STEP_INPUTS, *outer)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.recorded = handle.getListState("recorded", ROWS, self.ttl)
         self.scalars = handle.getValueState("scalars", SCALARS, self.ttl)
+        # Each task of each micro-batch reads the versions there are then.
+        self.rules = self.versions() if self.versions else None
 
     def process(self, rows: list[tuple]) -> list[tuple]:
-        step = self.step()
+        step = self.step() if self.rules is None else self.step().with_rules(self.rules)
         old = list(self.recorded.get()) if self.recorded.exists() else []
         if self.scalars.exists():
             step.restore(tuple(self.scalars.get())[:-1], [tuple(r) for r in old])
@@ -187,7 +280,9 @@ class CardProcessor(_Rows):
         before = step.n_recorded
         for r in rows:
             if r[command] is not None:
-                step.command(r[ts], r[command] == "block")
+                # One that comes late does not undo a later one.
+                if all(t is None or t <= r[ts] for t in (step.manual_at, step.lifted_at)):
+                    step.command(r[ts], r[command] == "block")
             else:
                 out.append((r[tx], r[ts], *step(*[r[i] for i in self.inputs])))
         new = list(step.recorded)[-(step.n_recorded - before):] if step.n_recorded > before else []
