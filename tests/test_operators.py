@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from txguard.operators.folds import admit_anchored, anchored, token_bucket
 from txguard.operators.running import as_of, distinct_in_run, gap_runs, running
-from txguard.operators.skew import Skew
+from txguard.operators.skew import DEFAULT_SKEW, Skew, find_hot
 from txguard.operators.sliding import Sliding, sliding
+from txguard.plans.enrich import hit_counters
 
 PLAIN = Skew(min_bytes=1 << 80, frame_rows=1 << 62)
 SLICED = Skew(hot_rows=8, frame_rows=8, slice_ms=40, min_bytes=0)
@@ -190,3 +191,16 @@ def test_sliced_sums_add_like_plain_frames(spark, amounts):
     plain, sliced = (sorted(map(repr, sliding(df, ["k"], "t", specs, Skew(slice_ms=w, min_bytes=0, hot_rows=4, frame_rows=f)).collect()))
                      for w, f in ((40, 1 << 62), (7, 4)))
     assert plain == sliced
+
+
+def test_few_keys_of_a_table_small_on_disk_are_hot(spark, tmp_path):
+    """Columns compress: a table far below what a task may hold in memory on disk still holds too many rows of one type."""
+    ids = spark.range(150_000).withColumns({f"c{i}": F.xxhash64("id", F.lit(i)) for i in range(5)})
+    ids.select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 > 0, "view").otherwise("error").alias("type"), F.lit("web").alias("source"),
+               (F.col("id") * 7000 + F.col("c0") % 9_000_000).alias("ts_ms"), "c1", "c2", "c3", "c4").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert all(find_hot(df, [k], DEFAULT_SKEW).frame is not None for k in ("type", "source"))
+    idle = 30_000
+    got, want = (hit_counters(df, "ts_ms", idle, skew=s).select("id", "event_count", "source_count", "c4") for s in (DEFAULT_SKEW, PLAIN))
+    assert want.agg(F.max("event_count")).first()[0] > 2
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from txguard.operators.skew import DEFAULT_SKEW, HOT, SLICE, Hot, Skew, find_hot, flag_hot, null_spread, settle, with_slice
+from txguard.operators.skew import DEFAULT_SKEW, HOT, SLICE, Hot, Skew, find_hot, null_spread, sliced
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -38,19 +38,31 @@ def running(
     """
     keys = list(keys)
     hot = hot if hot is not None else find_hot(df, keys, skew)
-    order = [ts] if frame == "range" else [ts, *ties]
-
-    def over(parts: list):
-        w = Window.partitionBy(*parts).orderBy(*order)
-        if frame == "range":
-            return w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        return w.rowsBetween(Window.unboundedPreceding, -1 if frame == "before" else Window.currentRow)
-
     if hot.frame is None:
-        w = over([*keys, null_spread(keys, ts)] if hot.spread_nulls else keys)
+        w = _over([*keys, null_spread(keys, ts)] if hot.spread_nulls else keys, ts, ties, frame)
         return df.withColumns({n: _AGG[k](c).over(w) for n, (k, c) in aggs.items()})
+    rows = sliced(df, keys, ts, skew, hot)
+    out = _running_sliced(rows, _dealt(rows, keys), keys, ts, aggs, ties, frame)
+    return out.select(*[c for c in df.columns if c not in aggs], *aggs)
+
+
+def _over(parts: Sequence[str | Column], ts: str, ties: Sequence[str], frame: str) -> WindowSpec:
+    if frame == "range":
+        return Window.partitionBy(*parts).orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return Window.partitionBy(*parts).orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, -1 if frame == "before" else Window.currentRow)
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows by key and slice in as many partitions as the session sets: AQE merges partitions by their compressed bytes, and rows of slices
+    compress so well that tens of millions of them would be sorted by a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, SLICE)
 
-    rows = with_slice(flag_hot(settle(df), hot.frame), keys, ts, skew)
+
+def _running_sliced(
+    rows: DataFrame, dealt: DataFrame, keys: list[str], ts: str, aggs: Mapping[str, tuple[str, Column]], ties: Sequence[str], frame: str
+) -> DataFrame:
+    """:func:`running` over rows that have their slices already, and ``dealt`` by them; they keep both, so that a second pass over the same keys
+    needs no other exchange."""
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         rows.where(F.col(HOT))
@@ -58,12 +70,12 @@ def running(
         .agg(*[_AGG[k](c).alias(f"__t_{n}") for n, (k, c) in aggs.items()])
         .select(*keys, SLICE, *[_AGG[k](f"__t_{n}").over(before).alias(f"__c_{n}") for n, (k, _) in aggs.items()])
     )
-    w = over([*keys, SLICE])
-    joined = rows.withColumns({f"__w_{n}": _AGG[k](c).over(w) for n, (k, c) in aggs.items()}).join(
+    w = _over([*keys, SLICE], ts, ties, frame)
+    joined = dealt.withColumns({f"__w_{n}": _AGG[k](c).over(w) for n, (k, c) in aggs.items()}).join(
         carry, [*keys, SLICE], "left"
     )
     return joined.select(
-        *[c for c in df.columns if c not in aggs],
+        *[c for c in rows.columns if c not in aggs],
         *[_combine(k, F.col(f"__w_{n}"), F.col(f"__c_{n}")).alias(n) for n, (k, _) in aggs.items()],
     )
 
@@ -85,17 +97,18 @@ def gap_runs(
     """
     keys = list(keys)
     hot = hot if hot is not None else find_hot(df, keys, skew)
-    prev = running(
-        df, keys, ts, {"__prev": ("max", F.col(ts)), "__seen": ("sum", F.lit(1).cast("long"))}, ties, "before", skew, hot
-    )
+    before = {"__prev": ("max", F.col(ts)), "__seen": ("sum", F.lit(1).cast("long"))}
+    if hot.frame is None:
+        prev = running(df, keys, ts, before, ties, "before", skew, hot)
+    else:
+        rows = sliced(df, keys, ts, skew, hot)
+        prev = _running_sliced(rows, _dealt(rows, keys), keys, ts, before, ties, "before")
     fresh = F.col("__prev").isNull() | (F.col(ts) - F.col("__prev") >= gap_ms)
     seen = F.coalesce(F.col("__seen"), F.lit(0).cast("long"))
-    marked = running(
-        prev.withColumn("__seen", seen),
-        keys, ts,
-        {start: ("max", F.when(fresh, F.col(ts))), "__base": ("max", F.when(fresh, F.col("__seen")))},
-        ties, "rows", skew, hot,
-    )
+    marks = {start: ("max", F.when(fresh, F.col(ts))), "__base": ("max", F.when(fresh, F.col("__seen")))}
+    seen_rows = prev.withColumn("__seen", seen)
+    marked = running(seen_rows, keys, ts, marks, ties, "rows", skew, hot) if hot.frame is None else _running_sliced(
+        seen_rows, seen_rows, keys, ts, marks, ties, "rows").drop(HOT, SLICE)
     return marked.withColumn(position, F.col("__seen") - F.col("__base") + 1).drop("__prev", "__seen", "__base")
 
 

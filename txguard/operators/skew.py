@@ -27,12 +27,12 @@ class Skew:
     ``hot_rows``: keys with more rows are sliced. ``frame_rows``: the same for value-bounded frames, where a dense key costs the
     square of its rows. ``slice_ms``: width of one slice on the time axis. ``min_bytes``: running aggregates over inputs estimated below
     this are one task's work as a whole, so no key in them is looked for; they give the same result sliced or not, as they add integers
-    or pick one of the values. Value-bounded frames count their keys whatever the size.
+    or pick one of the values. The estimate is of compressed columns; rows in a task's memory may take fifty times as much. Value-bounded frames count their keys whatever the size.
     """
 
     hot_rows: int = 20_000
     slice_ms: int = 60_000
-    min_bytes: int = 256 * 1024 * 1024
+    min_bytes: int = 4 * 1024 * 1024
     frame_rows: int = 2_000
 
 
@@ -118,8 +118,14 @@ def null_spread(keys: Sequence[str], ts: str) -> Column:
 
 
 def with_slice(df: DataFrame, keys: Sequence[str], ts: str, skew: Skew) -> DataFrame:
-    """Add ``__slice``: the time slice for hot keys, 0 for the others, a hash spread for rows without a key."""
+    """Add ``__slice``: the time slice for hot keys, 0 for the others, a hash spread for rows without a key. Rows without a time come first."""
+    first = F.lit(-(2**63)).cast("long")
     return df.withColumn(
         SLICE,
-        F.coalesce(null_spread(keys, ts), F.when(F.col(HOT), slice_of(F.col(ts), skew)), F.lit(0).cast("long")),
+        F.coalesce(null_spread(keys, ts), F.when(F.col(HOT), F.coalesce(slice_of(F.col(ts), skew), first)), F.lit(0).cast("long")),
     )
+
+
+def sliced(df: DataFrame, keys: Sequence[str], ts: str, skew: Skew, hot: Hot) -> DataFrame:
+    """The rows with ``__hot`` and ``__slice``."""
+    return with_slice(flag_hot(settle(df), hot.frame), keys, ts, skew)

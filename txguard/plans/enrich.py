@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from txguard.functions.columns import any_of, blank_to_null, rfc3339
 from txguard.operators.folds import anchored
 from txguard.operators.running import gap_runs
-from txguard.operators.skew import DEFAULT_SKEW, Skew
+from txguard.operators.skew import DEFAULT_SKEW, Skew, input_bytes
+from txguard.session_dirs import written
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -126,14 +127,21 @@ def sessions(field: str = "user_id", skew: Skew = DEFAULT_SKEW) -> Enricher:
 
 def hit_counters(df: DataFrame, ts_ms: str = "ts_ms", idle_ms: int = 3_600_000, ties: tuple[str, ...] = ("id",),
                  skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """Running counts per type and per source that restart after ``idle_ms`` without a hit."""
+    """Running counts per type and per source that restart after ``idle_ms`` without a hit.
+
+    The few types and sources of a larger input are hot keys, whose rows are read several times: the frame is written between both counts.
+    """
     typed = gap_runs(df, ["type"], ts_ms, idle_ms, ties, "__run", "event_count", skew).drop("__run")
+    if input_bytes(df) >= skew.min_bytes:
+        typed = written(typed, "typed")
     return gap_runs(typed, ["source"], ts_ms, idle_ms, ties, "__run", "source_count", skew).drop("__run")
 
 
 def counters(skew: Skew = DEFAULT_SKEW) -> Enricher:
     def apply(df: DataFrame) -> DataFrame:
         timed = df.withColumn("__ms", F.floor(F.unix_micros("timestamp") / 1000))
+        if input_bytes(timed) >= skew.min_bytes:
+            timed = written(timed, "before-counters")
         counted = hit_counters(timed, "__ms", skew=skew)
         return add_metadata(counted, {"event_count": F.col("event_count"), "source_count": F.col("source_count")}).select(*df.columns)
 
