@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from txguard.operators.folds import admit_anchored, anchored, token_bucket
 from txguard.operators.running import as_of, distinct_in_run, gap_runs, running
-from txguard.operators.skew import DEFAULT_SKEW, Skew, find_hot
+from txguard.operators import skew as skew_module
+from txguard.operators.skew import DEFAULT_SKEW, HOT, Skew, find_hot, flag_hot
 from txguard.operators.sliding import Sliding, sliding
 from txguard.plans.enrich import hit_counters
 
@@ -204,3 +205,32 @@ def test_few_keys_of_a_table_small_on_disk_are_hot(spark, tmp_path):
     got, want = (hit_counters(df, "ts_ms", idle, skew=s).select("id", "event_count", "source_count", "c4") for s in (DEFAULT_SKEW, PLAIN))
     assert want.agg(F.max("event_count")).first()[0] > 2
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("check", [
+    lambda s: test_sliding(s, SLICED), lambda s: test_gap_runs(s, SLICED, 5), lambda s: test_distinct_in_run(s, SLICED, 20),
+    lambda s: test_anchored(s, SLICED, 17), lambda s: test_as_of(s, SLICED, True)], ids=["sliding", "gap_runs", "distinct", "anchored", "as_of"])
+def test_more_hot_keys_than_a_local_table_holds(spark, monkeypatch, check):
+    monkeypatch.setattr(skew_module, "MAX_HOT", 1)
+    check(spark)
+
+
+def test_crowded_key_among_very_many_hot_ones_meets_in_no_task(spark, monkeypatch):
+    monkeypatch.setattr(skew_module, "MAX_HOT", 3)
+    keys = [(0, t) for t in range(2000)] + [(None, t) for t in range(2000)] + [(k, t) for k in range(1, 9) for t in range(20)] + [(9, 1)]
+    df = spark.createDataFrame(keys, "k long, ts long").repartition(3)
+    hot = find_hot(df, ["k"], Skew(min_bytes=0, hot_rows=10))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = flag_hot(df, hot, "ts").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert sorted((r["k"], r["ts"]) for r in rows if r["k"] is not None) == sorted(r for r in keys if r[0] is not None)
+    assert len(rows) == len(keys)
+    assert all(r[HOT] == (r["k"] is not None and r["k"] < 9) for r in rows)
+    for k in (0, None):
+        at = [r["p"] for r in rows if r["k"] == k]
+        assert max(at.count(p) for p in set(at)) < 1000

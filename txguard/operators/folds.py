@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from txguard.operators.running import as_of, gap_runs, running
-from txguard.operators.skew import DEFAULT_SKEW, HOT, Skew, all_present, find_hot
+from txguard.operators.skew import DEFAULT_SKEW, HOT, Skew, all_present, find_hot, flag_hot
 from txguard.session_dirs import ensure_checkpoint_dir
 
 
@@ -122,15 +122,15 @@ def anchored(
         far = ordered_fold(runs.where(beyond), run, [ts, *ties], [ts, "__ttl"], _window_starts, f"{out} long")
         return near.unionByName(far).drop("__run", "__ttl")
     later = runs.where(beyond).select(*run, F.col(ts).alias("__t"), "__ttl").distinct()
-    oversized = find_hot(later, run, skew).frame
+    oversized = find_hot(later, run, skew)
     chain = later
-    if oversized is not None:
-        chain = later.join(oversized.drop(HOT), run, "left_anti")
+    if oversized.frame is not None:
+        flagged = flag_hot(later, oversized, "__t")
+        chain = flagged.where(~F.col(HOT)).drop(HOT)
     starts = ordered_fold(chain, run, ["__t"], ["__t", "__ttl"], _window_starts, "__start long")
     starts = starts.where(F.col("__start") == F.col("__t")).select(*run, "__t")
-    if oversized is not None:
-        over = later.join(oversized.drop(HOT), run, "left_semi")
-        starts = starts.unionByName(_chain_by_jumps(over, run, skew))
+    if oversized.frame is not None:
+        starts = starts.unionByName(_chain_by_jumps(flagged.where(F.col(HOT)).drop(HOT), run, skew))
     placed = as_of(runs, starts.withColumn("__start", F.col("__t")), run, ts, ["__start"], right_ts="__t", skew=skew)
     return placed.select(*df.columns, F.when(all_present(keys), F.coalesce("__start", "__run")).alias(out))
 

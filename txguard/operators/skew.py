@@ -14,10 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txguard.session_dirs import ensure_checkpoint_dir
+from txguard.session_dirs import ensure_checkpoint_dir, written
 
 HOT = "__hot"
 SLICE = "__slice"
+_DEAL = "__deal"
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hot:
-    """Keys to slice: their frame with the ``__hot`` column, or None; and whether rows without a key are too many."""
+    """Keys to slice: their frame with the ``__hot`` column, or None; and whether rows without a key are too many.
+
+    Where ``frame`` is too long for a local table, ``crowded`` is the local table of those keys whose rows must not meet in one task.
+    """
 
     frame: DataFrame | None = None
     spread_nulls: bool = False
+    crowded: DataFrame | None = None
 
 
 COLD = Hot()
@@ -81,17 +86,23 @@ def find_hot(df: DataFrame, keys: Sequence[str], skew: Skew) -> Hot:
     """Keys holding more than ``skew.hot_rows`` rows.
 
     Runs one aggregation over the key columns, unless the whole input is small. Up to ``MAX_HOT`` keys come back as a
-    local table, small enough to broadcast; more of them stay a distributed frame that is joined by shuffle.
+    local table, small enough to broadcast. More of them are written once and joined by shuffle, and those with more than a ``MAX_HOT``-th
+    of all their rows, which are fewer than ``MAX_HOT``, come as a local table beside it.
     """
     keys = list(keys)
     if skew.min_bytes and input_bytes(df) < skew.min_bytes:
         return COLD
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > skew.hot_rows).select(*keys)
-    found = big.limit(MAX_HOT + 1).toArrow()
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > skew.hot_rows)
+    found = big.select(*keys).limit(MAX_HOT + 1).toArrow()
+    spark = df.sparkSession
     if found.num_rows > MAX_HOT:
-        return Hot(big.where(all_present(keys)).withColumn(HOT, F.lit(True)), True)
+        # The column is read from the table: a literal would be taken out of the join's keys.
+        many = written(big.where(all_present(keys)).withColumn(_DEAL, F.lit(0).cast("long")), "hot-keys")
+        rows = many.agg(F.sum("__n")).first()[0] or 0
+        crowded = many.where(F.col("__n") * MAX_HOT > rows).select(*keys).toArrow()
+        return Hot(many.select(*keys, _DEAL, F.lit(True).alias(HOT)), True, spark.createDataFrame(crowded).withColumn(HOT, F.lit(True)))
     whole = found.drop_null()
-    frame = df.sparkSession.createDataFrame(whole).withColumn(HOT, F.lit(True)) if whole.num_rows else None
+    frame = spark.createDataFrame(whole).withColumn(HOT, F.lit(True)) if whole.num_rows else None
     return Hot(frame, whole.num_rows < found.num_rows)
 
 
@@ -103,9 +114,17 @@ def all_present(keys: Sequence[str]) -> Column:
     return cond
 
 
-def flag_hot(df: DataFrame, hot: DataFrame) -> DataFrame:
-    """Add the boolean ``__hot`` column."""
-    return df.join(hot, [c for c in hot.columns if c != HOT], "left").withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
+def flag_hot(df: DataFrame, hot: Hot, ts: str) -> DataFrame:
+    """Add the boolean ``__hot`` column. No key's rows meet in one task: local tables are broadcast, and the join by shuffle deals rows of crowded
+    keys, which are flagged by then, and rows without a key out by ``ts``."""
+    keys = [c for c in hot.frame.columns if c != HOT]
+    if hot.crowded is None:
+        return df.join(F.broadcast(hot.frame), keys, "left").withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
+    keys.remove(_DEAL)
+    settled = F.col(HOT).isNotNull() | ~all_present(keys)
+    dealt = df.join(F.broadcast(hot.crowded), keys, "left").withColumn(_DEAL, F.when(settled, F.xxhash64(ts)).otherwise(F.lit(0).cast("long")))
+    both = dealt.join(hot.frame.withColumnRenamed(HOT, "__many"), [*keys, _DEAL], "left")
+    return both.select(*[F.col(c) for c in df.columns], F.coalesce(HOT, "__many", F.lit(False)).alias(HOT))
 
 
 def slice_of(ts: Column, skew: Skew) -> Column:
@@ -128,4 +147,4 @@ def with_slice(df: DataFrame, keys: Sequence[str], ts: str, skew: Skew) -> DataF
 
 def sliced(df: DataFrame, keys: Sequence[str], ts: str, skew: Skew, hot: Hot) -> DataFrame:
     """The rows with ``__hot`` and ``__slice``."""
-    return with_slice(flag_hot(settle(df), hot.frame), keys, ts, skew)
+    return with_slice(flag_hot(settle(df), hot, ts), keys, ts, skew)

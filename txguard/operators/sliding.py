@@ -41,7 +41,7 @@ def sliding(df: DataFrame, keys: Sequence[str], ts: str, specs: Sequence[Sliding
     hot = find_hot(df, keys, replace(skew, min_bytes=0, hot_rows=skew.frame_rows))
     if hot.frame is None:
         return _by_frames(df, keys, ts, specs, hot.spread_nulls)
-    flagged = settle(flag_hot(df, hot.frame))
+    flagged = settle(flag_hot(df, hot, ts))
     cold = _by_frames(flagged.where(~F.col(HOT)).drop(HOT), keys, ts, specs, hot.spread_nulls)
     dense = flagged.where(F.col(HOT)).drop(HOT)
     sums = [s for s in specs if s.kind == "sum"]
